@@ -5,6 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import protobuf_text as pt
+from ..functions.once import with_computed
 from ..operators.protobuf_rules import ProtoFacts, rpc_signature
 
 
@@ -39,22 +40,19 @@ class DocumentFacts:
 
 def parse(documents: DataFrame, column: str) -> DataFrame:
     """Adds proto_ok (is the text a Protobuf file) and proto_out (its statements with scopes)."""
+    texts = with_computed(documents, "_text", pt.squeeze(F.col(column)))
+    nested = with_computed(texts, "_nested", pt.nest(pt.statements(F.col("_text"))))
+    whole = F.col("_nested.ok") & (F.size("_nested.open") == 0) & (pt.rest(F.col("_text")) == "")
     return (
-        documents.withColumn("_text", pt.squeeze(F.col(column)))
-        .withColumn("_parts", pt.statements(F.col("_text")))
-        .withColumn("_nested", pt.nest(F.col("_parts")))
-        .withColumn(
-            "proto_ok",
-            F.col("_nested.ok") & (F.size("_nested.open") == 0) & (pt.rest(F.col("_text")) == ""),
-        )
+        with_computed(nested, "proto_ok", whole)
         .withColumn("proto_out", F.when(F.col("proto_ok"), F.col("_nested.out")))
-        .drop("_text", "_parts", "_nested")
+        .drop("_text", "_nested")
     )
 
 
 def canonical(documents: DataFrame, column: str, out: str) -> DataFrame:
     """Adds the canonical text of documents known to be Protobuf."""
-    return documents.withColumn(out, pt.canonical(pt.statements(pt.squeeze(F.col(column)))))
+    return with_computed(documents, out, pt.canonical(pt.statements(pt.squeeze(F.col(column)))))
 
 
 def flatten(documents: DataFrame) -> DocumentFacts:
