@@ -1,0 +1,97 @@
+"""A document against all earlier versions of its subject, without forming the pairs.
+
+The number of pairs grows with the square of a history. Every rule is a condition on elements
+(fields, numbers, RPCs), so it is enough to know, per element, how many earlier versions have it,
+or in which version it first appeared. Both are running sums and minima over (subject, element):
+the work grows with the number of elements.
+
+``candidates`` has subject, at, schema_id; ``history`` has subject, version, schema_id. A candidate
+is held against the versions below ``at``.
+"""
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..functions.avro import readable
+from .ordered import SPAN, running_sums
+
+# The primitive types of the Avro specification.
+AVRO_TYPES = ["null", "boolean", "int", "long", "float", "double", "bytes", "string"]
+
+
+def seen_before(
+    history: DataFrame, probes: DataFrame, keys: list[str], sums: dict[str, Column], span: int = SPAN
+) -> DataFrame:
+    """Per distinct (keys, at) of the probes, the sums over the history rows of the keys with version < at."""
+    events = history.select(
+        *keys, F.col("version").cast("bigint").alias("at"), *[e.cast("bigint").alias(n) for n, e in sums.items()]
+    ).withColumn("_probe", F.lit(False))
+    asked = probes.select(
+        *keys, F.col("at").cast("bigint").alias("at"), *[F.lit(0).cast("bigint").alias(n) for n in sums]
+    ).withColumn("_probe", F.lit(True))
+    points = (
+        events.unionByName(asked)
+        .groupBy(*keys, "at")
+        .agg(*[F.sum(n).alias(f"_{n}") for n in sums], F.bool_or("_probe").alias("_probe"))
+    )
+    swept = running_sums(points, keys, "at", {n: F.col(f"_{n}") for n in sums}, span)
+    return swept.where("_probe").select(*keys, "at", *sums)
+
+
+def avro_transitive(candidates: DataFrame, history: DataFrame, fields: DataFrame, span: int = SPAN) -> DataFrame:
+    """Adds earlier (number of versions compared), backward_issues and forward_issues.
+
+    ``fields`` has schema_id, name, type, has_default of records of primitives. An issue is a field
+    that one earlier version and the candidate disagree on; no issues means compatible.
+    """
+    wanted = candidates.select("subject", F.col("at").cast("bigint").alias("at"), "schema_id").distinct()
+    facts = fields.select("schema_id", "name", "type", "has_default")
+    mine = wanted.join(facts, "schema_id")
+    theirs = history.join(facts, "schema_id")
+    needs = (~F.col("has_default")).cast("bigint")
+    counts = {"_any": F.lit(1), "_needs": needs} | {f"_t_{t}": (F.col("type") == t).cast("int") for t in AVRO_TYPES}
+    by_field = seen_before(theirs, mine, ["subject", "name"], counts, span)
+    total_needs = facts.groupBy("schema_id").agg(F.sum(needs).alias("_needed"))
+    by_subject = seen_before(
+        history.join(total_needs, "schema_id", "left"),
+        wanted,
+        ["subject"],
+        {"earlier": F.lit(1), "_all_needs": F.coalesce("_needed", F.lit(0))},
+        span,
+    )
+
+    def of_types(test) -> Column:
+        parts = [F.when(test(F.lit(t)), F.col(f"_t_{t}")).otherwise(0) for t in AVRO_TYPES]
+        total = parts[0]
+        for part in parts[1:]:
+            total = total + part
+        return total
+
+    read_by_me = of_types(lambda t: readable(F.col("type"), t))
+    reading_me = of_types(lambda t: readable(t, F.col("type")))
+    has = F.col("_any")
+    # a field without default needs every earlier version to have it; "earlier" is added below
+    back = has - read_by_me - F.when(F.col("has_default"), 0).otherwise(has)
+    ahead = has - reading_me - F.col("_needs")
+    sums = (
+        mine.join(by_field, ["subject", "name", "at"])
+        .groupBy("subject", "at", "schema_id")
+        .agg(F.sum(back).alias("_back"), F.sum(ahead).alias("_ahead"), F.sum(needs).alias("_mine_needs"))
+    )
+
+    def zero(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(0))
+
+    return (
+        wanted.join(by_subject, ["subject", "at"])
+        .join(sums, ["subject", "at", "schema_id"], "left")
+        .select(
+            "subject", "at", "schema_id", "earlier",
+            (zero("_back") + F.col("earlier") * zero("_mine_needs")).alias("backward_issues"),
+            (F.col("_all_needs") + zero("_ahead")).alias("forward_issues"),
+        )
+    )
+
+
+def as_candidates(live_versions: DataFrame) -> DataFrame:
+    """Every version as a candidate against the versions before it."""
+    return live_versions.select("subject", F.col("version").alias("at"), "schema_id")

@@ -1,8 +1,8 @@
 """All registered queries and their SQL."""
 
-from . import catalog_queries, document_queries
+from . import catalog_queries, compat_queries, document_queries
 
-_MODULES = [catalog_queries, document_queries]
+_MODULES = [catalog_queries, document_queries, compat_queries]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: text for module in _MODULES for name, text in module.ORACLES.items()}
