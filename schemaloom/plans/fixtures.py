@@ -35,7 +35,7 @@ VIEWS = {
   concat(event_type, cast(k % 10 as varchar(2))) as rpc,
   concat('T', cast(min(k) % 3 as varchar(2))) as req, (min(k) % 2 = 0) as req_stream, 'R' as resp, (max(k) % 4 < 2) as resp_stream
   from @src group by user_id % 20, event_id % 2, concat('S', cast(user_id as varchar(9))), concat(event_type, cast(k % 10 as varchar(2)))""",
-    "fx_cols": """select p_brand as tbl, p_partkey as ordinal, concat('c', cast(p_partkey as varchar(9))) as col,
+    "fx_cols": """select replace(p_brand, '#', '_') as tbl, p_partkey as ordinal, concat('c', cast(p_partkey as varchar(9))) as col,
   case p_size % 8 when 0 then 4 when 1 then -5 when 2 then 6 when 3 then 8 when 4 then 16 when 5 then -2 when 6 then 12 else 3 end as jdbc_type from @src""",
     "fx_raw": """select event_id as seq, case k % 4 when 0 then 'AVRO' when 1 then 'PROTOBUF' when 2 then 'JSON_SCHEMA' else 'NONE' end as doc_kind,
   case k % 4
