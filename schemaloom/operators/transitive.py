@@ -95,3 +95,147 @@ def avro_transitive(candidates: DataFrame, history: DataFrame, fields: DataFrame
 def as_candidates(live_versions: DataFrame) -> DataFrame:
     """Every version as a candidate against the versions before it."""
     return live_versions.select("subject", F.col("version").alias("at"), "schema_id")
+
+
+# ---- Protobuf ------------------------------------------------------------------------------------
+
+_WHO = ["subject", "at", "schema_id"]
+
+
+def _first(history_elements: DataFrame, columns: list[str]) -> DataFrame:
+    """Version in which an element first appears in its subject."""
+    return history_elements.groupBy("subject", *columns).agg(F.min("version").alias("version"))
+
+
+def _lost(history: DataFrame, mine: DataFrame, asking: DataFrame, groups: list[str], element: list[str], span: int):
+    """Per candidate and group: how many distinct earlier elements of the group the candidate lacks.
+
+    ``asking`` holds the (candidate, group) rows to answer for.
+    """
+    first = _first(history, [*groups, *element])
+    before = seen_before(first, asking, ["subject", *groups], {"_n": F.lit(1)}, span)
+    kept = (
+        mine.select(*_WHO, *groups, *element)
+        .distinct()
+        .join(first, ["subject", *groups, *element])
+        .where(F.col("version") < F.col("at"))
+        .groupBy(*_WHO, *groups)
+        .agg(F.count("*").alias("_kept"))
+    )
+    return (
+        asking.select(*_WHO, *groups).distinct()
+        .join(before, ["subject", *groups, "at"])
+        .join(kept, [*_WHO, *groups], "left")
+        .withColumn("lost", F.col("_n") - F.coalesce("_kept", F.lit(0)))
+    )
+
+
+def _pieces(ranges: DataFrame, tags: DataFrame) -> DataFrame:
+    """Cut ranges of one subject and scope at each other's ends and at the tags.
+
+    Two ranges then share a number exactly if they share a piece, and a tag is a piece of its own:
+    numbers compare by equality, and a range of millions of numbers stays a few pieces.
+    """
+    ends = ranges.select("subject", "scope", F.explode(F.array("lo", F.col("hi") + 1)).alias("piece"))
+    points = ends.unionByName(
+        tags.select("subject", "scope", F.explode(F.array("tag", F.col("tag") + 1)).alias("piece"))
+    ).distinct()
+    whole = ranges.select("subject", "scope", "lo", "hi").distinct()
+    return whole.join(points, ["subject", "scope"]).where(F.col("piece").between(F.col("lo"), F.col("hi")))
+
+
+def proto_transitive(candidates: DataFrame, history: DataFrame, facts, span: int = SPAN) -> DataFrame:
+    """Adds compatible: no Protobuf rule finds an issue against any earlier version.
+
+    ``facts`` are document facts keyed by schema_id. With unique names in a scope, rules R4 and R5
+    say that an earlier field of the same name is the same field; R6 that a scope present in the
+    candidate keeps all its earlier (number, name) pairs. What is left for R3 are scopes without any
+    field in the candidate: their earlier fields must be reserved by name and number.
+    """
+    wanted = candidates.select("subject", F.col("at").cast("bigint").alias("at"), "schema_id").distinct()
+    past = history.select("subject", F.col("version").cast("bigint").alias("version"), "schema_id")
+
+    def both(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return past.join(rows, "schema_id").drop("schema_id"), wanted.join(rows, "schema_id")
+
+    fields = facts.fields.select(
+        "schema_id", "scope", "name", "tag", "type", F.coalesce("label", F.lit("")).alias("label")
+    )
+    enums = facts.enums.select("schema_id", "scope", "name", "tag")
+    by_tag = fields.select("schema_id", "scope", "tag", "name").unionByName(
+        facts.enums.groupBy("schema_id", "scope", "tag").agg(F.max_by("name", "ord").alias("name"))
+    )
+    old_fields, my_fields = both(fields)
+    old_enums, my_enums = both(enums)
+    old_tags, my_tags = both(by_tag)
+    old_rpcs, my_rpcs = both(facts.rpcs.select("schema_id", "service", "rpc", "signature"))
+    old_names, my_names = both(facts.reserved_names.select("schema_id", "scope", "name"))
+    old_ranges, my_ranges = both(facts.reserved_tags.select("schema_id", "scope", "lo", "hi"))
+
+    place = ["subject", "scope"]
+    pieces = _pieces(
+        old_ranges.select(*place, "lo", "hi").unionByName(my_ranges.select(*place, "lo", "hi")),
+        old_fields.select(*place, "tag").unionByName(my_fields.select(*place, "tag")),
+    )
+    old_pieces = old_ranges.join(pieces, [*place, "lo", "hi"]).select("subject", "version", "scope", "piece").distinct()
+    my_pieces = my_ranges.join(pieces, [*place, "lo", "hi"]).select(*_WHO, "scope", "piece").distinct()
+
+    def lacking(old: DataFrame, mine: DataFrame, groups: list[str], element: list[str]) -> DataFrame:
+        asking = mine if groups else wanted
+        return _lost(old, mine, asking, groups, element, span).where("lost > 0").select(*_WHO)
+
+    def hit(old: DataFrame, mine: DataFrame, columns: list[str]) -> DataFrame:
+        return mine.join(_first(old, columns), ["subject", *columns]).where("version < at").select(*_WHO)
+
+    issues = [
+        # R1
+        hit(old_names, my_fields.select(*_WHO, "scope", "name"), ["scope", "name"]),
+        hit(old_pieces, my_fields.select(*_WHO, "scope", F.col("tag").alias("piece")), ["scope", "piece"]),
+        # R2
+        lacking(old_names, my_names, [], ["scope", "name"]),
+        lacking(old_pieces, my_pieces, [], ["scope", "piece"]),
+        # R4 and R5
+        lacking(old_fields, my_fields, ["scope", "name"], ["tag", "type", "label"]),
+        lacking(old_enums, my_enums, ["scope", "name"], ["tag"]),
+        # R6
+        lacking(old_tags, my_tags, ["scope"], ["tag", "name"]),
+        # R7 and R8
+        lacking(old_rpcs, my_rpcs, [], ["service", "rpc"]),
+        lacking(old_rpcs, my_rpcs, ["service"], ["rpc", "signature"]),
+        _unreserved(old_fields, my_fields, my_names, my_pieces, wanted, span),
+    ]
+    broken = issues[0]
+    for part in issues[1:]:
+        broken = broken.unionByName(part)
+    return wanted.join(broken.distinct().withColumn("_broken", F.lit(True)), _WHO, "left").select(
+        *_WHO, F.col("_broken").isNull().alias("compatible")
+    )
+
+
+def _unreserved(old_fields, my_fields, my_names, my_pieces, wanted, span) -> DataFrame:
+    """R3: all earlier fields are in scopes the candidate has fields in, or reserved by name and number."""
+    element = ["scope", "name", "tag"]
+    first = _first(old_fields, element)
+    my_scopes = my_fields.select(*_WHO, "scope").distinct()
+    every = seen_before(first, wanted, ["subject"], {"_every": F.lit(1)}, span)
+    in_scopes = (
+        my_scopes.join(seen_before(first, my_scopes, ["subject", "scope"], {"_n": F.lit(1)}, span), ["subject", "scope", "at"])
+        .groupBy(*_WHO).agg(F.sum("_n").alias("_in_scopes"))
+    )
+    reserved = (
+        my_names.distinct()
+        .join(my_scopes, [*_WHO, "scope"], "left_anti")
+        .join(first, ["subject", "scope", "name"])
+        .where("version < at")
+        .join(my_pieces.withColumnRenamed("piece", "tag"), [*_WHO, "scope", "tag"], "left_semi")
+        .groupBy(*_WHO)
+        .agg(F.count("*").alias("_reserved"))
+    )
+    left = F.col("_every") - F.coalesce("_in_scopes", F.lit(0)) - F.coalesce("_reserved", F.lit(0))
+    return (
+        wanted.join(every, ["subject", "at"])
+        .join(in_scopes, _WHO, "left")
+        .join(reserved, _WHO, "left")
+        .where(left > 0)
+        .select(*_WHO)
+    )

@@ -153,15 +153,9 @@ QUERIES |= {
 
 # ---- SQL -----------------------------------------------------------------------------------------
 
-SQL_PROTO = f"""{fx.duckdb_views("fx_pf", "fx_pres_tag", "fx_pres_name", "fx_penum", "fx_prpc")},
-fb as (select * from fx_pf where side = 0), fa as (select * from fx_pf where side = 1),
-tb as (select distinct pair, scope, unnest(range(lo, hi + 1)) as tag from fx_pres_tag where side = 0),
-ta as (select distinct pair, scope, unnest(range(lo, hi + 1)) as tag from fx_pres_tag where side = 1),
-nb as (select * from fx_pres_name where side = 0), na as (select * from fx_pres_name where side = 1),
-eb as (select * from fx_penum where side = 0), ea as (select * from fx_penum where side = 1),
-sig as (select pair, side, svc as service, rpc, concat(req, ':', cast(req_stream as varchar), '->', resp, ':', cast(resp_stream as varchar)) as signature from fx_prpc),
-rb as (select * from sig where side = 0), ra as (select * from sig where side = 1),
-ub as (select pair, scope, tag, name from fb union all select pair, scope, tag, max(name) from eb group by 1, 2, 3),
+def proto_rules_sql() -> str:
+    """Rules r1 to r8 over the facts before (fb, tb, nb, eb, rb) and after (fa, ta, na, ea, ra)."""
+    return """ub as (select pair, scope, tag, name from fb union all select pair, scope, tag, max(name) from eb group by 1, 2, 3),
 ua as (select pair, scope, tag, name from fa union all select pair, scope, tag, max(name) from ea group by 1, 2, 3),
 gone as (select * from fb where not exists (select 1 from fa where fa.pair = fb.pair and fa.scope = fb.scope and fa.name = fb.name)),
 r1 as (select pair from fa where exists (select 1 from tb where tb.pair = fa.pair and tb.scope = fa.scope and tb.tag = fa.tag)
@@ -179,8 +173,18 @@ r6 as (select pair from ub where exists (select 1 from ua where ua.pair = ub.pai
   and not exists (select 1 from ua where ua.pair = ub.pair and ua.scope = ub.scope and ua.tag = ub.tag and ua.name = ub.name)),
 r7 as (select pair from rb where not exists (select 1 from ra where ra.pair = rb.pair and ra.service = rb.service and ra.rpc = rb.rpc)),
 r8 as (select pair from rb where exists (select 1 from ra where ra.pair = rb.pair and ra.service = rb.service)
-  and not exists (select 1 from ra where ra.pair = rb.pair and ra.service = rb.service and ra.rpc = rb.rpc and ra.signature = rb.signature))
-"""
+  and not exists (select 1 from ra where ra.pair = rb.pair and ra.service = rb.service and ra.rpc = rb.rpc and ra.signature = rb.signature))"""
+
+
+SQL_PROTO = f"""{fx.duckdb_views("fx_pf", "fx_pres_tag", "fx_pres_name", "fx_penum", "fx_prpc")},
+fb as (select * from fx_pf where side = 0), fa as (select * from fx_pf where side = 1),
+tb as (select distinct pair, scope, unnest(range(lo, hi + 1)) as tag from fx_pres_tag where side = 0),
+ta as (select distinct pair, scope, unnest(range(lo, hi + 1)) as tag from fx_pres_tag where side = 1),
+nb as (select * from fx_pres_name where side = 0), na as (select * from fx_pres_name where side = 1),
+eb as (select * from fx_penum where side = 0), ea as (select * from fx_penum where side = 1),
+sig as (select pair, side, svc as service, rpc, concat(req, ':', cast(req_stream as varchar), '->', resp, ':', cast(resp_stream as varchar)) as signature from fx_prpc),
+rb as (select * from sig where side = 0), ra as (select * from sig where side = 1),
+{proto_rules_sql()}"""
 
 PROMOTED = "('int>long', 'int>float', 'int>double', 'long>float', 'long>double', 'float>double', 'string>bytes', 'bytes>string')"
 
