@@ -1,11 +1,13 @@
 """Compatibility checks of proposed documents, dispatched by the dialect of what exists.
 
+Requests are reduced to distinct cases first; a case is judged once and joined back to its requests.
 Verdict null means the level is not supported for the dialect; reason says why a verdict is not a
 plain yes or no.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut
 from . import pairs as avro
 from .levels import effective_level
 from .lookup import resolve_versions
@@ -19,8 +21,11 @@ AFTER_ALL = (1 << 31) - 1
 
 def proto_pairs(document_pairs: DataFrame, facts) -> DataFrame:
     """Adds issues and compatible (rules R1 to R8) to distinct pairs (existing_id, proposed_id)."""
-    keyed = document_pairs.select("existing_id", "proposed_id").distinct().withColumn(
-        "pair", F.concat_ws(">", "existing_id", "proposed_id")
+    # stored, because each of the ten fact tables joins to the pairs
+    keyed = cut(
+        document_pairs.select("existing_id", "proposed_id").distinct().withColumn(
+            "pair", F.concat_ws(">", "existing_id", "proposed_id")
+        )
     )
     return validate(keyed, facts.of_pairs(keyed, "existing_id"), facts.of_pairs(keyed, "proposed_id")).drop("pair")
 
@@ -57,11 +62,11 @@ def check_version(
     ``requests``: seq, subject, token, proposed_id; ``schemas``: schema_id, dialect, raw, content.
     Adds is_compatible, reason and error_code (404 when there is no such version).
     """
-    asked = requests.select("seq", "subject", "token", "proposed_id")
-    found = effective_level(resolve_versions(asked, versions), levels).withColumnRenamed("schema_id", "existing_id")
+    cases = requests.select("subject", "token", "proposed_id").distinct()
+    found = effective_level(resolve_versions(cases, versions), levels).withColumnRenamed("schema_id", "existing_id")
     old = schemas.select(F.col("schema_id").alias("existing_id"), F.col("dialect").alias("_old"), F.col("content").alias("_content"))
     new = schemas.select(F.col("schema_id").alias("proposed_id"), F.col("dialect").alias("_new"), F.col("raw").alias("_raw"))
-    typed = found.join(old, "existing_id", "left").join(new, "proposed_id", "left")
+    typed = cut(found.join(old, "existing_id", "left").join(new, "proposed_id", "left"))
 
     def pairs_of(dialect: str) -> DataFrame:
         return typed.where((F.col("_old") == dialect) & (F.col("_new") == dialect)).select("existing_id", "proposed_id")
@@ -80,13 +85,17 @@ def check_version(
         F.col("_old"), F.col("_new"), level, avro_ok, F.col("compatible"), F.col("_content") == F.col("_raw")
     )
     known = F.col("existing_id").isNotNull()
-    return judged.select(
-        "seq",
+    answers = judged.select(
         "subject",
+        "token",
+        "proposed_id",
         F.when(known, verdict).alias("is_compatible"),
         F.when(known, reason).alias("reason"),
         F.when(~known, F.lit(404)).alias("error_code"),
     )
+    return requests.join(answers, ["subject", "token", "proposed_id"]).select(
+        "seq", "subject", "is_compatible", "reason", "error_code"
+    )
 
 
 def check_before_registering(
@@ -100,7 +109,7 @@ def check_before_registering(
     the oldest. A subject without live versions accepts anything.
     """
     described = schemas.select("schema_id", "dialect", "content")
-    held = live(versions).join(described, "schema_id")
+    held = cut(live(versions).join(described, "schema_id").select("subject", "version", "schema_id", "dialect", "content"))
     # F.struct keeps "latest" and "oldest" to one aggregate that combines before the shuffle
     state = held.groupBy("subject").agg(
         F.max_by(F.struct("schema_id", "dialect"), "version").alias("_latest"),
@@ -108,9 +117,9 @@ def check_before_registering(
         F.count_distinct("dialect").alias("_dialects"),
     )
     new = schemas.select(F.col("schema_id").alias("proposed_id"), F.col("dialect").alias("_new"), F.col("raw").alias("_raw"))
-    asked = requests.select("seq", "subject", "proposed_id")
-    typed = (
-        effective_level(asked, levels).join(state, "subject", "left").join(new, "proposed_id", "left")
+    cases = requests.select("subject", "proposed_id").distinct()
+    typed = cut(
+        effective_level(cases, levels).join(state, "subject", "left").join(new, "proposed_id", "left")
         .withColumn("existing_id", F.col("_latest.schema_id")).withColumn("_old", F.col("_latest.dialect"))
     )
 
@@ -155,4 +164,5 @@ def check_before_registering(
     verdict, reason = _by_dialect(
         F.col("_old"), proposed, level, avro_ok, proto_ok, F.col("_oldest") == F.col("_raw")
     )
-    return judged.select("seq", "subject", verdict.alias("is_compatible"), reason.alias("reason"))
+    answers = judged.select("subject", "proposed_id", verdict.alias("is_compatible"), reason.alias("reason"))
+    return requests.join(answers, ["subject", "proposed_id"]).select("seq", "subject", "is_compatible", "reason")

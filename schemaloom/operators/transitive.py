@@ -12,6 +12,7 @@ is held against the versions below ``at``.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.avro import readable
+from ..session import cut
 from .ordered import SPAN, running_sums
 
 # The primitive types of the Avro specification.
@@ -152,8 +153,9 @@ def proto_transitive(candidates: DataFrame, history: DataFrame, facts, span: int
     candidate keeps all its earlier (number, name) pairs. What is left for R3 are scopes without any
     field in the candidate: their earlier fields must be reserved by name and number.
     """
-    wanted = candidates.select("subject", F.col("at").cast("bigint").alias("at"), "schema_id").distinct()
-    past = history.select("subject", F.col("version").cast("bigint").alias("version"), "schema_id")
+    # both are joined to every kind of fact
+    wanted = cut(candidates.select("subject", F.col("at").cast("bigint").alias("at"), "schema_id").distinct())
+    past = cut(history.select("subject", F.col("version").cast("bigint").alias("version"), "schema_id"))
 
     def both(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         return past.join(rows, "schema_id").drop("schema_id"), wanted.join(rows, "schema_id")

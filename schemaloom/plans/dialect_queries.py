@@ -8,13 +8,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import canonical_json
 from ..operators import checks, levels, protobuf_rules as pr, registration, transitive
-from . import documents, fixtures as fx, protobuf_documents
-from .catalog_queries import level_changes, requests, schemas, versions
-from .compat_queries import SQL_AVRO, live_versions, proto_rules_sql, shape_docs, shape_fields
+from . import fixtures as fx, protobuf_documents
+from ..session import cut
+from .catalog_queries import level_changes, requests, schemas, versions as derived_versions
+from .compat_queries import SQL_AVRO, proto_rules_sql, shape_docs, shape_fields
 
 PROTO_TYPES = {"int": "int32", "long": "int64", "string": "string", "double": "double"}
 
 
+def versions(spark, sf) -> DataFrame:
+    """The version table, stored as a catalog stores it: the checks use it many times."""
+    return cut(derived_versions(spark, sf))
+
+
+def live_versions(spark, sf) -> DataFrame:
+    return registration.live(versions(spark, sf)).select("subject", "version", "schema_id")
+
+
 def shape_protos(spark, sf) -> DataFrame:
     """schema_id, content: Protobuf text of each shape."""
     fields = fx.view(spark, sf, "fx_fields")
@@ -48,6 +58,14 @@ def shape_protos(spark, sf) -> DataFrame:
     return lines.select(shape.alias("schema_id"), text.alias("content"))
 
 
+def stored_docs(spark, sf) -> DataFrame:
+    return cut(shape_docs(spark, sf))
+
+
+def stored_fields(spark, sf) -> DataFrame:
+    return cut(shape_fields(spark, sf))
+
+
 def shape_facts(spark, sf) -> protobuf_documents.DocumentFacts:
     return protobuf_documents.flatten(shape_protos(spark, sf))
 
@@ -62,7 +80,7 @@ def mixed_schemas(spark, sf) -> DataFrame:
     typed = avro.join(proto, "schema_id").withColumn("dialect", dialect)
     raw = F.when(dialect == "PROTOBUF", F.col("_proto")).when(dialect == "JSON_SCHEMA", json).otherwise(F.col("_avro"))
     content = F.when(dialect == "JSON_SCHEMA", canonical_json(raw)).otherwise(raw)
-    return typed.select("schema_id", "dialect", raw.alias("raw"), content.alias("content"))
+    return cut(typed.select("schema_id", "dialect", raw.alias("raw"), content.alias("content")))
 
 
 def _proposals(spark, sf) -> DataFrame:
@@ -122,9 +140,10 @@ def q_proto_backward_transitive(spark, sf):
 
 def q_json_schema_compat(spark, sf):
     """Every proposed raw text against the oldest live canonical text."""
-    held = registration.live(versions(spark, sf)).join(mixed_schemas(spark, sf), "schema_id")
+    known = mixed_schemas(spark, sf)
+    held = registration.live(derived_versions(spark, sf)).join(known, "schema_id")
     oldest = held.groupBy("subject").agg(F.min_by("content", "version").alias("_oldest"))
-    raw = mixed_schemas(spark, sf).select(F.col("schema_id").alias("proposed_id"), "raw")
+    raw = known.select(F.col("schema_id").alias("proposed_id"), "raw")
     asked = _proposals(spark, sf).join(raw, "proposed_id").join(oldest, "subject", "left")
     return asked.select("seq", F.coalesce(F.col("_oldest") == F.col("raw"), F.lit(True)).alias("is_compatible"))
 
@@ -134,9 +153,9 @@ def q_check_version(spark, sf):
     return checks.check_version(
         _proposals(spark, sf).join(tokens, "seq"),
         versions(spark, sf),
-        levels.subject_levels(level_changes(spark, sf)),
+        cut(levels.subject_levels(level_changes(spark, sf))),
         mixed_schemas(spark, sf),
-        shape_docs(spark, sf),
+        stored_docs(spark, sf),
         shape_facts(spark, sf),
     )
 
@@ -145,10 +164,10 @@ def q_verdict(spark, sf):
     return checks.check_before_registering(
         _proposals(spark, sf),
         versions(spark, sf),
-        levels.subject_levels(level_changes(spark, sf)),
+        cut(levels.subject_levels(level_changes(spark, sf))),
         mixed_schemas(spark, sf),
-        shape_docs(spark, sf),
-        shape_fields(spark, sf),
+        stored_docs(spark, sf),
+        stored_fields(spark, sf),
         shape_facts(spark, sf),
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import protobuf_text as pt
 from ..functions.once import with_computed
 from ..operators.protobuf_rules import ProtoFacts, rpc_signature
+from ..session import cut
 
 
 @dataclass(frozen=True)
@@ -56,8 +57,11 @@ def canonical(documents: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def flatten(documents: DataFrame) -> DocumentFacts:
-    """Facts of distinct documents: schema_id, content; texts that are not Protobuf give none."""
-    rows = (
+    """Facts of distinct documents: schema_id, content; texts that are not Protobuf give none.
+
+    The statements are stored: a document is read once, however many facts and rules use it.
+    """
+    rows = cut(
         parse(documents.select("schema_id", "content"), "content")
         .where("proto_ok")
         .select("schema_id", F.posexplode("proto_out").alias("ord", "s"))
