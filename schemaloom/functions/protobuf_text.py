@@ -121,7 +121,9 @@ def nest(parts: Column) -> Column:
                 F.when(block_ == "oneof", top["name"]).alias("oneof"),
                 s["text"].alias("text"),
             )
-            pushed = F.concat(acc["open"], F.array(F.struct(kind.alias("kind"), name.alias("name"), path.alias("path"))))
+            # blocks inside an option value are part of it
+            opened = F.when(block_ == "option", "option").otherwise(kind)
+            pushed = F.concat(acc["open"], F.array(F.struct(opened.alias("kind"), name.alias("name"), path.alias("path"))))
             wanted = (kind != "empty") & (block_ != "option")
             return as_state(
                 F.when(s["end"] == "{", pushed).otherwise(acc["open"]),
@@ -260,7 +262,7 @@ def _place(block: Column, kind: Column, text: Column) -> Column:
         F.when(kind == "reserved", 0).when(kind == "option", 1).when(kind.isin("field", "constant", "rpc"), 2)
         .when(kind == "oneof", 3).when(kind == "group", 4).when(kind.isin("extensions", "extend"), 5).otherwise(6)
     )
-    return F.when(block == "file", in_file).otherwise(in_block)
+    return F.when(block == "file", in_file).when(block == "option", 0).otherwise(in_block)
 
 
 def _indent(text: Column) -> Column:
@@ -278,7 +280,6 @@ def _render(frame: Column) -> Column:
     return (
         F.when((kind == "rpc") & (parts[1] == ""), F.concat(head, F.lit(";\n")))
         .when(kind == "rpc", F.concat(head, F.lit(" {\n"), _indent(parts[1]), F.lit("};\n")))
-        .when(kind == "option", F.concat(head, F.lit(" { "), parts[0], F.lit("};\n")))
         .when(
             (kind == "enum") & (merged != ""), F.concat(head, F.lit(" {\n"), _indent(merged), F.lit("}\n"))
         )
@@ -311,14 +312,15 @@ def canonical(parts: Column) -> Column:
             return add(frames, depth - 1, _place(above["kind"], fact["kind"], fact["text"]), fact["text"])
 
         def place(fact: Column) -> Column:
-            kind, text = fact["kind"], fact["text"]
+            kind = F.when(block == "option", "option").otherwise(fact["kind"])
+            text = F.when(block == "option", F.regexp_replace(s["text"], r"\s*\{$", "")).otherwise(fact["text"])
             opened = F.concat(
                 frames, F.array(F.struct(kind.alias("kind"), text.alias("head"), blank.alias("parts")))
             )
             ended = F.when(kind.isin("rpc", "option"), F.concat(text, F.lit(";\n"))).otherwise(text)
             return (
-                F.when(block == "option", add(frames, depth, F.lit(0), F.concat(s["text"], F.lit(" "))))
-                .when(s["end"] == "{", opened)
+                F.when(s["end"] == "{", opened)
+                .when(block == "option", add(frames, depth, F.lit(0), F.concat(s["text"], F.lit(" "))))
                 .when(kind == "empty", frames)
                 .otherwise(add(frames, depth, _place(block, kind, text), ended))
             )
@@ -326,7 +328,13 @@ def canonical(parts: Column) -> Column:
         def line(kind: Column) -> Column:
             return F.struct(kind.alias("kind"), _line(s, kind).alias("text"))
 
-        closing = F.struct(block.alias("kind"), _render(top).alias("text"))
+        # the value of an option is kept as it is written
+        body = F.trim(F.regexp_replace(s["text"], r"\}$", ""))
+        inner = F.concat(top["parts"][0], F.when(body == "", "").otherwise(F.concat(body, F.lit(" "))))
+        within = F.element_at(frames, depth - 1)["kind"] == "option"
+        value = F.concat(F.rtrim(top["head"]), F.lit(" { "), inner, F.when(within, "} ").otherwise("};\n"))
+        closed = F.when(block == "option", value).otherwise(_render(top))
+        closing = F.struct(block.alias("kind"), closed.alias("text"))
         return F.when((s["end"] == "}") & (depth > 1), _let(closing, close)).otherwise(
             _let(_let(_kind(s, block), line), place)
         )
