@@ -1,0 +1,87 @@
+"""The eight Protobuf rules between two documents in one row.
+
+A document is a struct of fact arrays: fields (scope, name, tag, type, label), ranges (scope, lo,
+hi), names (scope, name), enums (scope, name, tag, ord), rpcs (service, rpc, signature). Replay
+needs this form, where the pair to compare is only known inside the fold; for pairs known
+beforehand the joins of ``operators.protobuf_rules`` count issues on fact tables.
+"""
+
+from pyspark.sql import Column, functions as F
+
+
+def _pick(entries: Column, *names: str) -> Column:
+    return F.transform(entries, lambda e: F.struct(*[e[n].alias(n) for n in names]))
+
+
+def _inside(ranges: Column, scope: Column, number: Column) -> Column:
+    return F.exists(ranges, lambda r: (r["scope"] == scope) & number.between(r["lo"], r["hi"]))
+
+
+def _by_tag(doc: Column) -> Column:
+    """(scope, tag, name) of fields and enum constants; of aliases the last."""
+    enums = doc["enums"]
+    last = F.filter(
+        enums,
+        lambda e: ~F.exists(
+            enums, lambda o: (o["scope"] == e["scope"]) & (o["tag"] == e["tag"]) & (o["ord"] > e["ord"])
+        ),
+    )
+    return F.concat(_pick(doc["fields"], "scope", "tag", "name"), _pick(last, "scope", "tag", "name"))
+
+
+def _changed(before: Column, after: Column, test) -> Column:
+    """Does any entry keep scope and name and fail the test."""
+    return F.exists(
+        before,
+        lambda b: F.exists(after, lambda a: (a["scope"] == b["scope"]) & (a["name"] == b["name"]) & test(b, a)),
+    )
+
+
+def breaks(before: Column, after: Column) -> Column:
+    """True if any of the rules R1 to R8 finds an issue."""
+    used_numbers = F.exists(after["fields"], lambda f: _inside(before["ranges"], f["scope"], f["tag"]))
+    used_names = F.size(F.array_intersect(_pick(after["fields"], "scope", "name"), before["names"])) > 0
+
+    def lost_number(r: Column) -> Column:
+        # if any number of a range is lost, so is its first one or one right after a range of "after"
+        starts = F.concat(
+            F.array(r["lo"]),
+            F.transform(F.filter(after["ranges"], lambda a: a["scope"] == r["scope"]), lambda a: a["hi"] + 1),
+        )
+        return F.exists(
+            starts, lambda p: p.between(r["lo"], r["hi"]) & ~_inside(after["ranges"], r["scope"], p)
+        )
+
+    lost_numbers = F.exists(before["ranges"], lost_number)
+    lost_names = F.size(F.array_except(before["names"], after["names"])) > 0
+    gone = F.filter(
+        before["fields"],
+        lambda b: ~F.exists(after["fields"], lambda a: (a["scope"] == b["scope"]) & (a["name"] == b["name"])),
+    )
+    unreserved = F.exists(
+        gone,
+        lambda b: ~F.exists(after["names"], lambda n: (n["scope"] == b["scope"]) & (n["name"] == b["name"]))
+        | ~(
+            _inside(after["ranges"], b["scope"], b["tag"])
+            | F.exists(after["fields"], lambda a: (a["scope"] == b["scope"]) & (a["tag"] == b["tag"]))
+        ),
+    )
+    moved = _changed(before["fields"], after["fields"], lambda b, a: b["tag"] != a["tag"]) | _changed(
+        before["enums"], after["enums"], lambda b, a: b["tag"] != a["tag"]
+    )
+    retyped = _changed(
+        before["fields"], after["fields"], lambda b, a: (b["type"] != a["type"]) | (b["label"] != a["label"])
+    )
+    named = _by_tag(after)
+    renamed = F.exists(
+        _by_tag(before),
+        lambda b: F.exists(named, lambda a: a["scope"] == b["scope"]) & ~F.array_contains(named, b),
+    )
+    lost_rpcs = F.size(F.array_except(_pick(before["rpcs"], "service", "rpc"), _pick(after["rpcs"], "service", "rpc"))) > 0
+    resigned = F.exists(
+        before["rpcs"],
+        lambda b: F.exists(after["rpcs"], lambda a: a["service"] == b["service"]) & ~F.array_contains(after["rpcs"], b),
+    )
+    return (
+        used_numbers | used_names | lost_numbers | lost_names | unreserved | moved | retyped | renamed | lost_rpcs | resigned
+    )

@@ -79,7 +79,7 @@ def _kind(s: Column, block: Column) -> Column:
 
 
 _OPEN = "array<struct<kind:string,name:string,path:string>>"
-_OUT = "array<struct<kind:string,scope:string,oneof:string,text:string>>"
+_OUT = "array<struct<kind:string,block:string,scope:string,oneof:string,text:string>>"
 
 
 def _let(value: Column, body) -> Column:
@@ -90,7 +90,7 @@ def nest(parts: Column) -> Column:
     """Walk the statements with a stack of open blocks.
 
     Gives struct(open, ok, out): the blocks still open, whether every statement was in order, and
-    the statements with their scope, the dotted path of the enclosing message, enum or service. A
+    the statements with the kind of their block and their scope, the dotted path of the enclosing message, enum or service. A
     oneof does not open a scope.
     """
     start = F.struct(F.array().cast(_OPEN).alias("open"), F.lit(True).alias("ok"), F.array().cast(_OUT).alias("out"))
@@ -117,6 +117,7 @@ def nest(parts: Column) -> Column:
             )
             entry = F.struct(
                 kind.alias("kind"),
+                block_.alias("block"),
                 scope_.alias("scope"),
                 F.when(block_ == "oneof", top["name"]).alias("oneof"),
                 s["text"].alias("text"),

@@ -8,7 +8,8 @@ that need a second round. Levels are attached beforehand by bounded as-of lookup
 operations never enter the fold, and runs of the same registration are folded once.
 
 Log columns: seq, subject, op (REGISTER, DELETE, DELETE_SUBJECT, CONFIG, GLOBAL), schema_id,
-level_set, delete_version (0 = latest).
+level_set, delete_version (0 = latest); optionally exact, whether the registered text was already in
+canonical form (true if absent).
 """
 
 from collections.abc import Callable
@@ -126,18 +127,26 @@ def _step(verdict: Verdict) -> Callable[[Column, Column], Column]:
     return step
 
 
-def prepare(log: DataFrame, docs: DataFrame, span: int | None = SPAN) -> DataFrame:
+def prepare(log: DataFrame, docs: DataFrame, span: int | None = SPAN, steady: Column | None = None) -> DataFrame:
     """Attach the level in force and the document, drop level changes, mark heads of runs.
 
     A registration that directly follows the same registration of its subject at the same level
     leaves the state alone and has the same outcome: if the first was refused nothing changed, and
-    if it was accepted a schema can read itself. Runs are found inside a slot only; a run that
-    crosses a slot border just has two heads.
+    if it was accepted a schema can read itself. ``steady`` says for which documents that holds (all,
+    if not given). Runs are found inside a slot only; a run that crosses a slot border just has two
+    heads.
     """
-    levelled = with_level_in_force(log, span).where(F.col("op").isin("REGISTER", "DELETE", "DELETE_SUBJECT"))
+    given = log if "exact" in log.columns else log.withColumn("exact", F.lit(True))
+    levelled = (
+        with_level_in_force(given, span)
+        .where(F.col("op").isin("REGISTER", "DELETE", "DELETE_SUBJECT"))
+        .join(docs.select("schema_id", "doc"), "schema_id", "left")
+    )
     same_slot = W.partitionBy(*slot_keys(["subject"], "seq", span)).orderBy("seq")
     what = F.struct("op", "schema_id", "level")
     repeated = (F.col("op") == "REGISTER") & F.lag(what).over(same_slot).eqNullSafe(what)
+    if steady is not None:
+        repeated = repeated & steady
     heads = levelled.withColumn("_repeated", F.coalesce(repeated, F.lit(False)))
     head_seq = F.last(F.when(~F.col("_repeated"), F.col("seq")), ignorenulls=True).over(
         same_slot.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -145,8 +154,7 @@ def prepare(log: DataFrame, docs: DataFrame, span: int | None = SPAN) -> DataFra
     return (
         heads.withColumn("head_seq", head_seq)
         .drop("_repeated")
-        .join(docs.select("schema_id", "doc"), "schema_id", "left")
-        .select("subject", "seq", "head_seq", "op", "schema_id", "level", "own_level", "delete_version", "doc")
+        .select("subject", "seq", "head_seq", "op", "schema_id", "level", "own_level", "delete_version", "exact", "doc")
     )
 
 
@@ -156,7 +164,7 @@ def _fold(heads: DataFrame, carried: DataFrame | None, verdict: Verdict) -> Data
     empty = F.array().cast(_state_type(doc_type))
     parts = heads.groupBy("subject").agg(
         F.sort_array(
-            F.collect_list(F.struct("seq", "op", "schema_id", "level", "own_level", "delete_version", "doc"))
+            F.collect_list(F.struct("seq", "op", "schema_id", "level", "own_level", "delete_version", "exact", "doc"))
         ).alias("ops")
     )
     if carried is not None:
@@ -179,6 +187,7 @@ def replay_events(
     verdict: Verdict = avro_verdict,
     carried: DataFrame | None = None,
     repeats: bool = True,
+    steady: Column | None = None,
     fold_ops: int = FOLD_OPS,
     span: int = SPAN,
 ) -> DataFrame:
@@ -193,7 +202,7 @@ def replay_events(
     busiest, lo, hi = sizes.agg(F.max("n"), F.min("lo"), F.max("hi")).first()
     if busiest is None or hi - lo < span:
         span = None
-    prepared = prepare(log, docs, span)
+    prepared = prepare(log, docs, span, steady)
     heads = prepared.where("seq = head_seq").drop("head_seq")
     if busiest is None or busiest <= fold_ops:
         events = _fold(heads, carried, verdict).select("subject", F.inline("events"))

@@ -12,7 +12,7 @@ DIALECTS = ["AVRO", "PROTOBUF", "JSON_SCHEMA"]
 
 
 def canonicalise(raws: DataFrame) -> DataFrame:
-    """Distinct texts with dialect, content (canonical text), hash and the Avro nodes.
+    """Distinct texts with dialect, content (canonical text), hash, the Avro nodes and the Protobuf statements.
 
     ``raws`` has raw. Work is done once per distinct text; a text of no dialect keeps null in all
     other columns. Each dialect only sees what the ones before it did not accept.
@@ -35,8 +35,9 @@ def canonicalise(raws: DataFrame) -> DataFrame:
         .when(F.col("dialect") == "JSON_SCHEMA", F.col("_json"))
     )
     return with_computed(chosen, "content", content).select(
-        "raw", "dialect", "content", fingerprint(F.col("content")).alias("hash"), F.col("_avro.nodes").alias("avro_nodes")
-    )
+        "raw", "dialect", "content", fingerprint(F.col("content")).alias("hash"),
+        F.col("_avro.nodes").alias("avro_nodes"), F.when(F.col("dialect") == "PROTOBUF", F.col("proto_out")).alias("proto_out"),
+    )
 
 
 def with_documents(rows: DataFrame, documents: DataFrame) -> DataFrame:
@@ -57,5 +58,8 @@ def avro_nodes(documents: DataFrame, key: str) -> DataFrame:
 
 
 def avro_fields(nodes: DataFrame, key: str) -> DataFrame:
-    """Fields of the root records: pos, name, type, has_default."""
-    return nodes.where("role = 'field' and parent_path = ''").select(key, "pos", "name", "type", "has_default")
+    """Fields of the root records: pos, name, type, has_default; a type that is no primitive is its JSON text."""
+    typed = F.when(F.col("kind") == "primitive", F.col("type")).otherwise(F.col("text"))
+    return nodes.where("role = 'field' and parent_path = ''").select(
+        key, "pos", "name", typed.alias("type"), "has_default"
+    )

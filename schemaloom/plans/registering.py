@@ -4,10 +4,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions import dialects
 from ..functions.types import document_to_struct
 from ..operators import registration, replay
 from ..session import cut
 from . import documents
+from .protobuf_documents import bundle
 
 
 @dataclass(frozen=True)
@@ -18,42 +20,82 @@ class Catalog:
     versions: DataFrame
 
 
-def field_docs(nodes: DataFrame, key: str = "schema_id") -> DataFrame:
-    """schema_id, doc: field arrays for the Avro verdict; one group is one document."""
-    return documents.avro_fields(nodes, key).groupBy(key).agg(
-        F.collect_list(F.struct("name", "type", "has_default")).alias("doc")
+def _fields(nodes: Column) -> Column:
+    """Field array of a root record; a type that is no primitive is compared as its JSON text."""
+    mine = F.filter(nodes, lambda n: (n["role"] == "field") & (n["parent_path"] == ""))
+    return F.transform(
+        mine,
+        lambda n: F.struct(
+            n["name"].alias("name"),
+            F.when(n["kind"] == "primitive", n["type"]).otherwise(n["text"]).alias("type"),
+            n["has_default"].alias("has_default"),
+        ),
     )
 
 
-def number_documents(requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Requests (seq, subject, raw) to (log, schemas, Avro nodes); unknown texts are left out."""
+@dataclass(frozen=True)
+class Numbered:
+    """log: registrations by schema id; schemas: schema_id, hash, dialect, content; docs: schema_id, doc."""
+
+    log: DataFrame
+    schemas: DataFrame
+    docs: DataFrame
+
+
+def number_documents(requests: DataFrame) -> Numbered:
+    """Requests (seq, subject, raw) by schema id; texts of no dialect are left out.
+
+    ``doc`` is what verdicts compare.
+    """
     # texts are read once and kept: everything below joins to them
     read = cut(documents.canonicalise(requests.select("raw")))
     known = documents.with_documents(requests, read).where(F.col("hash").isNotNull())
-    schemas = registration.assign_schema_ids(
-        registration.dedup_schemas(known.select("seq", "hash", "content"))
+    numbered = registration.assign_schema_ids(registration.dedup_schemas(known.select("seq", "hash", "content")))
+    facts = read.where(F.col("hash").isNotNull()).groupBy("hash").agg(
+        F.any_value(F.struct("dialect", "avro_nodes", "proto_out")).alias("f")
     )
-    dialects = read.where(F.col("hash").isNotNull()).groupBy("hash").agg(
-        F.min("dialect").alias("dialect"), F.any_value("avro_nodes").alias("avro_nodes")
+    doc = F.struct(
+        F.col("f.dialect").alias("dialect"), _fields(F.col("f.avro_nodes")).alias("avro"),
+        bundle(F.col("f.proto_out")).alias("proto"),
+    )
+    described = cut(
+        numbered.join(facts, "hash").select(
+            "schema_id", "hash", F.col("f.dialect").alias("dialect"), "content", doc.alias("doc")
+        )
     )
-    described = cut(schemas.join(dialects, "hash"))
-    log = known.select("seq", "subject", "hash").join(described.select("hash", "schema_id"), "hash").select(
+    exact = (F.col("raw") == F.col("content")).alias("exact")
+    log = known.select("seq", "subject", "hash", exact).join(described.select("hash", "schema_id"), "hash").select(
         "seq",
         "subject",
         F.lit("REGISTER").alias("op"),
         "schema_id",
         F.lit(None).cast("string").alias("level_set"),
         F.lit(0).alias("delete_version"),
+        "exact",
     )
-    nodes = documents.avro_nodes(described, "schema_id")
-    return log, described.select("schema_id", "hash", "dialect", "content"), nodes
+    return Numbered(log, described.drop("doc"), described.select("schema_id", "doc"))
+
+
+def replay_documents(log: DataFrame, docs: DataFrame, repeats: bool = True, **sizes) -> DataFrame:
+    """Replay a log over documents of all dialects. Only Avro documents surely accept themselves."""
+    steady = F.col("doc.dialect") == "AVRO"
+    return replay.replay_events(log, docs, dialects.verdict, repeats=repeats, steady=steady, **sizes)
+
+
+def with_settings(numbered: Numbered, settings: DataFrame) -> DataFrame:
+    """The log with more rows, for levels and deletes."""
+    return numbered.log.unionByName(settings.withColumn("exact", F.lit(True)))
+
 
+def register(requests: DataFrame, settings: DataFrame | None = None) -> Catalog:
+    """Register documents (seq, subject, raw) in order and return the catalog.
 
-def register(requests: DataFrame) -> Catalog:
-    """Register Avro documents (seq, subject, raw) in order and return the catalog."""
-    log, schemas, nodes = number_documents(requests)
-    events = replay.replay_events(log, field_docs(nodes), repeats=False)
-    return Catalog(schemas, cut(replay.versions_of(events)))
+    ``settings`` may add log rows for levels and deletes.
+    """
+    numbered = number_documents(requests)
+    log = with_settings(numbered, settings) if settings is not None else numbered.log
+    events = replay_documents(log, numbered.docs, repeats=False)
+    return Catalog(numbered.schemas, cut(replay.versions_of(events)))
 
 
 def latest_documents(catalog: Catalog) -> DataFrame:

@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from schemaloom.functions import protobuf
 from schemaloom.operators import checks, protobuf_rules as pr, transitive
 from schemaloom.plans import protobuf_documents as pd
+from schemaloom.session import cut
 
 HEAD = 'syntax = "proto3";\npackage shop;\n'
 
@@ -220,3 +222,21 @@ def test_enum_alias_last_wins(spark):
     enums = spark.createDataFrame([(1, "E", "A", 0, 0), (1, "E", "B", 1, 1), (1, "E", "C", 1, 2)], "pair int, scope string, name string, tag int, ord int")
     assert sorted((r["tag"], r["name"]) for r in pr.enum_names_by_tag(enums).collect()) == [(0, "A"), (1, "C")]
     assert pr.enum_keys(enums).select(F.count("*")).first()[0] == 5
+
+
+def test_rules_in_one_row(spark):
+    """The verdict on bundles equals the joined rules on all pairs."""
+    rng = random.Random(9)
+    docs = {i: _random_doc(rng) if i % 2 else _grown_doc(rng, 1 + i // 5) for i in range(30)}
+    table = spark.createDataFrame(list(docs.items()), "schema_id int, content string")
+    facts = pd.flatten(table)
+    ids = list(itertools.product(docs, docs))
+    asked = spark.createDataFrame(ids, "existing_id int, proposed_id int")
+    want = {(r["existing_id"], r["proposed_id"]): r["compatible"] for r in checks.proto_pairs(asked, facts).collect()}
+    bundles = cut(pd.parse(table, "content").select("schema_id", pd.bundle(F.col("proto_out")).alias("d")))
+    both = asked.join(bundles.select(F.col("schema_id").alias("existing_id"), F.col("d").alias("b")), "existing_id").join(
+        bundles.select(F.col("schema_id").alias("proposed_id"), F.col("d").alias("a")), "proposed_id"
+    )
+    rows = both.select("existing_id", "proposed_id", (~protobuf.breaks(F.col("b"), F.col("a"))).alias("ok")).collect()
+    assert {(r["existing_id"], r["proposed_id"]): r["ok"] for r in rows} == want
+    assert 30 < sum(want.values()) < len(want)
