@@ -62,18 +62,19 @@ def rest(squeezed: Column) -> Column:
 
 
 def _kind(s: Column, block: Column) -> Column:
+    # the first word is tested before the pattern, which most statements then skip
     text, word = s["text"], s["word"]
     return (
         F.when(text == ";", "empty")
         .when((word == "option") & text.rlike(_OPTION), "option")
-        .when(text.rlike(_BLOCK), word)
-        .when(text.rlike(_RPC), "rpc")
-        .when(text.rlike(_RESERVED), "reserved")
-        .when(text.rlike(_EXTENSIONS), "extensions")
-        .when(text.rlike(_FILE_LINE) & (block == "file"), word)
-        .when(text.rlike(_GROUP), "group")
-        .when((block == "enum") & text.rlike(_CONSTANT), "constant")
-        .when((block != "enum") & text.rlike(_FIELD), "field")
+        .when(word.isin("message", "enum", "service", "extend", "oneof") & text.rlike(_BLOCK), word)
+        .when((word == "rpc") & text.rlike(_RPC), "rpc")
+        .when((word == "reserved") & text.rlike(_RESERVED), "reserved")
+        .when((word == "extensions") & text.rlike(_EXTENSIONS), "extensions")
+        .when((block == "file") & word.isin("syntax", "package", "import") & text.rlike(_FILE_LINE), word)
+        .when((s["end"] == "{") & text.rlike(_GROUP), "group")
+        .when(block == "enum", F.when(text.rlike(_CONSTANT), "constant").otherwise("unknown"))
+        .when(text.rlike(_FIELD), "field")
         .otherwise("unknown")
     )
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut
 from .ordered import SPAN, number_rows
 
 
@@ -25,8 +26,12 @@ def dedup_schemas(documents: DataFrame) -> DataFrame:
 
 
 def assign_schema_ids(distinct: DataFrame, span: int = SPAN) -> DataFrame:
-    """Dense ids by first sequence number, without a global window over the rows."""
-    return number_rows(distinct, [], "first_seq", "schema_id", span)
+    """Dense ids by first sequence number, without a global window over the rows.
+
+    The distinct documents are stored first: numbering passes over them twice, and making them again
+    would mean to read every text again.
+    """
+    return number_rows(cut(distinct), [], "first_seq", "schema_id", span)
 
 
 def tombstone(versions: DataFrame, deletes: DataFrame) -> DataFrame:

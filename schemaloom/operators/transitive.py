@@ -44,16 +44,18 @@ def avro_transitive(candidates: DataFrame, history: DataFrame, fields: DataFrame
     ``fields`` has schema_id, name, type, has_default of records of primitives. An issue is a field
     that one earlier version and the candidate disagree on; no issues means compatible.
     """
-    wanted = candidates.select("subject", F.col("at").cast("bigint").alias("at"), "schema_id").distinct()
+    # each is used by field and by subject
+    wanted = cut(candidates.select("subject", F.col("at").cast("bigint").alias("at"), "schema_id").distinct())
+    past = cut(history.select("subject", "version", "schema_id"))
     facts = fields.select("schema_id", "name", "type", "has_default")
     mine = wanted.join(facts, "schema_id")
-    theirs = history.join(facts, "schema_id")
+    theirs = past.join(facts, "schema_id")
     needs = (~F.col("has_default")).cast("bigint")
     counts = {"_any": F.lit(1), "_needs": needs} | {f"_t_{t}": (F.col("type") == t).cast("int") for t in AVRO_TYPES}
     by_field = seen_before(theirs, mine, ["subject", "name"], counts, span)
     total_needs = facts.groupBy("schema_id").agg(F.sum(needs).alias("_needed"))
     by_subject = seen_before(
-        history.join(total_needs, "schema_id", "left"),
+        past.join(total_needs, "schema_id", "left"),
         wanted,
         ["subject"],
         {"earlier": F.lit(1), "_all_needs": F.coalesce("_needed", F.lit(0))},

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import pairs, protobuf_rules as pr, registration, replay, transitive
+from ..session import cut
 from . import fixtures as fx
 from .catalog_queries import SQL_VERSIONS, versions
 
@@ -16,10 +17,11 @@ def _rpcs(spark, sf) -> DataFrame:
     )
 
 
-def _sides(spark, sf) -> list[pr.ProtoFacts]:
-    """Facts before (side 0) and after (side 1)."""
+def _sides(spark, sf, keep=lambda df: df) -> list[pr.ProtoFacts]:
+    """Facts before (side 0) and after (side 1); ``keep`` may store the fact tables first."""
     enums = fx.view(spark, sf, "fx_penum").withColumn("ord", F.col("name"))
     parts = [fx.view(spark, sf, v) for v in ("fx_pf", "fx_pres_tag", "fx_pres_name")] + [enums, _rpcs(spark, sf)]
+    parts = [keep(p) for p in parts]
     return [pr.ProtoFacts(*[p.where(F.col("side") == side).drop("side") for p in parts]) for side in (0, 1)]
 
 
@@ -29,7 +31,7 @@ def _rule(name):
 
 def q_proto_validate(spark, sf):
     found = [fx.view(spark, sf, v).select("pair").distinct() for v in ("fx_pf", "fx_penum", "fx_prpc")]
-    return pr.validate(found[0].union(found[1]).union(found[2]).distinct(), *_sides(spark, sf))
+    return pr.validate(found[0].union(found[1]).union(found[2]).distinct(), *_sides(spark, sf, cut))
 
 
 def q_enum_by_tag(spark, sf):

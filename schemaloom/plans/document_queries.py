@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import lookup, protobuf_rules as pr, registration
+from ..operators import lookup, registration
+from ..session import cut
 from . import documents, fixtures as fx, protobuf_documents
 from .catalog_queries import schemas
 
@@ -22,10 +23,10 @@ def sql(select: str) -> str:
     return f"with {SQL_RAW} {select}"
 
 
-def raw_documents(spark, sf):
-    """seq, raw, dialect, content, hash of every raw text."""
+def raw_documents(spark, sf, keep=lambda df: df):
+    """seq, raw, dialect, content, hash of every raw text; ``keep`` may store the distinct texts."""
     rows = fx.view(spark, sf, "fx_raw").select("seq", "raw")
-    return documents.with_documents(rows, documents.canonicalise(rows))
+    return documents.with_documents(rows, keep(documents.canonicalise(rows)))
 
 
 def distinct_documents(spark, sf):
@@ -74,7 +75,7 @@ def q_schema_ids(spark, sf):
 
 def q_schema_by_hash(spark, sf):
     """All texts searched in the Avro part of the catalog."""
-    rows = raw_documents(spark, sf)
+    rows = raw_documents(spark, sf, cut)
     known = registration.assign_schema_ids(
         registration.dedup_schemas(rows.where("dialect = 'AVRO'").select("seq", "hash", "content"))
     )
