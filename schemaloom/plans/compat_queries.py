@@ -2,10 +2,10 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import pairs, protobuf_rules as pr, registration, replay, transitive
+from ..operators import avro_nested, pairs, protobuf_rules as pr, registration, replay, transitive
 from ..session import cut
-from . import fixtures as fx
-from .catalog_queries import SQL_VERSIONS, versions
+from . import documents, fixtures as fx
+from .catalog_queries import SQL_VERSIONS, schemas, versions
 
 # ---- Protobuf rules on fact tables ---------------------------------------------------------------
 
@@ -88,6 +88,19 @@ def q_avro_missing_default(spark, sf):
     return pairs.avro_missing_defaults(_reader_pairs(spark, sf), shape_fields(spark, sf))
 
 
+def q_avro_nested_pairs(spark, sf):
+    """Neighbouring versions as nested documents: the record of the shape in a union, and a list."""
+    item = F.element_at(F.array(F.lit("int"), F.lit("long"), F.lit("string")), F.col("schema_id") % 3 + 1)
+    text = F.concat(
+        F.lit('{"type":"record","name":"outer","fields":[{"name":"body","type":["null",'), "content",
+        F.lit(']},{"name":"list","type":{"type":"array","items":"'), item, F.lit('"}}]}'),
+    )
+    texts = schemas(spark, sf).select("schema_id", text.alias("raw"))
+    read = documents.canonicalise(texts.select("raw"))
+    nodes = documents.avro_nodes(texts.join(read, "raw"), "schema_id")
+    return avro_nested.nested_pairs(_reader_pairs(spark, sf), nodes)
+
+
 def _latest(verdict):
     def query(spark, sf):
         audit = pairs.audit_latest(live_versions(spark, sf), shape_docs(spark, sf))
@@ -276,6 +289,9 @@ ORACLES |= {
     "q_audit_pairs_latest": _avro("select * from steps"),
     "q_avro_type_issues": _avro("select t.* from typed t join reads using (reader_id, writer_id)"),
     "q_avro_missing_default": _avro("select m.* from missing m join reads using (reader_id, writer_id)"),
+    "q_avro_nested_pairs": _avro("""select p.reader_id, p.writer_id,
+    b.n is null and (p.reader_id % 3 = p.writer_id % 3 or (p.reader_id % 3 = 1 and p.writer_id % 3 = 0)) as compatible
+  from reads p left join bad b using (reader_id, writer_id)"""),
     "q_avro_backward": _avro("select subject, version, schema_id, backward as compatible from judged"),
     "q_avro_forward": _avro("select subject, version, schema_id, forward as compatible from judged"),
     "q_avro_full": _avro("select subject, version, schema_id, backward and forward as compatible from judged"),
