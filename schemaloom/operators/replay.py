@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import avro
-from ..session import cut
+from ..session import cut, new_folder
 from .levels import with_level_in_force
 from .ordered import SPAN, number_rows, slot_keys
 
@@ -128,7 +128,7 @@ def _step(verdict: Verdict) -> Callable[[Column, Column], Column]:
 
 
 def prepare(log: DataFrame, docs: DataFrame, span: int | None = SPAN, steady: Column | None = None) -> DataFrame:
-    """Attach the level in force and the document, drop level changes, mark heads of runs.
+    """Attach the level in force, drop level changes, mark heads of runs.
 
     A registration that directly follows the same registration of its subject at the same level
     leaves the state alone and has the same outcome: if the first was refused nothing changed, and
@@ -137,24 +137,20 @@ def prepare(log: DataFrame, docs: DataFrame, span: int | None = SPAN, steady: Co
     heads.
     """
     given = log if "exact" in log.columns else log.withColumn("exact", F.lit(True))
-    levelled = (
-        with_level_in_force(given, span)
-        .where(F.col("op").isin("REGISTER", "DELETE", "DELETE_SUBJECT"))
-        .join(docs.select("schema_id", "doc"), "schema_id", "left")
-    )
+    levelled = with_level_in_force(given, span).where(F.col("op").isin("REGISTER", "DELETE", "DELETE_SUBJECT"))
     same_slot = W.partitionBy(*slot_keys(["subject"], "seq", span)).orderBy("seq")
     what = F.struct("op", "schema_id", "level")
     repeated = (F.col("op") == "REGISTER") & F.lag(what).over(same_slot).eqNullSafe(what)
     if steady is not None:
-        repeated = repeated & steady
+        flags = docs.select("schema_id", steady.alias("_steady"))
+        levelled = levelled.join(flags, "schema_id", "left")
+        repeated = repeated & F.col("_steady")
     heads = levelled.withColumn("_repeated", F.coalesce(repeated, F.lit(False)))
     head_seq = F.last(F.when(~F.col("_repeated"), F.col("seq")), ignorenulls=True).over(
         same_slot.rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    return (
-        heads.withColumn("head_seq", head_seq)
-        .drop("_repeated")
-        .select("subject", "seq", "head_seq", "op", "schema_id", "level", "own_level", "delete_version", "exact", "doc")
+    return heads.withColumn("head_seq", head_seq).select(
+        "subject", "seq", "head_seq", "op", "schema_id", "level", "own_level", "delete_version", "exact"
     )
 
 
@@ -203,7 +199,8 @@ def replay_events(
     if busiest is None or hi - lo < span:
         span = None
     prepared = prepare(log, docs, span, steady)
-    heads = prepared.where("seq = head_seq").drop("head_seq")
+    # only heads carry a document
+    heads = prepared.where("seq = head_seq").drop("head_seq").join(docs.select("schema_id", "doc"), "schema_id", "left")
     if busiest is None or busiest <= fold_ops:
         events = _fold(heads, carried, verdict).select("subject", F.inline("events"))
     else:
@@ -212,21 +209,22 @@ def replay_events(
 
 
 def _fold_rounds(heads, carried, verdict, fold_ops, span) -> DataFrame:
-    placed = cut(
-        number_rows(heads, ["subject"], "seq", "_pos", span).withColumn(
-            "_round", F.expr(f"(_pos - 1) div {int(fold_ops)}")
-        )
+    """Fold round by round; each round writes its events and the state it leaves below one folder."""
+    spark = heads.sparkSession
+    numbered = number_rows(heads, ["subject"], "seq", "_pos", span).withColumn(
+        "_round", F.expr(f"(_pos - 1) div {int(fold_ops)}")
     )
+    # in round order, so that the scan of a round skips the files of the others
+    placed = cut(numbered.drop("_pos").repartitionByRange("_round", "subject", "seq").sortWithinPartitions("_round"))
     rounds = placed.agg(F.max("_round")).first()[0]
-    done = []
+    folder = new_folder(spark)
+    schema = None
     for number in range(int(rounds) + 1):
-        part = cut(_fold(placed.where(F.col("_round") == number).drop("_pos", "_round"), carried, verdict))
-        done.append(part.select("subject", F.inline("events")))
-        carried = part.select("subject", "top", "live")
-    events = done[0]
-    for part in done[1:]:
-        events = events.unionByName(part)
-    return events
+        part = _fold(placed.where(F.col("_round") == number).drop("_round"), carried, verdict)
+        schema = part.schema
+        part.write.parquet(f"{folder}/round={number}")
+        carried = spark.read.schema(schema).parquet(f"{folder}/round={number}").select("subject", "top", "live")
+    return spark.read.schema(schema).parquet(folder).select("subject", F.inline("events"))
 
 
 def _spread_runs(prepared: DataFrame, events: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import avro_text
 from ..functions.once import with_computed
 from ..functions.text import canonical_json, fingerprint
+from ..session import spread
 from . import protobuf_documents
 
 # The dialects in the order in which they are tried.
@@ -17,7 +18,7 @@ def canonicalise(raws: DataFrame) -> DataFrame:
     ``raws`` has raw. Work is done once per distinct text; a text of no dialect keeps null in all
     other columns. Each dialect only sees what the ones before it did not accept.
     """
-    distinct = raws.select("raw").distinct()
+    distinct = spread(raws.select("raw").distinct(), "raw")
     # text that is not JSON cannot be Avro, and JSON text cannot be Protobuf: only one reader per text
     typed = with_computed(distinct, "_json", canonical_json(F.col("raw")))
     avro = typed.withColumn("_avro", avro_text.parse(F.when(F.col("_json").isNotNull(), F.col("raw"))))

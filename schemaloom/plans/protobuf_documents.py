@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import protobuf_text as pt
 from ..functions.once import with_computed
 from ..operators.protobuf_rules import ProtoFacts, rpc_signature
-from ..session import cut
+from ..session import cut, spread
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,7 @@ def flatten(documents: DataFrame) -> DocumentFacts:
     The statements are stored: a document is read once, however many facts and rules use it.
     """
     rows = cut(
-        parse(documents.select("schema_id", "content"), "content")
+        parse(spread(documents.select("schema_id", "content"), "schema_id"), "content")
         .where("proto_ok")
         .select("schema_id", F.posexplode("proto_out").alias("ord", "s"))
         .select("schema_id", "ord", "s.kind", "s.block", "s.scope", "s.oneof", "s.text")

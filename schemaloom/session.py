@@ -45,13 +45,25 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder name below the shared folder that nothing uses yet."""
+    return f"{shared_dir(spark).rstrip('/')}/schemaloom-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them back.
 
     Cuts the lineage so that the loss of an executor costs one stage, and unlike a checkpoint keeps
     the rows columnar and their size known to the optimizer.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/schemaloom-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """All shuffle partitions, also for few rows: for work that is heavy per row.
+
+    Adaptive execution would merge partitions by their bytes, which are few for short texts.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
