@@ -69,11 +69,11 @@ def last_before(
         return df.select("*", F.last(found, ignorenulls=True).over(plain)["v"].alias(out))
     rows = _slotted(df, order, span)
     inside = rows.select("*", F.last(found, ignorenulls=True).over(_earlier_rows(keys, order)).alias("_in"))
-    ends = (
-        rows.where(when).groupBy(*keys, _SLOT).agg(F.max_by(F.struct(value.alias("v")), F.col(order)).alias("_end"))
+    # a slot without such a row has a null end, which the next slots look past
+    ends = rows.groupBy(*keys, _SLOT).agg(
+        F.max_by(F.struct(value.alias("v")), F.when(when, F.col(order))).alias("_end")
     )
-    slots = rows.select(*keys, _SLOT).distinct().join(ends, [*keys, _SLOT], "left")
-    carried = slots.select(
+    carried = ends.select(
         *keys, _SLOT, F.last("_end", ignorenulls=True).over(_earlier_slots(keys)).alias("_carried")
     ).where(F.col("_carried").isNotNull())
     joined = inside.join(carried, [*keys, _SLOT], "left")

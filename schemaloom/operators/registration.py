@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
-from .ordered import SPAN, number_rows
+from .ordered import SPAN, last_before, number_rows
 
 
 def first_seen(ops: DataFrame, keys: list[str], out: str = "first_seq") -> DataFrame:
@@ -63,16 +63,10 @@ def latest_version(versions: DataFrame, *extra: str) -> DataFrame:
 
 
 def predecessors(live_versions: DataFrame, span: int = SPAN) -> DataFrame:
-    """Each live version beside the live version right before it (null for the first).
-
-    The position is dense, so the predecessor is an equi-join on (subject, position - 1): no window
-    over a whole subject.
-    """
-    placed = number_rows(live_versions.select("subject", "version", "schema_id"), ["subject"], "version", "_pos", span)
-    before = placed.select(
-        "subject",
-        (F.col("_pos") + 1).alias("_pos"),
-        F.col("version").alias("prev_version"),
-        F.col("schema_id").alias("prev_schema_id"),
+    """Each live version beside the live version right before it (null for the first)."""
+    rows = live_versions.select("subject", "version", "schema_id")
+    before = F.struct("version", "schema_id")
+    beside = last_before(rows, ["subject"], "version", before, F.lit(True), "_prev", span)
+    return beside.select(
+        *rows.columns, F.col("_prev.version").alias("prev_version"), F.col("_prev.schema_id").alias("prev_schema_id")
     )
-    return placed.join(before, ["subject", "_pos"], "left").drop("_pos")

@@ -119,7 +119,7 @@ def q_proto_message_fields(spark, sf):
 
 
 def q_proto_backward(spark, sf):
-    steps = registration.predecessors(live_versions(spark, sf))
+    steps = cut(registration.predecessors(registration.live(derived_versions(spark, sf))))
     met = steps.where("prev_schema_id is not null").select(
         F.col("prev_schema_id").alias("existing_id"), F.col("schema_id").alias("proposed_id")
     )

@@ -49,7 +49,7 @@ def test_register(spark, log, tmp_path):
 
 
 def test_first_seen(spark, tmp_path):
-    rows = document_queries.raw_documents(spark, SF_DIR).where("hash is not null").select("seq", "hash").limit(400)
+    rows = document_queries.raw_documents(spark, SF_DIR).where("hash is not null").select("seq", "hash")
     rows.write.parquet(f"{tmp_path}/rows")
     rows = spark.read.parquet(f"{tmp_path}/rows")
     stream = in_files(rows, tmp_path, [0, 200, 500, 1000])
