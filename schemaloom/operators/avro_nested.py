@@ -113,15 +113,17 @@ def nested_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     judged = edges = None
     while True:
         here = cut(_judge(frontier, r_nodes, w_nodes))
+        if here.isEmpty():
+            break
         below = cut(_split(here, r_below, w_below))
         judged = here if judged is None else judged.unionByName(here)
         edges = below if edges is None else edges.unionByName(below)
         new = below.where("wchild is not null").select(
             "r_id", "w_id", "pair", F.col("rchild").alias("rpath"), F.col("wchild").alias("wpath")
         )
-        frontier = cut(new.distinct().join(judged.select(*_ASK), _ASK, "left_anti"))
-        if frontier.isEmpty():
-            break
+        frontier = new.distinct().join(judged.select(*_ASK), _ASK, "left_anti")
+    if judged is None:
+        return wanted.select(F.col("r_id").alias("reader_id"), F.col("w_id").alias("writer_id"), F.lit(True).alias("compatible"))
     failed = _failures(judged, edges)
     roots = failed.where("rpath = '' and wpath = ''").select("pair", F.lit(True).alias("_failed"))
     return wanted.join(roots, "pair", "left").select(
@@ -150,4 +152,4 @@ def _failures(judged: DataFrame, edges: DataFrame) -> DataFrame:
         grown = cut(upper.join(failed, _ASK, "left_anti"))
         if grown.isEmpty():
             return failed
-        failed = cut(failed.unionByName(grown))
+        failed = failed.unionByName(grown)

@@ -14,6 +14,7 @@ TYPE_NAME_CODES = {
     "BOOLEAN": 16,
     "BINARY": -2,
 }
+SPARK_CODES = {"integer": 4, "long": -5, "float": 6, "double": 8, "boolean": 16, "binary": -2}
 VARCHAR = 12
 
 
@@ -30,6 +31,16 @@ def read_jdbc_columns(spark: SparkSession, url: str, catalog: str, tables: list[
     )
 
 
+def read_table_columns(spark: SparkSession, tables: list[str]) -> DataFrame:
+    """tbl, ordinal, col, jdbc_type of tables and views that Spark knows. Schemas are driver metadata."""
+    rows = [
+        (table, place, field.name, SPARK_CODES.get(field.dataType.typeName(), VARCHAR))
+        for table in tables
+        for place, field in enumerate(spark.table(table).schema.fields, 1)
+    ]
+    return spark.createDataFrame(rows, "tbl string, ordinal int, col string, jdbc_type int")
+
+
 def code_of(type_name: Column) -> Column:
     known = F.create_map(*[F.lit(x) for pair in TYPE_NAME_CODES.items() for x in pair])
     return F.coalesce(F.try_element_at(known, F.upper(type_name)), F.lit(VARCHAR))

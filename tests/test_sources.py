@@ -132,3 +132,9 @@ def test_register_all_dialects(spark):
     assert {n for n, s in got.items() if s == "refused"} == {11, 13, 21, 23, 31, 33, 52, 61}
     assert got[32] == "present"
     assert all(got[n] == "added" for n in (10, 12, 20, 22, 30, 40, 41, 42, 50, 51, 60))
+
+
+def test_columns_of_spark_tables(spark):
+    spark.sql("select 1 as a, 2L as b, 'x' as c, current_date() as d").createOrReplaceTempView("some_view")
+    got = [tuple(r) for r in columns.read_table_columns(spark, ["some_view"]).orderBy("ordinal").collect()]
+    assert got == [("some_view", 1, "a", 4), ("some_view", 2, "b", -5), ("some_view", 3, "c", 12), ("some_view", 4, "d", 12)]
