@@ -5,7 +5,7 @@ goes only where its whole host is bad at that rule, that is, where the host's sh
 `host_rate`. Clean documents of bad hosts stay.
 
 Built-in expressions only. The numbers of all documents are stored once (`cut`), hosts are aggregated with
-map-side combine, and the verdicts of hosts are a table of one row per host, which is joined back; its size on
+map-side combine, the prior comes from two rows of sums, and the verdicts of hosts are a table of one row per host, which is joined back; its size on
 storage lets the optimizer choose between a broadcast and a shuffle.
 
 Defined results: a null or empty text has no words and fails the base rule; a null host is a host of its own;
@@ -105,23 +105,23 @@ def host_verdicts(df: DataFrame, host: str = "source", host_rate: float = HOST_R
     The beta prior of a rule is fitted by moments: its mean is the rate over all documents, its variance that of
     the hosts' rates less what chance alone gives. Without such variance every host gets the mean.
     """
-    hosts = df.groupBy(F.col(host).alias("host")).agg(
-        F.count(F.lit(1)).alias("n_docs"), *(F.sum(F.col(f"{r}_failed").cast("long")).alias(f"k_{r}") for r in RULES)
-    )
-    n, c = F.col("n_docs"), F.col
-    means = hosts.agg(
-        F.sum(n).alias("all_docs"), F.count(F.lit(1)).alias("all_hosts"), *((F.sum(f"k_{r}") / F.sum(n)).alias(f"m_{r}") for r in RULES)
-    )
-    spread = hosts.crossJoin(F.broadcast(means)).groupBy("all_docs", "all_hosts", *(f"m_{r}" for r in RULES)).agg(
-        *((F.sum(n * F.pow(c(f"k_{r}") / n - c(f"m_{r}"), F.lit(2.0))) / F.sum(n)).alias(f"v_{r}") for r in RULES)
+    hosts = cut(
+        df.groupBy(F.col(host).alias("host")).agg(
+            F.count(F.lit(1)).alias("n_docs"), *(F.sum(F.col(f"{r}_failed").cast("long")).alias(f"k_{r}") for r in RULES)
+        )
     )
-    out = hosts.crossJoin(F.broadcast(spread))
-    for r in RULES:
-        mean, chance = c(f"m_{r}"), c(f"m_{r}") * (1 - c(f"m_{r}"))
-        between = c(f"v_{r}") - chance * c("all_hosts") / c("all_docs")
-        weight = F.when(between > 1e-12, F.greatest(chance / between - 1, F.lit(0.001))).otherwise(1e12)
-        out = out.withColumn(f"rate_{r}", (c(f"k_{r}") + mean * weight) / (n + weight))
-        out = out.withColumn(f"bad_{r}", c(f"rate_{r}") > host_rate)
+    n, docs = F.col("n_docs"), F.sum("n_docs")
+    all_docs, all_hosts, *means = hosts.agg(docs, F.count(F.lit(1)), *(F.sum(f"k_{r}") / docs for r in RULES)).first()
+    if not all_hosts:
+        means = [0.0] * len(RULES)
+    spreads = [F.sum(n * F.pow(F.col(f"k_{r}") / n - m, F.lit(2.0))) / docs for r, m in zip(RULES, means, strict=True)]
+    out = hosts
+    for r, mean, spread in zip(RULES, means, hosts.agg(*spreads).first(), strict=True):
+        chance = mean * (1 - mean)
+        between = (spread or 0.0) - (chance * all_hosts / all_docs if all_docs else 0.0)
+        weight = max(chance / between - 1, 0.001) if between > 1e-12 else 1e12
+        out = out.withColumn(f"rate_{r}", (F.col(f"k_{r}") + mean * weight) / (n + weight))
+        out = out.withColumn(f"bad_{r}", F.col(f"rate_{r}") > host_rate)
     return out.select("host", "n_docs", *(f"{x}_{r}" for r in RULES for x in ("rate", "bad")))
 
 
