@@ -1 +1,2 @@
 SF_DIR = "/root/testdata/sf0.001"
+MORE_DIR = "/root/testdata/sf0.01"
