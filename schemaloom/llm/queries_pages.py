@@ -1,10 +1,11 @@
-"""Queries over pages: WARC archives."""
+"""Queries over pages: WARC archives and main text."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from schemaloom.llm import warc
+from schemaloom.llm import html_text, warc
 from schemaloom.llm.tables import read
 
 
@@ -14,5 +15,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op8_warc": op8_warc}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES = {"op8_warc": op8_warc, "op10_html_text": op10_html_text}
 ORACLES: dict[str, str] = {}
