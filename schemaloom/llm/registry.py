@@ -1,7 +1,25 @@
 """All queries of this subpackage with their SQL."""
 
-from schemaloom.llm import queries_benchmark, queries_pages, queries_privacy, queries_quality, queries_scores, queries_secrets, queries_tokens
+from schemaloom.llm import (
+    queries_benchmark,
+    queries_duplicates,
+    queries_pages,
+    queries_privacy,
+    queries_quality,
+    queries_scores,
+    queries_secrets,
+    queries_tokens,
+)
 
-_ALL = (queries_benchmark, queries_pages, queries_privacy, queries_quality, queries_scores, queries_secrets, queries_tokens)
+_ALL = (
+    queries_benchmark,
+    queries_duplicates,
+    queries_pages,
+    queries_privacy,
+    queries_quality,
+    queries_scores,
+    queries_secrets,
+    queries_tokens,
+)
 QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _ALL for k, v in m.ORACLES.items()}
