@@ -26,7 +26,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.llm import hyperminhash as hmh
@@ -187,7 +187,10 @@ def meeting(buckets: DataFrame, percent: int, block: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
+
+    Besides, t (digest of the text) and root (the component, null without words), to find rows without an id by.
+    """
     rows = cut(signatures(docs, size))
     classes = cut(rows.where("n > 0").dropDuplicates(["v"]))
     keyed = classes.select("v", F.posexplode("regs").alias("band", "reg"))
@@ -211,9 +214,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
 
     final = first.join(second, "comp", "left").select("v", F.coalesce("root", "comp").alias("root"))
     alone = second.join(first.select(F.col("v").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("v"), "root")
-    labelled = rows.select("doc_id", "n", "v").join(cut(final.unionByName(alone)), "v", "left")
+    labelled = rows.select("doc_id", "t", "n", "v").join(cut(final.unionByName(alone)), "v", "left")
     labelled = labelled.withColumn("root", F.coalesce("root", "v"))
     least = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     own = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
-    out = labelled.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), own)
+    out = labelled.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), own, "t", "root")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stay when one of each component does: that with the smallest doc_id.
+
+    Texts without words all stay. Of rows that repeat the smallest doc_id, or of a component without any, one stays.
+    """
+    judged = cut(near_duplicates(docs, size, percent).select("doc_id", "t", "root", "kept"))
+    stay = judged.where("kept and root is not null")
+    several = stay.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
+    several = cut(stay.join(several, "root", "left_semi").select("doc_id", "t", "root").distinct())
+    gone = judged.where("not kept").select("doc_id", "t").unionByName(several.select("doc_id", "t")).distinct()
+    out = docs.join(_named(cut(gone)), _same_row(), "left_anti")
+    if several.isEmpty():
+        return out
+    again = docs.join(_named(several), _same_row()).dropDuplicates(["__root"]).select(*docs.columns)
+    return out.unionByName(again)
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.select(*(F.col(c).alias(f"__{c}") for c in rows.columns))
+
+
+def _same_row() -> Column:
+    return F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text").eqNullSafe(F.col("__t")))

@@ -141,3 +141,14 @@ def test_op1(spark):
 
     rows = duckdb.connect().execute(f"select doc_id, text from '{MORE_DIR}/documents.parquet'").fetchall()
     assert got(queries_duplicates.op1_near_duplicates(spark, MORE_DIR)) == brute(rows, 3, 85)
+
+
+def test_one_row_of_each_stays(spark, odd_docs, no_docs):
+    got_ids = sorted((repr(r.doc_id), r.n_tokens) for r in nd.first_of_each(odd_docs, 3, 85).collect())
+    assert got_ids == sorted((repr(i), "x") for i in (1, 2, 3, 4, 5, 7, 8, 9, None))
+    rows = [(None, "two words twice"), (None, "two words twice"), (3, "x y z a"), (3, "x y z a"), (4, "x y z a"), (5, None), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(repr, map(tuple, nd.first_of_each(docs, 3, 85).collect()))) == sorted(
+        ["(None, 'two words twice')", "(3, 'x y z a')", "(5, None)", "(5, None)"]
+    )
+    assert nd.first_of_each(no_docs).collect() == []
