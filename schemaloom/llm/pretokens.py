@@ -68,6 +68,10 @@ class TextEncoder:
         return Remembered(self._chunk)
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha():  # letters alone are one pre-token with the space before them
+            return self.resolve(" " + chunk)
+        if chunk[-1:] in (".", ",") and (word := chunk[:-1]).isalpha():
+            return self.chunks[word] + self.tokens[chunk[-1]]
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise Uneven
         return self._by_pattern(" " + chunk)

@@ -22,6 +22,7 @@ gives no shards; extra columns are left alone.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import cached_property
@@ -41,13 +42,24 @@ _SCHEMA = """part long, part_start long, first_id long, last_id long, n_ids long
 width int, payload binary, level_sizes array<long>, level_bits binary, fingerprints binary, rows binary"""
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable ones as they are, the others from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class LibraryEncoder(TextEncoder):
-    """Encodes with the tokenizers library: each pre-token that a task has not met yet goes through it once.
+    """Encodes with the tokenizers library: each pre-token that a task has not met yet goes through the library's model.
 
-    Byte-level pre-tokens are encoded one by one by the library, too, so that the ids are those of whole texts.
+    Byte-level pre-tokens are encoded one by one by the library, too, so that the ids are those of whole texts, with
+    the strings of special tokens as ordinary text.
     """
 
     def __init__(self, content: str, pattern: str):
+        told = json.loads(content)
+        if told["normalizer"] or told["pre_tokenizer"]["type"] != "ByteLevel" or told["pre_tokenizer"]["add_prefix_space"]:
+            raise ValueError("only byte-level vocabularies without a normalizer or a prefix space")
         self.content, self.pattern = content, pattern
 
     def __getstate__(self) -> tuple:
@@ -60,12 +72,15 @@ class LibraryEncoder(TextEncoder):
     def library(self):
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_str(self.content)
-        made.encode_special_tokens = True  # a special token's string in a text is ordinary text
-        return made
+        return Tokenizer.from_str(self.content).model
+
+    @cached_property
+    def letters(self) -> dict[int, str]:
+        return _byte_letters()
 
     def resolve(self, token: str) -> bytes:
-        return pack_ids(self.library.encode(token, add_special_tokens=False).ids)
+        spelled = token.encode().decode("latin-1").translate(self.letters)
+        return pack_ids([x.id for x in self.library.tokenize(spelled)])
 
 
 def fingerprint(keys: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
-from tests_llm_paths import SF_DIR
+from tests_llm_paths import SF_DIR, no_docs, odd_docs, some_docs  # noqa: F401
 from tokenizers import Tokenizer
 
 from schemaloom.llm import byte_bpe, queries_tokens, token_files
@@ -63,6 +63,14 @@ def test_merges_like_the_library(ranks, theirs):
         assert mine.decode(ids) == text.encode()
 
 
+def test_library_model_gives_the_ids_of_whole_texts(library):
+    mine, r = library_encoder(), random.Random(4)
+    letters = "ab'sS tT\n\r\t\x0b\x1c\x85\xa0  éßſKİ½²٣中あ한😀-<|endoftext|>’re., "
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    for text in [*texts, "<|endoftext|> x", "a" * 5000, " \n x"]:
+        assert np.frombuffer(mine.encode_text(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_memory_is_bounded():
     calls = []
     known = Remembered(lambda x: calls.append(x) or x.encode(), size=2)
