@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from tests_llm_paths import MORE_DIR, SF_DIR
+from tests_llm_paths import MORE_DIR, SF_DIR, no_docs, odd_docs  # noqa: F401
 
 from schemaloom.llm import decontaminate as d
 from schemaloom.llm import queries_benchmark

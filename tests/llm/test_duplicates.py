@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from tests_llm_paths import MORE_DIR
+from tests_llm_paths import MORE_DIR, no_docs, odd_docs  # noqa: F401
 
 from schemaloom.llm import hyperminhash as hmh
 from schemaloom.llm import near_duplicates as nd

@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from tests_llm_paths import MORE_DIR
+from tests_llm_paths import MORE_DIR, no_docs, odd_docs  # noqa: F401
 
 from schemaloom.llm import pii, queries_privacy
 

@@ -10,7 +10,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from test_benchmark import edits_to_best_part
 from test_duplicates import brute as brute_duplicates
-from tests_llm_paths import MORE_DIR, SF_DIR
+from tests_llm_paths import MORE_DIR, SF_DIR, no_docs, odd_docs, some_docs  # noqa: F401
 
 from schemaloom.llm import byte_bpe, decontaminate, quality
 from schemaloom.session import cut
