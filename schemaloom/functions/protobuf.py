@@ -46,7 +46,7 @@ def breaks(before: Column, after: Column) -> Column:
         # if any number of a range is lost, so is its first one or one right after a range of "after"
         starts = F.concat(
             F.array(r["lo"]),
-            F.transform(F.filter(after["ranges"], lambda a: a["scope"] == r["scope"]), lambda a: a["hi"] + 1),
+            F.transform(F.filter(after["ranges"], lambda a: a["scope"] == r["scope"]), lambda a: a["hi"].cast("bigint") + 1),
         )
         return F.exists(
             starts, lambda p: p.between(r["lo"], r["hi"]) & ~_inside(after["ranges"], r["scope"], p)

@@ -69,12 +69,12 @@ def _kind(s: Column, block: Column) -> Column:
         .when((word == "option") & text.rlike(_OPTION), "option")
         .when(word.isin("message", "enum", "service", "extend", "oneof") & text.rlike(_BLOCK), word)
         .when((word == "rpc") & text.rlike(_RPC), "rpc")
-        .when((word == "reserved") & text.rlike(_RESERVED), "reserved")
+        .when((word == "reserved") & text.rlike(_RESERVED), F.when(_ranges_fit(text), "reserved").otherwise("unknown"))
         .when((word == "extensions") & text.rlike(_EXTENSIONS), "extensions")
         .when((block == "file") & word.isin("syntax", "package", "import") & text.rlike(_FILE_LINE), word)
         .when((s["end"] == "{") & text.rlike(_GROUP), "group")
-        .when(block == "enum", F.when(text.rlike(_CONSTANT), "constant").otherwise("unknown"))
-        .when(text.rlike(_FIELD), "field")
+        .when(block == "enum", F.when(text.rlike(_CONSTANT) & constant_tag(text).isNotNull(), "constant").otherwise("unknown"))
+        .when(text.rlike(_FIELD) & field_tag(text).isNotNull(), "field")
         .otherwise("unknown")
     )
 
@@ -148,8 +148,13 @@ def nest(parts: Column) -> Column:
 
 
 def _number(text: Column) -> Column:
+    """Null for a number that is out of all ranges; the statement then is none."""
     hexed = F.conv(F.substring(text, 3, 16), 16, 10)
-    return F.when(text.rlike("^0[xX]"), hexed).otherwise(text).cast("int")
+    return F.when(text.rlike("^0[xX]"), hexed).otherwise(text).try_cast("bigint")
+
+
+def _ranges_fit(text: Column) -> Column:
+    return F.forall(reserved_ranges(text), lambda r: r["lo"].isNotNull() & r["hi"].isNotNull())
 
 
 def field_label(text: Column) -> Column:
@@ -166,7 +171,7 @@ def field_name(text: Column) -> Column:
 
 
 def field_tag(text: Column) -> Column:
-    return _number(F.regexp_extract(text, _FIELD, 4))
+    return _number(F.regexp_extract(text, _FIELD, 4)).try_cast("int")
 
 
 def constant_name(text: Column) -> Column:
@@ -175,7 +180,7 @@ def constant_name(text: Column) -> Column:
 
 def constant_tag(text: Column) -> Column:
     value = _number(F.regexp_extract(text, _CONSTANT, 3))
-    return F.when(F.regexp_extract(text, _CONSTANT, 2) == "-", -value).otherwise(value)
+    return F.when(F.regexp_extract(text, _CONSTANT, 2) == "-", -value).otherwise(value).try_cast("int")
 
 
 def reserved_ranges(text: Column) -> Column:
@@ -184,8 +189,8 @@ def reserved_ranges(text: Column) -> Column:
     return F.transform(
         F.regexp_extract_all(unquoted, F.lit(rf"({_RANGE})"), F.lit(1)),
         lambda r: F.struct(
-            F.regexp_extract(r, r"^(\d+)", 1).cast("int").alias("lo"),
-            F.when(r.endswith("max"), F.lit(MAX_TAG)).otherwise(F.regexp_extract(r, r"(\d+)$", 1).cast("int")).alias("hi"),
+            F.regexp_extract(r, r"^(\d+)", 1).try_cast("int").alias("lo"),
+            F.when(r.endswith("max"), F.lit(MAX_TAG)).otherwise(F.regexp_extract(r, r"(\d+)$", 1).try_cast("int")).alias("hi"),
         ),
     )
 

@@ -12,6 +12,10 @@ from . import protobuf_documents
 DIALECTS = ["AVRO", "PROTOBUF", "JSON_SCHEMA"]
 
 
+# Fixed value: what a text of no dialect is refused with.
+REFUSAL = "can't parse provided schema as any known type"
+
+
 def canonicalise(raws: DataFrame) -> DataFrame:
     """Distinct texts with dialect, content (canonical text), hash, the Avro nodes and the Protobuf statements.
 
@@ -21,7 +25,8 @@ def canonicalise(raws: DataFrame) -> DataFrame:
     distinct = spread(raws.select("raw").distinct(), "raw")
     # text that is not JSON cannot be Avro, and JSON text cannot be Protobuf: only one reader per text
     typed = with_computed(distinct, "_json", canonical_json(F.col("raw")))
-    avro = typed.withColumn("_avro", avro_text.parse(F.when(F.col("_json").isNotNull(), F.col("raw"))))
+    json_text = F.when(F.col("_json").isNotNull(), F.col("raw"))
+    avro = typed.withColumns({"_avro": avro_text.parse(json_text), "_single": avro_text.single_keys(json_text)})
     tried = protobuf_documents.parse(
         avro.withColumn("_maybe_proto", F.when(F.col("_json").isNull(), F.col("raw"))), "_maybe_proto"
     )
@@ -33,7 +38,7 @@ def canonicalise(raws: DataFrame) -> DataFrame:
     content = (
         F.when(F.col("dialect") == "AVRO", F.col("_avro.canonical"))
         .when(F.col("dialect") == "PROTOBUF", F.col("_proto"))
-        .when(F.col("dialect") == "JSON_SCHEMA", F.col("_json"))
+        .when(F.col("dialect") == "JSON_SCHEMA", F.coalesce("_single", "_json"))
     )
     return with_computed(chosen, "content", content).select(
         "raw", "dialect", "content", fingerprint(F.col("content")).alias("hash"),
@@ -49,7 +54,7 @@ def with_documents(rows: DataFrame, documents: DataFrame) -> DataFrame:
 def quarantine(rows: DataFrame) -> DataFrame:
     """Rows whose text no dialect accepts, with the reason."""
     return rows.where(F.col("dialect").isNull()).withColumn(
-        "reason", F.lit("can't parse provided schema as any known type")
+        "reason", F.lit(REFUSAL)
     )
 
 

@@ -14,10 +14,14 @@ from .protobuf_documents import bundle
 
 @dataclass(frozen=True)
 class Catalog:
-    """schemas: schema_id, hash, dialect, content; versions: subject, version, schema_id, deleted."""
+    """schemas: schema_id, hash, dialect, content; versions: subject, version, schema_id, deleted.
+
+    rejected: seq, subject, raw, reason of the requests whose text no dialect accepts.
+    """
 
     schemas: DataFrame
     versions: DataFrame
+    rejected: DataFrame
 
 
 def _fields(nodes: Column) -> Column:
@@ -35,21 +39,24 @@ def _fields(nodes: Column) -> Column:
 
 @dataclass(frozen=True)
 class Numbered:
-    """log: registrations by schema id; schemas: schema_id, hash, dialect, content; docs: schema_id, doc."""
+    """log: registrations by schema id; schemas: schema_id, hash, dialect, content; docs: schema_id, doc; rejected."""
 
     log: DataFrame
     schemas: DataFrame
     docs: DataFrame
+    rejected: DataFrame
 
 
 def number_documents(requests: DataFrame) -> Numbered:
-    """Requests (seq, subject, raw) by schema id; texts of no dialect are left out.
+    """Requests (seq, subject, raw) by schema id; those with a text of no dialect are set aside as rejected.
 
     ``doc`` is what verdicts compare.
     """
     # texts are read once and kept: everything below joins to them
     read = cut(documents.canonicalise(requests.select("raw")))
-    known = documents.with_documents(requests, read).where(F.col("hash").isNotNull())
+    typed = documents.with_documents(requests, read)
+    known = typed.where(F.col("hash").isNotNull())
+    rejected = documents.quarantine(typed).select("seq", "subject", "raw", "reason")
     numbered = registration.assign_schema_ids(registration.dedup_schemas(known.select("seq", "hash", "content")))
     facts = read.where(F.col("hash").isNotNull()).groupBy("hash").agg(
         F.any_value(F.struct("dialect", "avro_nodes", "proto_out")).alias("f")
@@ -73,7 +80,7 @@ def number_documents(requests: DataFrame) -> Numbered:
         F.lit(0).alias("delete_version"),
         "exact",
     )
-    return Numbered(log, described.drop("doc"), described.select("schema_id", "doc"))
+    return Numbered(log, described.drop("doc"), described.select("schema_id", "doc"), rejected)
 
 
 def replay_documents(log: DataFrame, docs: DataFrame, repeats: bool = True, **sizes) -> DataFrame:
@@ -95,7 +102,7 @@ def register(requests: DataFrame, settings: DataFrame | None = None) -> Catalog:
     numbered = number_documents(requests)
     log = with_settings(numbered, settings) if settings is not None else numbered.log
     events = replay_documents(log, numbered.docs, repeats=False)
-    return Catalog(numbered.schemas, cut(replay.versions_of(events)))
+    return Catalog(numbered.schemas, cut(replay.versions_of(events)), numbered.rejected)
 
 
 def latest_documents(catalog: Catalog) -> DataFrame:

@@ -138,3 +138,17 @@ def test_columns_of_spark_tables(spark):
     spark.sql("select 1 as a, 2L as b, 'x' as c, current_date() as d").createOrReplaceTempView("some_view")
     got = [tuple(r) for r in columns.read_table_columns(spark, ["some_view"]).orderBy("ordinal").collect()]
     assert got == [("some_view", 1, "a", 4), ("some_view", 2, "b", -5), ("some_view", 3, "c", 12), ("some_view", 4, "d", 12)]
+
+
+def test_texts_out_of_range_are_set_aside(spark):
+    texts = [
+        (1, "a", "message A { int32 a = 99999999999; }"), (2, "a", "message A { reserved 5 to 99999999999; }"),
+        (3, "a", "enum E { X = 99999999999; }"), (4, "a", "message A { int32 a = 1 [default = 99999999999]; reserved 2147483647; }"),
+        (5, "b", '{"type":"fixed","name":"F","size":99999999999}'), (6, "b", '{"type":"record","name":"R","aliases":[1],"fields":[]}'),
+        (7, "c", '{"a":1,"b":2,"a":3}'), (8, "c", '{"a":3,"b":2}'), (9, "d", "no schema"),
+    ]
+    catalog = registering.register(spark.createDataFrame(texts, "seq bigint, subject string, raw string"))
+    assert sorted(r["seq"] for r in catalog.rejected.collect()) == [1, 2, 3, 9]
+    found = {r["content"]: r["dialect"] for r in catalog.schemas.collect()}
+    assert found['{"a":3,"b":2}'] == "JSON_SCHEMA" and len(found) == 4
+    assert sorted(found.values()) == ["JSON_SCHEMA"] * 3 + ["PROTOBUF"]
