@@ -2,7 +2,7 @@
 
 A batch appends what changed: version events, level changes and new schemas. Writing a batch again
 replaces its directory, so a retried batch leaves the same state. ``compact`` folds all batches into
-one.
+one, number -1, so that a stream that starts anew on it (with batch 0) goes on from that state.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,8 +11,9 @@ VERSION_EVENTS = "subject string, version int, schema_id int, deleted boolean, s
 LEVELS = "subject string, level string, seq bigint"
 OUTCOMES = "subject string, seq bigint, op string, status string, schema_id int, versions array<int>"
 REJECTED = "subject string, seq bigint, op string, reason string"
+MARKS = "seq bigint"
 
-TABLES = {"version_events": VERSION_EVENTS, "levels": LEVELS, "outcomes": OUTCOMES, "rejected": REJECTED}
+TABLES = {"version_events": VERSION_EVENTS, "levels": LEVELS, "outcomes": OUTCOMES, "rejected": REJECTED, "marks": MARKS}
 
 
 class CatalogStore:
@@ -54,12 +55,12 @@ class CatalogStore:
         return self.read("levels", before).groupBy("subject").agg(F.max_by("level", "seq").alias("level"))
 
     def high_water(self, before: int | None = None) -> int:
-        """Largest sequence number taken so far, -1 if none."""
-        taken = [self.read(t, before).agg(F.max("seq")).first()[0] for t in ("outcomes", "levels")]
-        return max([t for t in taken if t is not None], default=-1)
+        """Largest sequence number taken so far, -1 if none; from one row per batch."""
+        taken = self.read("marks", before).agg(F.max("seq")).first()[0]
+        return -1 if taken is None else taken
 
     def compact(self, path: str) -> "CatalogStore":
-        """Write the current state as batch 0 of another store."""
+        """Write the current state to another store, below all batches a stream may write there."""
         other = CatalogStore(self.spark, path)
         for table in TABLES:
             rows = self.read(table)
@@ -69,5 +70,7 @@ class CatalogStore:
                 )
             elif table == "levels":
                 rows = rows.groupBy("subject").agg(F.max_by("level", "seq").alias("level"), F.max("seq").alias("seq"))
-            other.write(table, rows, 0)
+            elif table == "marks":
+                rows = rows.agg(F.max("seq").alias("seq")).where("seq is not null")
+            other.write(table, rows, -1)
         return other

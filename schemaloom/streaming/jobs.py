@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..functions.versions import GLOBAL_SUBJECT
+from ..functions.versions import GLOBAL_SUBJECT, is_settable
 from ..operators import replay
+from ..session import cut
 from ..sources.snapshots import CatalogStore
 
 
@@ -22,6 +23,7 @@ def register_batch(store: CatalogStore, docs: DataFrame, fold_ops: int = replay.
     """
 
     def fold(rows: DataFrame, batch: int) -> None:
+        rows = cut(rows)  # the source is read once
         mark = store.high_water(batch)
         late = rows.where(F.col("seq") <= mark)
         store.write("rejected", late.select("subject", "seq", "op", F.lit("late").alias("reason")), batch)
@@ -36,6 +38,7 @@ def register_batch(store: CatalogStore, docs: DataFrame, fold_ops: int = replay.
         done = store.read_batch("outcomes", batch)
         store.write("version_events", _version_events(done), batch)
         store.write("levels", _level_changes(log), batch)
+        store.write("marks", log.agg(F.max("seq").alias("seq")).where("seq is not null"), batch)
 
     return fold
 
@@ -70,7 +73,8 @@ def _version_events(events: DataFrame) -> DataFrame:
 
 def _level_changes(log: DataFrame) -> DataFrame:
     subject = F.when(F.col("op") == "GLOBAL", F.lit(GLOBAL_SUBJECT)).otherwise(F.col("subject"))
-    return log.where(F.col("op").isin("CONFIG", "GLOBAL")).select(
+    # a refused level changes nothing
+    return log.where(F.col("op").isin("CONFIG", "GLOBAL") & is_settable(F.col("level_set"))).select(
         subject.alias("subject"), F.col("level_set").alias("level"), "seq"
     )
 

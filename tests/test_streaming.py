@@ -68,3 +68,26 @@ def test_check(spark, log, tmp_path):
     run(jobs.check(stream, newest, verdicts).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck"))
     same_rows(spark.read.parquet(f"{tmp_path}/out"), jobs.check(asked, newest, verdicts))
     assert spark.read.parquet(f"{tmp_path}/out").select("is_compatible").distinct().count() == 2
+
+
+def test_refused_level_and_restart_after_compaction(spark, tmp_path):
+    docs = spark.createDataFrame(
+        [(1, [("a", "int", False)]), (2, [("b", "int", False)])],
+        "schema_id int, doc array<struct<name:string,type:string,has_default:boolean>>",
+    )
+    rows = [
+        (1, "s", "CONFIG", None, "FULL", 0), (2, "s", "REGISTER", 1, None, 0), (3, "s", "CONFIG", None, "WRONG", 0),
+        (4, "s", "REGISTER", 2, None, 0), (5, "t", "REGISTER", 2, None, 0),
+    ]
+    log = spark.createDataFrame(rows, "seq bigint, subject string, op string, schema_id int, level_set string, delete_version int")
+    whole = replay.replay_events(log, docs)
+    assert {r["seq"]: r["status"] for r in whole.collect()} == {2: "added", 4: "refused", 5: "added"}
+    store = CatalogStore(spark, f"{tmp_path}/store")
+    jobs.register_batch(store, docs)(log.where("seq < 4"), 0)
+    jobs.register_batch(store, docs)(log.where("seq = 4"), 1)
+    compacted = store.compact(f"{tmp_path}/compacted")
+    assert compacted.high_water() == 4
+    # a stream that starts anew writes batch 0 and keeps what was there
+    jobs.register_batch(compacted, docs)(log.where("seq = 5"), 0)
+    same_rows(compacted.versions(), replay.versions_of(whole))
+    assert [tuple(r) for r in compacted.levels().collect()] == [("s", "FULL")]
