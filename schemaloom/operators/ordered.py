@@ -1,32 +1,38 @@
 """Ordered computations whose groups stay bounded however hot a key is.
 
-A plain window over one subject puts all rows of that subject into one task. Here the order column
-(an integer that is unique within the keys) is cut into slots of ``span`` values, so that a window
-over (keys, slot) never holds more than ``span`` rows. One aggregate row per (keys, slot) is then
-enough to carry the running value from slot to slot, and is joined back on (keys, slot).
-
-``span=None`` means one slot: for callers that have checked that no group exceeds ``SPAN`` rows.
+A plain window over one subject puts all rows of that subject into one task. Here the rows are cut into
+slots, so that a window over (keys, slot) is bounded. One aggregate row per (keys, slot) is then enough
+to carry the running value from slot to slot, and is joined back on (keys, slot).
+
+With keys, a slot is ``span`` values of the order column (an integer that is unique within the keys).
+Without keys the rows are dealt out by ranges of the order column and a slot is one range, so that there
+are as many slots as partitions, however sparse the values are. The ranges are stored once: a range
+must mean the same rows to all that read it.
 """
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut
+
 SPAN = 1 << 20
 
 _SLOT = "_slot"
 
 
-def _slotted(df: DataFrame, order: str, span: int) -> DataFrame:
-    return df.withColumn(_SLOT, F.expr(f"`{order}` div {int(span)}L"))
+def _slotted(df: DataFrame, keys: list[str], order: str, span: int) -> DataFrame:
+    if keys:
+        return df.withColumn(_SLOT, F.expr(f"`{order}` div {int(span)}L"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(n, order).withColumn(_SLOT, F.spark_partition_id().cast("bigint")))
 
 
-def slot_keys(keys: list[str], order: str, span: int | None) -> list:
+def slot_keys(keys: list[str], order: str, span: int) -> list:
     """Partitioning of a window that never leaves a slot."""
-    if span is None:
-        return list(keys) or [F.lit(0)]
     return [*keys, F.expr(f"`{order}` div {int(span)}L")]
 
 
 def _earlier_slots(keys):
+    # without keys: one row per range
     return W.partitionBy(*(keys or [F.lit(0)])).orderBy(_SLOT).rowsBetween(W.unboundedPreceding, -1)
 
 
@@ -34,12 +40,9 @@ def _earlier_rows(keys, order):
     return W.partitionBy(*keys, _SLOT).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
 
 
-def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column], span: int | None = SPAN) -> DataFrame:
+def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column], span: int = SPAN) -> DataFrame:
     """Add, per name in ``sums``, the sum of the expression over the earlier rows of the same keys."""
-    if span is None:
-        plain = W.partitionBy(*slot_keys(keys, order, None)).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-        return df.select("*", *[F.coalesce(F.sum(e).over(plain), F.lit(0)).alias(n) for n, e in sums.items()])
-    rows = _slotted(df, order, span)
+    rows = _slotted(df, keys, order, span)
     inside = rows.select(
         "*", *[F.coalesce(F.sum(e).over(_earlier_rows(keys, order)), F.lit(0)).alias(f"_in_{n}") for n, e in sums.items()]
     )
@@ -53,21 +56,18 @@ def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, Col
     )
 
 
-def number_rows(df: DataFrame, keys: list[str], order: str, out: str, span: int | None = SPAN) -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], order: str, out: str, span: int = SPAN) -> DataFrame:
     """1-based position of each row within its keys, by ``order``."""
     counted = running_sums(df, keys, order, {out: F.lit(1)}, span)
     return counted.withColumn(out, (F.col(out) + 1).cast("int"))
 
 
 def last_before(
-    df: DataFrame, keys: list[str], order: str, value: Column, when: Column, out: str, span: int | None = SPAN
+    df: DataFrame, keys: list[str], order: str, value: Column, when: Column, out: str, span: int = SPAN
 ) -> DataFrame:
     """Add the value of the latest earlier row of the same keys that satisfies ``when`` (null if none)."""
     found = F.when(when, F.struct(value.alias("v")))
-    if span is None:
-        plain = W.partitionBy(*slot_keys(keys, order, None)).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-        return df.select("*", F.last(found, ignorenulls=True).over(plain)["v"].alias(out))
-    rows = _slotted(df, order, span)
+    rows = _slotted(df, keys, order, span)
     inside = rows.select("*", F.last(found, ignorenulls=True).over(_earlier_rows(keys, order)).alias("_in"))
     # a slot without such a row has a null end, which the next slots look past
     ends = rows.groupBy(*keys, _SLOT).agg(

@@ -127,7 +127,7 @@ def _step(verdict: Verdict) -> Callable[[Column, Column], Column]:
     return step
 
 
-def prepare(log: DataFrame, docs: DataFrame, span: int | None = SPAN, steady: Column | None = None) -> DataFrame:
+def prepare(log: DataFrame, docs: DataFrame, span: int = SPAN, steady: Column | None = None) -> DataFrame:
     """Attach the level in force, drop level changes, mark heads of runs.
 
     A registration that directly follows the same registration of its subject at the same level
@@ -158,7 +158,8 @@ def _fold(heads: DataFrame, carried: DataFrame | None, verdict: Verdict) -> Data
     """One round: the given operations of each subject on top of its carried state."""
     doc_type = heads.schema["doc"].dataType.simpleString()
     empty = F.array().cast(_state_type(doc_type))
-    parts = heads.groupBy("subject").agg(
+    # dealt out by subject whatever the plan above has established
+    parts = heads.repartition("subject").groupBy("subject").agg(
         F.sort_array(
             F.collect_list(F.struct("seq", "op", "schema_id", "level", "own_level", "delete_version", "exact", "doc"))
         ).alias("ops")
@@ -194,17 +195,10 @@ def replay_events(
     continues an earlier replay. ``repeats=False`` leaves out the repeats of a run, which never
     change the state: enough for version tables.
     """
-    sizes = log.groupBy("subject").agg(F.count("*").alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi"))
-    busiest, lo, hi = sizes.agg(F.max("n"), F.min("lo"), F.max("hi")).first()
-    if busiest is None or hi - lo < span:
-        span = None
-    prepared = prepare(log, docs, span, steady)
+    prepared = cut(prepare(log, docs, span, steady))
     # only heads carry a document
     heads = prepared.where("seq = head_seq").drop("head_seq").join(docs.select("schema_id", "doc"), "schema_id", "left")
-    if busiest is None or busiest <= fold_ops:
-        events = _fold(heads, carried, verdict).select("subject", F.inline("events"))
-    else:
-        events = _fold_rounds(heads, carried, verdict, fold_ops, span)
+    events = _fold_rounds(heads, carried, verdict, fold_ops, span)
     return _spread_runs(prepared, events) if repeats else events
 
 
@@ -219,7 +213,7 @@ def _fold_rounds(heads, carried, verdict, fold_ops, span) -> DataFrame:
     rounds = placed.agg(F.max("_round")).first()[0]
     folder = new_folder(spark)
     schema = None
-    for number in range(int(rounds) + 1):
+    for number in range(int(rounds or 0) + 1):
         part = _fold(placed.where(F.col("_round") == number).drop("_round"), carried, verdict)
         schema = part.schema
         part.write.parquet(f"{folder}/round={number}")

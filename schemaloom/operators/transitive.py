@@ -139,9 +139,9 @@ def _pieces(ranges: DataFrame, tags: DataFrame) -> DataFrame:
     Two ranges then share a number exactly if they share a piece, and a tag is a piece of its own:
     numbers compare by equality, and a range of millions of numbers stays a few pieces.
     """
-    ends = ranges.select("subject", "scope", F.explode(F.array("lo", F.col("hi") + 1)).alias("piece"))
+    ends = ranges.select("subject", "scope", F.explode(F.array(F.col("lo").cast("bigint"), F.col("hi").cast("bigint") + 1)).alias("piece"))
     points = ends.unionByName(
-        tags.select("subject", "scope", F.explode(F.array("tag", F.col("tag") + 1)).alias("piece"))
+        tags.select("subject", "scope", F.explode(F.array(F.col("tag").cast("bigint"), F.col("tag").cast("bigint") + 1)).alias("piece"))
     ).distinct()
     whole = ranges.select("subject", "scope", "lo", "hi").distinct()
     return whole.join(points, ["subject", "scope"]).where(F.col("piece").between(F.col("lo"), F.col("hi")))
