@@ -54,6 +54,19 @@ def _by_dialect(existing: Column, proposed: Column, level: Column, avro_ok: Colu
     return verdict, reason
 
 
+def _answered(requests: DataFrame, answers: DataFrame, *keys: str) -> DataFrame:
+    """Requests with the answer of their case; one without a document or a subject says so in reason."""
+    named = answers.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in answers.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    unread = F.when(F.col("proposed_id").isNull(), "unreadable").when(F.col("subject").isNull(), "no subject")
+    found = requests.join(named, same, "left")
+    return found.withColumn("is_compatible", F.when(unread.isNull(), F.col("is_compatible"))).withColumn(
+        "reason", F.coalesce(unread, "reason")
+    )
+
+
 def check_version(
     requests: DataFrame, versions: DataFrame, levels: DataFrame, schemas: DataFrame, docs: DataFrame, facts
 ) -> DataFrame:
@@ -93,7 +106,7 @@ def check_version(
         F.when(known, reason).alias("reason"),
         F.when(~known, F.lit(404)).alias("error_code"),
     )
-    return requests.join(answers, ["subject", "token", "proposed_id"]).select(
+    return _answered(requests, answers, "subject", "token", "proposed_id").select(
         "seq", "subject", "is_compatible", "reason", "error_code"
     )
 
@@ -165,4 +178,4 @@ def check_before_registering(
         F.col("_old"), proposed, level, avro_ok, proto_ok, F.col("_oldest") == F.col("_raw")
     )
     answers = judged.select("subject", "proposed_id", verdict.alias("is_compatible"), reason.alias("reason"))
-    return requests.join(answers, ["subject", "proposed_id"]).select("seq", "subject", "is_compatible", "reason")
+    return _answered(requests, answers, "subject", "proposed_id").select("seq", "subject", "is_compatible", "reason")

@@ -39,23 +39,26 @@ def effective_level(subjects: DataFrame, levels: DataFrame) -> DataFrame:
 def shown_level(requests: DataFrame, subjects: DataFrame, levels: DataFrame) -> DataFrame:
     """As effective_level, for known subjects that are not deleted; others give 404.
 
-    ``subjects`` has subject, deleted.
+    ``subjects`` has subject, deleted, for subjects with versions. A subject without any is known by
+    a level of its own.
     """
-    alive = subjects.where(~F.col("deleted")).select("subject", F.lit(True).alias("_alive"))
-    shown = effective_level(requests, levels).join(alive, "subject", "left")
-    return shown.select(
+    own = levels.select("subject", F.lit(True).alias("_has_level"))
+    state = subjects.select("subject", F.col("deleted").alias("_deleted"))
+    found = effective_level(requests, levels).join(state, "subject", "left").join(own, "subject", "left")
+    shown = F.coalesce(~F.col("_deleted"), F.col("_has_level"), F.lit(False))
+    return found.select(
         *requests.columns,
-        F.when(F.col("_alive"), F.col("level")).alias("level"),
-        F.when(F.col("_alive").isNull(), F.lit(404)).alias("error_code"),
+        F.when(shown, F.col("level")).alias("level"),
+        F.when(~shown, F.lit(404)).alias("error_code"),
     )
 
 
-def with_level_in_force(ops: DataFrame, span: int | None = SPAN) -> DataFrame:
+def with_level_in_force(ops: DataFrame, span: int = SPAN) -> DataFrame:
     """Adds own_level (last subject change before the operation) and level (own, else global, else NONE).
 
     ``ops`` has seq, subject, op, level_set; op is CONFIG for a subject change and GLOBAL for a
-    change of the global level. Both as-of lookups run in bounded slots, the global one over the
-    whole log without a broadcast or a one-task window.
+    change of the global level. Both as-of lookups run in bounded slots, the global one over ranges
+    of the whole log without a broadcast or a one-task window.
     """
     valid = is_settable(F.col("level_set"))
     shared = last_before(ops, [], "seq", F.col("level_set"), (F.col("op") == "GLOBAL") & valid, "_global", span)
@@ -65,7 +68,7 @@ def with_level_in_force(ops: DataFrame, span: int | None = SPAN) -> DataFrame:
     return both.withColumn("level", F.coalesce("own_level", "_global", F.lit(DEFAULT_LEVEL))).drop("_global")
 
 
-def global_level_history(changes: DataFrame, span: int | None = SPAN) -> DataFrame:
+def global_level_history(changes: DataFrame, span: int = SPAN) -> DataFrame:
     """Each accepted global change with the level that was in force before it."""
     accepted = changes.where(is_settable(F.col("level")))
     with_old = last_before(accepted, [], "seq", F.col("level"), F.lit(True), "old_level", span)

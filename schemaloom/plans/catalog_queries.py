@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.versions import GLOBAL_SUBJECT
-from ..operators import levels, lookup, registration
+from ..operators import levels, lookup, registration, replay
+from ..session import cut
 from ..sources import documents, responses
 from . import fixtures as fx
 
@@ -15,15 +16,34 @@ def registrations(spark: SparkSession, sf: str) -> DataFrame:
     return log.where("op = 'REGISTER'").select("seq", "subject", F.col("shape").alias("schema_id"))
 
 
-def versions(spark: SparkSession, sf: str) -> DataFrame:
-    """subject, schema_id, first_seq, version, deleted."""
-    first = registration.first_seen(registrations(spark, sf), ["subject", "schema_id"])
-    deletes = (
-        fx.view(spark, sf, "fx_log")
-        .where("op = 'DELETE' and delver > 0")
-        .select("subject", F.col("delver").alias("version"), "seq")
+def shape_fields(spark, sf) -> DataFrame:
+    return fx.view(spark, sf, "fx_fields").withColumnRenamed("shape", "schema_id")
+
+
+def shape_docs(spark, sf) -> DataFrame:
+    """schema_id, doc: the field array of a shape; one group is one document."""
+    return shape_fields(spark, sf).groupBy("schema_id").agg(
+        F.collect_list(F.struct("name", "type", "has_default")).alias("doc")
     )
-    return registration.tombstone(registration.number_versions(first), deletes)
+
+
+def replay_log(spark, sf) -> DataFrame:
+    """fx_log with subject deletes and global level changes told apart."""
+    return fx.view(spark, sf, "fx_log").select(
+        "seq",
+        "subject",
+        F.expr("""case when op = 'DELETE' and shape = 13 then 'DELETE_SUBJECT'
+          when op = 'CONFIG' and seq % 7 = 0 then 'GLOBAL' else op end""").alias("op"),
+        F.col("shape").alias("schema_id"),
+        F.col("lvl").alias("level_set"),
+        F.col("delver").alias("delete_version"),
+    )
+
+
+def versions(spark: SparkSession, sf: str) -> DataFrame:
+    """subject, version, schema_id, deleted: what the whole log leaves, refusals, deletes and levels included."""
+    events = replay.replay_events(replay_log(spark, sf), shape_docs(spark, sf), repeats=False)
+    return cut(replay.versions_of(events))
 
 
 def schemas(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,26 +87,68 @@ def level_changes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+PROMOTED = "('int>long', 'int>float', 'int>double', 'long>float', 'long>double', 'float>double', 'string>bytes', 'bytes>string')"
+
 SQL_VERSIONS = f"""{fx.duckdb_views("fx_log", "fx_fields")},
 fx_first as (select subject, shape as schema_id, min(seq) as first_seq from fx_log where op = 'REGISTER' group by 1, 2),
 fx_numbered as (select *, cast(row_number() over (partition by subject order by first_seq) as int) as version from fx_first),
-fx_versions as (select n.subject, n.version, n.schema_id, n.first_seq, coalesce(d.last_seq > n.first_seq, false) as deleted
-  from fx_numbered n left join (select subject, delver as version, max(seq) as last_seq from fx_log
-    where op = 'DELETE' and delver > 0 group by 1, 2) d using (subject, version)),
-fx_live as (select * from fx_versions where not deleted),
-fx_newest as (select subject, max(version) as version, arg_max(schema_id, version) as schema_id from fx_live group by 1),
 fx_schemas as (select shape as schema_id, concat('{{"type":"record","name":"rec","fields":[', string_agg(concat('{{"name":"', name, '","type":"', type, '"',
     case when has_default then concat(',"default":', case type when 'string' then '""' when 'double' then '0.0' else '0' end) else '' end, '}}'), ',' order by pos), ']}}') as content
   from fx_fields group by 1),
 fx_requests as (select seq, subject, case when delver = 0 then 'Latest' else cast(delver as varchar) end as token, delver from fx_log),
 fx_changes as (select seq, case when seq % 7 = 0 then '_GLOBALCONFIG' else subject end as subject, lvl as level from fx_log where op = 'CONFIG'),
 fx_levels as (select subject, arg_max(level, seq) as level from fx_changes group by 1),
-fx_subjects as (select distinct subject from fx_log where op = 'REGISTER')
+fx_subjects as (select distinct subject from fx_log where op = 'REGISTER'),
+shapes as (select distinct shape from fx_fields),
+typed as (select r.shape as reader_id, w.shape as writer_id, r.name, r.type as reader_type, w.type as writer_type
+  from fx_fields r join fx_fields w using (name) where r.type <> w.type and concat(w.type, '>', r.type) not in {PROMOTED}),
+missing as (select r.shape as reader_id, s.shape as writer_id, r.name from fx_fields r cross join shapes s
+  where not r.has_default and not exists (select 1 from fx_fields w where w.shape = s.shape and w.name = r.name)),
+bad as (select reader_id, writer_id, count(*) as n from (select reader_id, writer_id from typed union all select reader_id, writer_id from missing) group by 1, 2),
+ops0 as (select seq, subject, case when op = 'DELETE' and shape = 13 then 'DELETE_SUBJECT'
+    when op = 'CONFIG' and seq % 7 = 0 then 'GLOBAL' else op end as op, shape + 1 as id, lvl, delver from fx_log),
+ops1 as (select *, last_value(case when op = 'CONFIG' then lvl end ignore nulls) over (partition by subject order by seq rows between unbounded preceding and 1 preceding) as own,
+    last_value(case when op = 'GLOBAL' then lvl end ignore nulls) over (order by seq rows between unbounded preceding and 1 preceding) as common from ops0),
+back as (select s.shape + 1 as id, coalesce(list(b.writer_id + 1) filter (where b.writer_id is not null), []) as back
+  from shapes s left join bad b on b.reader_id = s.shape group by 1),
+fwd as (select s.shape + 1 as id, coalesce(list(b.reader_id + 1) filter (where b.reader_id is not null), []) as fwd
+  from shapes s left join bad b on b.writer_id = s.shape group by 1),
+ops as (select o.subject, o.seq, o.op, o.id, o.delver, o.own, coalesce(o.own, o.common, 'NONE') as level, back.back, fwd.fwd,
+    row_number() over (partition by o.subject order by o.seq) as n
+  from ops1 o join back using (id) join fwd using (id) where o.op in ('REGISTER', 'DELETE', 'DELETE_SUBJECT')),
+fold as (select distinct subject, cast(0 as bigint) as n, cast([] as int[]) as ids, cast(null as bigint) as seq, '' as op, '' as status,
+    cast(null as int) as schema_id, cast([] as int[]) as versions from ops
+  union all
+  select subject, n,
+    case when status = 'added' then list_append(ids, id)
+      when status = 'deleted' then list_transform(ids, lambda x, i: case when list_contains(versions, i) then 0 else x end) else ids end,
+    seq, op, status, case when status in ('added', 'present') then id - 1 end, versions
+  from (select subject, n, ids, seq, op, id, status,
+      case status when 'added' then [cast(len(ids) + 1 as int)] when 'present' then [cast(list_position(ids, id) as int)]
+        when 'deleted' then (case when op = 'DELETE' then [cast(target as int)]
+          else list_filter(list_transform(ids, lambda x, i: case when x <> 0 then cast(i as int) end), lambda y: y is not null) end)
+        else cast([] as int[]) end as versions
+    from (select *, case
+        when op = 'REGISTER' then (case when len(live) > 0 and not (case level when 'BACKWARD' then not list_contains(back, live[-1])
+            when 'FORWARD' then not list_contains(fwd, live[-1])
+            when 'FULL' then not list_contains(back, live[-1]) and not list_contains(fwd, live[-1])
+            when 'BACKWARD_TRANSITIVE' then not list_has_any(back, live) else true end) then 'refused'
+          when list_contains(ids, id) then 'present' else 'added' end)
+        when op = 'DELETE' then (case when target between 1 and len(ids) and ids[target] <> 0 then 'deleted' else 'not_found' end)
+        else (case when len(ids) > 0 or own is not null then 'deleted' else 'not_found' end) end as status
+      from (select o.*, f.ids, list_filter(f.ids, lambda x: x <> 0) as live,
+          case when o.delver > 0 then o.delver
+            else coalesce(list_max(list_transform(f.ids, lambda x, i: case when x <> 0 then i end)), 0) end as target
+        from fold f join ops o on o.subject = f.subject and o.n = f.n + 1)))),
+fx_versions as (select subject, version, max(schema_id) as schema_id, bool_or(status = 'deleted') as deleted
+  from (select subject, status, schema_id, unnest(versions) as version from fold where status in ('added', 'deleted')) group by 1, 2),
+fx_live as (select * from fx_versions where not deleted),
+fx_newest as (select subject, max(version) as version, arg_max(schema_id, version) as schema_id from fx_live group by 1)
 """
 
 
 def sql(select: str) -> str:
-    return f"with {SQL_VERSIONS} {select}"
+    return f"with recursive {SQL_VERSIONS} {select}"
 
 
 # ---- queries -------------------------------------------------------------------------------------
@@ -97,6 +159,14 @@ def q_version_numbers(spark, sf):
     return registration.number_versions(first).select("subject", "schema_id", "version")
 
 
+def q_tombstones(spark, sf):
+    """Numbered registrations marked by numbered deletes, without replaying refusals."""
+    first = registration.first_seen(registrations(spark, sf), ["subject", "schema_id"])
+    deletes = fx.view(spark, sf, "fx_log").where("op = 'DELETE' and delver > 0")
+    deletes = deletes.select("subject", F.col("delver").alias("version"), "seq")
+    return registration.tombstone(registration.number_versions(first), deletes)
+
+
 def q_first_seen(spark, sf):
     return registration.first_seen(registrations(spark, sf), ["subject", "schema_id"])
 
@@ -175,11 +245,14 @@ def q_effective_level(spark, sf):
 
 
 def q_shown_level(spark, sf):
+    # subjects that were only ever given a level are asked for, too
+    only = level_changes(spark, sf).withColumn("subject", F.concat(F.lit("only-"), "subject"))
     asked = fx.view(spark, sf, "fx_log").select("seq", "subject")
+    asked = asked.unionByName(asked.withColumn("subject", F.concat(F.lit("only-"), "subject")))
     return levels.shown_level(
         asked,
         registration.subject_deleted(versions(spark, sf)),
-        levels.subject_levels(level_changes(spark, sf)),
+        levels.subject_levels(level_changes(spark, sf).unionByName(only)),
     )
 
 
@@ -198,6 +271,9 @@ QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q_")}
 
 ORACLES = {
     "q_version_numbers": sql("select subject, schema_id, version from fx_numbered"),
+    "q_tombstones": sql("""select n.subject, n.version, n.schema_id, n.first_seq, coalesce(d.last_seq > n.first_seq, false) as deleted
+  from fx_numbered n left join (select subject, delver as version, max(seq) as last_seq from fx_log
+    where op = 'DELETE' and delver > 0 group by 1, 2) d using (subject, version)"""),
     "q_first_seen": sql("select subject, schema_id, first_seq from fx_first"),
     "q_latest_version": sql("select subject, version, schema_id from fx_newest"),
     "q_live_versions": sql("select subject, version, schema_id from fx_live"),
@@ -229,10 +305,12 @@ ORACLES = {
     "q_subject_levels": sql("select subject, level from fx_levels"),
     "q_effective_level": sql("""select s.subject, coalesce(l.level, (select level from fx_levels where subject = '_GLOBALCONFIG'), 'NONE') as level
   from fx_subjects s left join fx_levels l using (subject)"""),
-    "q_shown_level": sql("""select r.seq, r.subject, case when v.subject is not null
-      then coalesce(l.level, (select level from fx_levels where subject = '_GLOBALCONFIG'), 'NONE') end as level,
-    case when v.subject is null then 404 end as error_code
-  from fx_log r left join fx_levels l using (subject) left join (select distinct subject from fx_live) v on v.subject = r.subject"""),
+    "q_shown_level": sql("""select r.seq, r.subject, case when shown then coalesce(own, (select level from fx_levels where subject = '_GLOBALCONFIG'), 'NONE') end as level,
+    case when not shown then 404 end as error_code
+  from (select r.*, l.level as own, coalesce(not d.deleted, l.level is not null) as shown
+    from (select seq, subject from fx_log union all select seq, concat('only-', subject) from fx_log) r
+    left join (select * from fx_levels union all select concat('only-', subject), level from fx_levels) l using (subject)
+    left join (select subject, bool_and(deleted) as deleted from fx_versions group by 1) d using (subject)) r"""),
     "q_global_level_history": sql("""select seq, level, coalesce(lag(level) over (order by seq), 'NONE') as old_level
   from fx_changes where subject = '_GLOBALCONFIG'"""),
     "q_ingest_envelope": f"""with {fx.duckdb_views("fx_log", "fx_raw")}

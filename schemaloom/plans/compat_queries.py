@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import avro_nested, pairs, protobuf_rules as pr, registration, replay, transitive
 from ..session import cut
 from . import documents, fixtures as fx
-from .catalog_queries import SQL_VERSIONS, schemas, versions
+from .catalog_queries import SQL_VERSIONS, replay_log, schemas, shape_docs, shape_fields, versions
 
 # ---- Protobuf rules on fact tables ---------------------------------------------------------------
 
@@ -56,17 +56,6 @@ def q_proto_map_fields(spark, sf):
 # ---- Avro verdicts -------------------------------------------------------------------------------
 
 
-def shape_fields(spark, sf) -> DataFrame:
-    return fx.view(spark, sf, "fx_fields").withColumnRenamed("shape", "schema_id")
-
-
-def shape_docs(spark, sf) -> DataFrame:
-    """schema_id, doc: the field array of a shape; one group is one document."""
-    return shape_fields(spark, sf).groupBy("schema_id").agg(
-        F.collect_list(F.struct("name", "type", "has_default")).alias("doc")
-    )
-
-
 def live_versions(spark, sf) -> DataFrame:
     return registration.live(versions(spark, sf)).select("subject", "version", "schema_id")
 
@@ -125,19 +114,6 @@ def _transitive(*issues):
 # ---- replay --------------------------------------------------------------------------------------
 
 
-def replay_log(spark, sf) -> DataFrame:
-    """fx_log with subject deletes and global level changes told apart."""
-    return fx.view(spark, sf, "fx_log").select(
-        "seq",
-        "subject",
-        F.expr("""case when op = 'DELETE' and shape = 13 then 'DELETE_SUBJECT'
-          when op = 'CONFIG' and seq % 7 = 0 then 'GLOBAL' else op end""").alias("op"),
-        F.col("shape").alias("schema_id"),
-        F.col("lvl").alias("level_set"),
-        F.col("delver").alias("delete_version"),
-    )
-
-
 def _events(spark, sf, repeats):
     return replay.replay_events(replay_log(spark, sf), shape_docs(spark, sf), repeats=repeats)
 
@@ -201,15 +177,7 @@ sig as (select pair, side, svc as service, rpc, concat(req, ':', cast(req_stream
 rb as (select * from sig where side = 0), ra as (select * from sig where side = 1),
 {proto_rules_sql()}"""
 
-PROMOTED = "('int>long', 'int>float', 'int>double', 'long>float', 'long>double', 'float>double', 'string>bytes', 'bytes>string')"
-
 SQL_AVRO = f"""{SQL_VERSIONS},
-shapes as (select distinct shape from fx_fields),
-typed as (select r.shape as reader_id, w.shape as writer_id, r.name, r.type as reader_type, w.type as writer_type
-  from fx_fields r join fx_fields w using (name) where r.type <> w.type and concat(w.type, '>', r.type) not in {PROMOTED}),
-missing as (select r.shape as reader_id, s.shape as writer_id, r.name from fx_fields r cross join shapes s
-  where not r.has_default and not exists (select 1 from fx_fields w where w.shape = s.shape and w.name = r.name)),
-bad as (select reader_id, writer_id, count(*) as n from (select reader_id, writer_id from typed union all select reader_id, writer_id from missing) group by 1, 2),
 steps as (select subject, version, schema_id, lag(version) over w as prev_version, lag(schema_id) over w as prev_schema_id
   from fx_live window w as (partition by subject order by version)),
 reads as (select distinct schema_id as reader_id, prev_schema_id as writer_id from steps where prev_schema_id is not null),
@@ -222,55 +190,16 @@ all_pairs as (select v.subject, v.version, v.schema_id, count(e.version) as earl
   left join bad f on f.reader_id = e.schema_id and f.writer_id = v.schema_id group by 1, 2, 3)
 """
 
-SQL_REPLAY = f"""{SQL_AVRO},
-ops0 as (select seq, subject, case when op = 'DELETE' and shape = 13 then 'DELETE_SUBJECT'
-    when op = 'CONFIG' and seq % 7 = 0 then 'GLOBAL' else op end as op, shape + 1 as id, lvl, delver from fx_log),
-ops1 as (select *, last_value(case when op = 'CONFIG' then lvl end ignore nulls) over (partition by subject order by seq rows between unbounded preceding and 1 preceding) as own,
-    last_value(case when op = 'GLOBAL' then lvl end ignore nulls) over (order by seq rows between unbounded preceding and 1 preceding) as common from ops0),
-back as (select s.shape + 1 as id, coalesce(list(b.writer_id + 1) filter (where b.writer_id is not null), []) as back
-  from shapes s left join bad b on b.reader_id = s.shape group by 1),
-fwd as (select s.shape + 1 as id, coalesce(list(b.reader_id + 1) filter (where b.reader_id is not null), []) as fwd
-  from shapes s left join bad b on b.writer_id = s.shape group by 1),
-ops as (select o.subject, o.seq, o.op, o.id, o.delver, o.own, coalesce(o.own, o.common, 'NONE') as level, back.back, fwd.fwd,
-    row_number() over (partition by o.subject order by o.seq) as n
-  from ops1 o join back using (id) join fwd using (id) where o.op in ('REGISTER', 'DELETE', 'DELETE_SUBJECT')),
-fold as (select distinct subject, cast(0 as bigint) as n, cast([] as int[]) as ids, cast(null as bigint) as seq, '' as op, '' as status,
-    cast(null as int) as schema_id, cast([] as int[]) as versions from ops
-  union all
-  select subject, n,
-    case when status = 'added' then list_append(ids, id)
-      when status = 'deleted' then list_transform(ids, lambda x, i: case when list_contains(versions, i) then 0 else x end) else ids end,
-    seq, op, status, case when status in ('added', 'present') then id - 1 end, versions
-  from (select subject, n, ids, seq, op, id, status,
-      case status when 'added' then [cast(len(ids) + 1 as int)] when 'present' then [cast(list_position(ids, id) as int)]
-        when 'deleted' then (case when op = 'DELETE' then [cast(target as int)]
-          else list_filter(list_transform(ids, lambda x, i: case when x <> 0 then cast(i as int) end), lambda y: y is not null) end)
-        else cast([] as int[]) end as versions
-    from (select *, case
-        when op = 'REGISTER' then (case when len(live) > 0 and not (case level when 'BACKWARD' then not list_contains(back, live[-1])
-            when 'FORWARD' then not list_contains(fwd, live[-1])
-            when 'FULL' then not list_contains(back, live[-1]) and not list_contains(fwd, live[-1])
-            when 'BACKWARD_TRANSITIVE' then not list_has_any(back, live) else true end) then 'refused'
-          when list_contains(ids, id) then 'present' else 'added' end)
-        when op = 'DELETE' then (case when target between 1 and len(ids) and ids[target] <> 0 then 'deleted' else 'not_found' end)
-        else (case when len(ids) > 0 or own is not null then 'deleted' else 'not_found' end) end as status
-      from (select o.*, f.ids, list_filter(f.ids, lambda x: x <> 0) as live,
-          case when o.delver > 0 then o.delver
-            else coalesce(list_max(list_transform(f.ids, lambda x, i: case when x <> 0 then i end)), 0) end as target
-        from fold f join ops o on o.subject = f.subject and o.n = f.n + 1))))
-"""
-
-
 def _proto(select):
     return f"with {SQL_PROTO} {select}"
 
 
 def _avro(select):
-    return f"with {SQL_AVRO} {select}"
+    return f"with recursive {SQL_AVRO} {select}"
 
 
 def _replay(select):
-    return f"with recursive {SQL_REPLAY} {select}"
+    return f"with recursive {SQL_VERSIONS} {select}"
 
 
 _ALL_RULES = " union all ".join(f"select pair from {r}" for r in pr.RULES)

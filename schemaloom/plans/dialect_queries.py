@@ -17,8 +17,7 @@ PROTO_TYPES = {"int": "int32", "long": "int64", "string": "string", "double": "d
 
 
 def versions(spark, sf) -> DataFrame:
-    """The version table, stored as a catalog stores it: the checks use it many times."""
-    return cut(derived_versions(spark, sf))
+    return derived_versions(spark, sf)
 
 
 def live_versions(spark, sf) -> DataFrame:
@@ -210,7 +209,7 @@ duos as (select d.b, d.a, kb.dialect as b_dialect, ka.dialect as a_dialect, back
 
 
 def _mixed(select):
-    return f"with {SQL_MIXED} {select}"
+    return f"with recursive {SQL_MIXED} {select}"
 
 
 _VERDICT = """case when b_dialect = 'JSON_SCHEMA' then same when level = 'NONE' then true

@@ -4,16 +4,16 @@ from pyspark.sql import functions as F
 
 from ..operators import lookup, registration
 from ..session import cut
-from . import documents, fixtures as fx, protobuf_documents
+from . import documents, fixtures as fx, protobuf_documents, registering
 from .catalog_queries import schemas
 
 # Canonical texts of fx_raw, written out from k for the SQL side.
 SQL_RAW = f"""{fx.duckdb_views("fx_raw")},
 fx_documents as (select seq, doc_kind, raw, case doc_kind
-   when 'AVRO' then concat('{{"type":"record","name":"r', k, '","fields":[{{"name":"ab","type":"int","doc":"x  y"}}]}}')
-   when 'PROTOBUF' then concat(E'//\\nsyntax = "proto3";\\n\\nmessage M', k, E' {{\\n  int32 a = 1;\\n}}\\n')
-   when 'JSON_SCHEMA' then cast(json(raw) as varchar) end as content, k
-  from fx_raw join ev on ev.event_id = fx_raw.seq),
+   when 'AVRO' then concat('{{"type":"record","name":"r', n, '","fields":[{{"name":"ab","type":"int","doc":"x  y"}}]}}')
+   when 'PROTOBUF' then concat(E'//\\nsyntax = "proto3";\\n\\nmessage M', n, E' {{\\n  int32 a = 1;\\n}}\\n')
+   when 'JSON_SCHEMA' then cast(json(raw) as varchar) end as content, n
+  from (select *, cast(floor(seq / 3) as bigint) as n from fx_raw)),
 fx_distinct as (select content, min(seq) as first_seq, min(doc_kind) as doc_kind from fx_documents where content is not null group by 1),
 fx_ids as (select *, cast(row_number() over (order by first_seq) as int) as schema_id, sha256(content) as hash from fx_distinct)
 """
@@ -49,6 +49,12 @@ def q_quarantine(spark, sf):
     return documents.quarantine(raw_documents(spark, sf)).select("seq", "raw", "reason")
 
 
+def q_rejected(spark, sf):
+    """What registering the raw texts sets aside."""
+    asked = fx.view(spark, sf, "fx_raw").select("seq", F.col("doc_kind").alias("subject"), "raw")
+    return registering.number_documents(asked).rejected
+
+
 def q_canonical_avro(spark, sf):
     return raw_documents(spark, sf).where("dialect = 'AVRO'").select("seq", "content")
 
@@ -107,6 +113,8 @@ QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q_")}
 ORACLES = {
     "q_detect_dialect": sql("select seq, nullif(doc_kind, 'NONE') as dialect from fx_raw"),
     "q_quarantine": sql("""select seq, raw, 'can''t parse provided schema as any known type' as reason
+  from fx_raw where doc_kind = 'NONE'"""),
+    "q_rejected": sql("""select seq, doc_kind as subject, raw, 'can''t parse provided schema as any known type' as reason
   from fx_raw where doc_kind = 'NONE'"""),
     "q_canonical_avro": sql("select seq, content from fx_documents where doc_kind = 'AVRO'"),
     "q_canonical_json": sql("select seq, cast(json(raw) as varchar) as content from fx_raw where doc_kind = 'JSON_SCHEMA'"),
@@ -121,6 +129,6 @@ ORACLES = {
   from fx_ids where doc_kind = 'AVRO'"""),
     "q_avro_shape_fields": f"""with {fx.duckdb_views("fx_fields")}
 select shape as schema_id, cast(row_number() over (partition by shape order by pos) - 1 as int) as pos, name, type, has_default from fx_fields""",
-    "q_proto_fields": sql("""select i.hash, concat('M', d.k) as scope, 'a' as name, 1 as tag, 'int32' as type, cast(null as varchar) as label
-  from fx_ids i join (select distinct content, k from fx_documents where doc_kind = 'PROTOBUF') d using (content)"""),
+    "q_proto_fields": sql("""select i.hash, concat('M', d.n) as scope, 'a' as name, 1 as tag, 'int32' as type, cast(null as varchar) as label
+  from fx_ids i join (select distinct content, n from fx_documents where doc_kind = 'PROTOBUF') d using (content)"""),
 }

@@ -19,30 +19,30 @@ VIEWS = {
   ((shape + i) % 3 = 0) as has_default
   from (select distinct k % 24 as shape from @src) s cross join (values (0, 1), (1, 2), (2, 4), (3, 8), (4, 16)) as p(i, b)
   where ((shape + 8) & b) <> 0""",
-    "fx_pf": """select l_suppkey % 20 as pair, case when l_linestatus = 'F' then 0 else 1 end as side,
-  concat('M', cast(l_orderkey % 500 as varchar(9))) as scope,
+    "fx_pf": """select l_suppkey as pair, case when l_linestatus = 'F' then 0 else 1 end as side,
+  concat('M', cast(l_orderkey % 50 as varchar(9))) as scope,
   concat(case when min(l_partkey) % 3 = 0 then 'g' else 'f' end, cast(l_linenumber as varchar(2))) as name,
   l_linenumber + (case when min(l_partkey) % 11 = 0 then 100 else 0 end) as tag, min(l_returnflag) as type,
   case when min(l_orderkey) % 7 = 0 then 'repeated' else '' end as label
-  from @src group by l_suppkey % 20, case when l_linestatus = 'F' then 0 else 1 end, concat('M', cast(l_orderkey % 500 as varchar(9))), l_linenumber""",
-    "fx_pres_tag": """select distinct o_custkey % 20 as pair, cast(o_orderkey % 2 as int) as side,
-  concat('M', cast(o_orderkey % 500 as varchar(9))) as scope, cast(o_custkey % 9 + 1 as int) as lo, cast(o_custkey % 9 + 1 + o_orderkey % 3 as int) as hi from @src""",
-    "fx_pres_name": """select distinct o_custkey % 20 as pair, cast(o_custkey % 2 as int) as side,
-  concat('M', cast(o_orderkey % 500 as varchar(9))) as scope, concat(case when o_orderkey % 2 = 0 then 'f' else 'g' end, cast(o_custkey % 7 + 1 as varchar(2))) as name from @src""",
-    "fx_penum": """select p_partkey % 20 as pair, p_size % 2 as side, p_brand as scope, p_type as name, min(p_size) % 5 as tag
-  from @src group by p_partkey % 20, p_size % 2, p_brand, p_type""",
-    "fx_prpc": """select user_id % 20 as pair, cast(event_id % 2 as int) as side, concat('S', cast(user_id as varchar(9))) as svc,
+  from @src group by l_suppkey, case when l_linestatus = 'F' then 0 else 1 end, concat('M', cast(l_orderkey % 50 as varchar(9))), l_linenumber""",
+    "fx_pres_tag": """select distinct cast(floor(o_custkey / 10) as bigint) as pair, cast(o_orderkey % 2 as int) as side,
+  concat('M', cast(o_orderkey % 50 as varchar(9))) as scope, cast(o_custkey % 9 + 1 as int) as lo, cast(o_custkey % 9 + 1 + o_orderkey % 3 as int) as hi from @src""",
+    "fx_pres_name": """select distinct cast(floor(o_custkey / 10) as bigint) as pair, cast(o_custkey % 2 as int) as side,
+  concat('M', cast(o_orderkey % 50 as varchar(9))) as scope, concat(case when o_orderkey % 2 = 0 then 'f' else 'g' end, cast(o_custkey % 7 + 1 as varchar(2))) as name from @src""",
+    "fx_penum": """select cast(floor(p_partkey / 10) as bigint) as pair, p_size % 2 as side, p_brand as scope, p_type as name, min(p_size) % 5 as tag
+  from @src group by cast(floor(p_partkey / 10) as bigint), p_size % 2, p_brand, p_type""",
+    "fx_prpc": """select user_id as pair, cast(event_id % 2 as int) as side, concat('S', cast(user_id as varchar(9))) as svc,
   concat(event_type, cast(k % 10 as varchar(2))) as rpc,
   concat('T', cast(min(k) % 3 as varchar(2))) as req, (min(k) % 2 = 0) as req_stream, 'R' as resp, (max(k) % 4 < 2) as resp_stream
-  from @src group by user_id % 20, event_id % 2, concat('S', cast(user_id as varchar(9))), concat(event_type, cast(k % 10 as varchar(2)))""",
+  from @src group by user_id, event_id % 2, concat('S', cast(user_id as varchar(9))), concat(event_type, cast(k % 10 as varchar(2)))""",
     "fx_cols": """select replace(p_brand, '#', '_') as tbl, p_partkey as ordinal, concat('c', cast(p_partkey as varchar(9))) as col,
   case p_size % 8 when 0 then 4 when 1 then -5 when 2 then 6 when 3 then 8 when 4 then 16 when 5 then -2 when 6 then 12 else 3 end as jdbc_type from @src""",
     "fx_raw": """select event_id as seq, case k % 4 when 0 then 'AVRO' when 1 then 'PROTOBUF' when 2 then 'JSON_SCHEMA' else 'NONE' end as doc_kind,
   case k % 4
-   when 0 then concat('{ "type" : "record", "name":"r', cast(k as varchar(3)), '",  "fields":[ {"name":"ab", "type":"int", "doc":"x  y"} ] }')
-   when 1 then concat('syntax = "proto3"; message M', cast(k as varchar(3)), ' { int32 a = 1; }')
-   when 2 then concat('{ "properties" : {"z', cast(k as varchar(3)), '": {"type": "string"}, "a": {"type":"string"}} }')
-   else concat('just words ', cast(k as varchar(3))) end as raw from @src""",
+   when 0 then concat('{ "type" : "record", "name":"r', cast(cast(floor(event_id / 3) as bigint) as varchar(19)), '",  "fields":[ {"name":"ab", "type":"int", "doc":"x  y"} ] }')
+   when 1 then concat('syntax = "proto3"; message M', cast(cast(floor(event_id / 3) as bigint) as varchar(19)), ' { int32 a = 1; }')
+   when 2 then concat('{ "properties" : {"z', cast(cast(floor(event_id / 3) as bigint) as varchar(19)), '": {"type": "string"}, "a": {"type":"string"}} }')
+   else case when k % 8 = 3 then concat('message A', cast(cast(floor(event_id / 3) as bigint) as varchar(19)), ' { int32 a = 99999999999; }') else concat('just words ', cast(cast(floor(event_id / 3) as bigint) as varchar(19))) end end as raw from @src""",
 }
 
 BASE = {

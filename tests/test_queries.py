@@ -5,7 +5,8 @@ import pytest
 import __spark_entry__ as entry
 from conftest import SF_DIR
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = {n: q for n, q in entry.queries().items() if n.startswith("q_")}
+ORACLES = {n: q for n, q in entry.oracle_sql().items() if n in QUERIES}
 
 
 def plain(value):
