@@ -33,7 +33,7 @@ def _all_of(name: str, level: Column, live: Column) -> Column:
 
 def _avro(level: Column, live: Column, op: Column) -> Column:
     same = (op["doc"]["dialect"] == "AVRO") & _all_of("AVRO", level, live)
-    answer = avro.verdict(level, op["doc"]["avro"], _last(live)["avro"], live, lambda e: e["doc"]["avro"])
+    answer = avro.verdict(level, op["doc"]["avro"], _last(live)["avro"], live, lambda e: e["doc"]["avro"], avro.reads_document)
     return F.when(_unchecked(level), True).when(~same, False).otherwise(answer)
 
 

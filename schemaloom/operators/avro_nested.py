@@ -8,7 +8,7 @@ of rounds follows the depth of the documents, not their number.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.avro import readable
+from ..functions.avro import full_aliases, readable
 from ..session import cut
 
 _ASK = ["pair", "rpath", "wpath"]
@@ -51,12 +51,8 @@ def _judge(asked: DataFrame, r: DataFrame, w: DataFrame) -> DataFrame:
         .when(same & kind.isin("array", "map"), "parts")
         .otherwise("leaf")
     )
-    aliases = F.coalesce("r_type_aliases", F.array().cast("array<string>"))
-    names = (
-        (_simple(F.col("r_type")) == _simple(F.col("w_type")))
-        | F.array_contains(aliases, F.col("w_type"))
-        | F.array_contains(aliases, _simple(F.col("w_type")))
-    )
+    aliases = full_aliases(F.col("r_type"), F.col("r_type_aliases"))
+    names = (_simple(F.col("r_type")) == _simple(F.col("w_type"))) | F.array_contains(aliases, F.col("w_type"))
     # size of an enum is 1 if it has a default symbol
     symbols = (F.size(F.array_except("w_symbols", "r_symbols")) == 0) | (F.col("r_size") == 1)
     holds = (

@@ -7,6 +7,7 @@ plain yes or no.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.avro import reads as flat_reads
 from ..session import cut
 from . import pairs as avro
 from .levels import effective_level
@@ -68,10 +69,12 @@ def _answered(requests: DataFrame, answers: DataFrame, *keys: str) -> DataFrame:
 
 
 def check_version(
-    requests: DataFrame, versions: DataFrame, levels: DataFrame, schemas: DataFrame, docs: DataFrame, facts
+    requests: DataFrame, versions: DataFrame, levels: DataFrame, schemas: DataFrame, docs: DataFrame, facts, reads=flat_reads
 ) -> DataFrame:
     """Proposed documents against one named version each, at the level in force.
 
+    ``docs`` has what ``reads`` compares, see ``pairs.avro_pairs``.
+
     ``requests``: seq, subject, token, proposed_id; ``schemas``: schema_id, dialect, raw, content.
     Adds is_compatible, reason and error_code (404 when there is no such version).
     """
@@ -85,7 +88,7 @@ def check_version(
         return typed.where((F.col("_old") == dialect) & (F.col("_new") == dialect)).select("existing_id", "proposed_id")
 
     on = ["existing_id", "proposed_id"]
-    judged = typed.join(avro.avro_pairs(pairs_of("AVRO"), docs), on, "left").join(
+    judged = typed.join(avro.avro_pairs(pairs_of("AVRO"), docs, reads), on, "left").join(
         proto_pairs(pairs_of("PROTOBUF"), facts), on, "left"
     )
     level = F.col("level")
@@ -113,7 +116,7 @@ def check_version(
 
 def check_before_registering(
     requests: DataFrame, versions: DataFrame, levels: DataFrame, schemas: DataFrame, docs: DataFrame,
-    avro_fields: DataFrame, facts,
+    avro_fields: DataFrame, facts, reads=flat_reads,
 ) -> DataFrame:
     """Proposed documents against what their subject holds, at the level in force.
 
@@ -156,7 +159,7 @@ def check_before_registering(
     )
     on = ["existing_id", "proposed_id"]
     judged = (
-        typed.join(avro.avro_pairs(pairs_of("AVRO"), docs), on, "left")
+        typed.join(avro.avro_pairs(pairs_of("AVRO"), docs, reads), on, "left")
         .join(proto_pairs(pairs_of("PROTOBUF"), facts), on, "left")
         .join(all_avro, ["subject", "proposed_id"], "left")
         .join(all_proto, ["subject", "proposed_id"], "left")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import avro
 from ..operators import avro_nested, pairs, protobuf_rules as pr, registration, replay, transitive
 from ..session import cut
 from . import documents, fixtures as fx
@@ -77,19 +78,31 @@ def q_avro_missing_default(spark, sf):
     return pairs.avro_missing_defaults(_reader_pairs(spark, sf), shape_fields(spark, sf))
 
 
-def q_avro_nested_pairs(spark, sf):
-    """Neighbouring versions as nested documents: the record of the shape in a union, and a list."""
+def _nested_documents(spark, sf):
+    """The record of each shape in a union, and a list: schema_id beside the read document."""
     item = F.element_at(F.array(F.lit("int"), F.lit("long"), F.lit("string")), F.col("schema_id") % 3 + 1)
     text = F.concat(
         F.lit('{"type":"record","name":"outer","fields":[{"name":"body","type":["null",'), "content",
         F.lit(']},{"name":"list","type":{"type":"array","items":"'), item, F.lit('"}}]}'),
     )
     texts = schemas(spark, sf).select("schema_id", text.alias("raw"))
-    read = documents.canonicalise(texts.select("raw"))
-    nodes = documents.avro_nodes(texts.join(read, "raw"), "schema_id")
+    return texts.join(documents.canonicalise(texts.select("raw")), "raw")
+
+
+def q_avro_nested_pairs(spark, sf):
+    """Neighbouring versions as nested documents, by joins on nodes."""
+    nodes = documents.avro_nodes(_nested_documents(spark, sf), "schema_id")
     return avro_nested.nested_pairs(_reader_pairs(spark, sf), nodes)
 
 
+def q_avro_document_pairs(spark, sf):
+    """The same by the rules that registering applies to whole documents."""
+    docs = _nested_documents(spark, sf).select("schema_id", avro.describe(F.col("avro_nodes")).alias("doc"))
+    asked = _reader_pairs(spark, sf).select(F.col("writer_id").alias("existing_id"), F.col("reader_id").alias("proposed_id"))
+    judged = pairs.avro_pairs(asked, docs, avro.reads_document)
+    return judged.select(F.col("proposed_id").alias("reader_id"), F.col("existing_id").alias("writer_id"), F.col("backward").alias("compatible"))
+
+
 def _latest(verdict):
     def query(spark, sf):
         audit = pairs.audit_latest(live_versions(spark, sf), shape_docs(spark, sf))
@@ -220,6 +233,9 @@ ORACLES |= {
     "q_avro_missing_default": _avro("select m.* from missing m join reads using (reader_id, writer_id)"),
     "q_avro_nested_pairs": _avro("""select p.reader_id, p.writer_id,
     b.n is null and (p.reader_id % 3 = p.writer_id % 3 or (p.reader_id % 3 = 1 and p.writer_id % 3 = 0)) as compatible
+  from reads p left join bad b using (reader_id, writer_id)"""),
+    "q_avro_document_pairs": _avro("""select p.reader_id, p.writer_id,
+    b.n is null and (p.reader_id % 3 = p.writer_id % 3 or (p.reader_id % 3 = 1 and p.writer_id % 3 = 0)) as compatible
   from reads p left join bad b using (reader_id, writer_id)"""),
     "q_avro_backward": _avro("select subject, version, schema_id, backward as compatible from judged"),
     "q_avro_forward": _avro("select subject, version, schema_id, forward as compatible from judged"),

@@ -4,7 +4,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions import dialects
+from ..functions import avro, dialects
 from ..functions.types import document_to_struct
 from ..operators import registration, replay
 from ..session import cut
@@ -24,19 +24,6 @@ class Catalog:
     rejected: DataFrame
 
 
-def _fields(nodes: Column) -> Column:
-    """Field array of a root record; a type that is no primitive is compared as its JSON text."""
-    mine = F.filter(nodes, lambda n: (n["role"] == "field") & (n["parent_path"] == ""))
-    return F.transform(
-        mine,
-        lambda n: F.struct(
-            n["name"].alias("name"),
-            F.when(n["kind"] == "primitive", n["type"]).otherwise(n["text"]).alias("type"),
-            n["has_default"].alias("has_default"),
-        ),
-    )
-
-
 @dataclass(frozen=True)
 class Numbered:
     """log: registrations by schema id; schemas: schema_id, hash, dialect, content; docs: schema_id, doc; rejected."""
@@ -62,7 +49,7 @@ def number_documents(requests: DataFrame) -> Numbered:
         F.any_value(F.struct("dialect", "avro_nodes", "proto_out")).alias("f")
     )
     doc = F.struct(
-        F.col("f.dialect").alias("dialect"), _fields(F.col("f.avro_nodes")).alias("avro"),
+        F.col("f.dialect").alias("dialect"), avro.describe(F.col("f.avro_nodes")).alias("avro"),
         bundle(F.col("f.proto_out")).alias("proto"),
     )
     described = cut(

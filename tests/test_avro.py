@@ -6,10 +6,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from schemaloom.functions import avro_text
+from schemaloom.functions import avro as avro_rules, avro_text
 from schemaloom.functions.avro import verdict
 from schemaloom.operators import avro_nested, pairs, transitive
-from schemaloom.plans import documents
+from schemaloom.plans import documents, registering
 
 TEXTS = {
     # text: canonical form, None if it is no Avro schema
@@ -194,3 +194,49 @@ def test_type_aliases_count_as_names(spark):
     asked = spark.createDataFrame([(0, 1), (1, 0)], "reader_id int, writer_id int")
     got = {r["reader_id"]: r["compatible"] for r in avro_nested.nested_pairs(asked, nodes).collect()}
     assert got == {0: True, 1: False}
+
+
+def test_documents_in_one_expression_agree_with_library(spark):
+    """The same rules as a column expression, which the replay uses; recursion through a changed union is left out."""
+    texts = [json.dumps(s) for s in NESTED if not (isinstance(s, dict) and any(f.get("aliases") == ["next"] for f in s.get("fields", [])))]
+    texts.append(json.dumps(_rec(("a", ["null", _rec(("x", "int"), name="p"), _rec(("x", "string"), name="q")]))))
+    texts.append(json.dumps(_rec(("a", ["null", _rec(("x", "long"), name="p"), _rec(("x", "string"), ("y", "int"), name="q")]))))
+    texts.append(json.dumps(_rec(("a", _rec(("x", "int"), name="p")))))
+    texts.append(json.dumps(_rec(("a", {"type": "map", "values": _rec(("x", "int"), ("z", "int", 1), name="p")}))))
+    texts.append(json.dumps(_rec(("a", {"type": "map", "values": _rec(("x", "int"), name="p")}))))
+    texts.append(json.dumps(_rec(("a", "int"), name="new", aliases=["r"])))
+    table = spark.createDataFrame(list(enumerate(texts)), "schema_id int, raw string")
+    docs = table.join(documents.canonicalise(table.select("raw")), "raw").select("schema_id", avro_rules.describe(F.col("avro_nodes")).alias("doc"))
+    ids = range(len(texts))
+    asked = spark.createDataFrame(list(itertools.product(ids, ids)), "existing_id int, proposed_id int")
+    found = pairs.avro_pairs(asked, docs, avro_rules.reads_document).collect()
+    got = {(r["existing_id"], r["proposed_id"]): (r["backward"], r["forward"]) for r in found}
+    avro = spark._jvm.org.apache.avro
+    parsed = [avro.Schema.Parser().parse(t) for t in texts]
+
+    def can_read(reader, writer):
+        result = avro.SchemaCompatibility.checkReaderWriterCompatibility(parsed[reader], parsed[writer])
+        return result.getType().toString() == "COMPATIBLE"
+
+    reads = {(r, w): can_read(r, w) for r in ids for w in ids}
+    wrong = {(texts[e], texts[p]): (got[e, p], (reads[p, e], reads[e, p])) for e in ids for p in ids if got[e, p] != (reads[p, e], reads[e, p])}
+    assert wrong == {}
+
+
+def test_register_applies_all_rules(spark):
+    """Documents that differ in nested types, names or kind are judged when they are registered."""
+    steps = {
+        "root": ('"string"', '"int"', 1),
+        "nullable": (_rec(("a", "string")), _rec(("a", ["null", "string"])), 2),
+        "name": (_rec(("a", "int")), _rec(("a", "int"), name="other"), 1),
+        "inner": (_rec(("a", _rec(("x", "int"), name="i"))), _rec(("a", _rec(("x", "int"), ("y", "int", 0), name="i"))), 2),
+        "lost": (_rec(("a", _rec(("x", "int"), name="i"))), _rec(("a", _rec(("x", "int"), ("y", "int"), name="i"))), 1),
+        "enum": (_rec(("a", {"type": "enum", "name": "e", "symbols": ["A", "B"]})), _rec(("a", {"type": "enum", "name": "e", "symbols": ["A"]})), 1),
+        "list": (_rec(("a", {"type": "array", "items": "int"})), _rec(("a", {"type": "array", "items": "long"})), 2),
+    }
+    text = lambda s: s if isinstance(s, str) else json.dumps(s)
+    rows = [(10 * k + i, subject, text(doc)) for k, (subject, docs) in enumerate(steps.items()) for i, doc in enumerate(docs[:2])]
+    requests = spark.createDataFrame([(seq + 1, s, t) for seq, s, t in rows], "seq bigint, subject string, raw string")
+    level = spark.createDataFrame([(0, "any", "GLOBAL", None, "BACKWARD", 0)], "seq bigint, subject string, op string, schema_id int, level_set string, delete_version int")
+    versions = registering.register(requests, level).versions.groupBy("subject").count().collect()
+    assert {r["subject"]: r["count"] for r in versions} == {s: n for s, (_, _, n) in steps.items()}
