@@ -24,7 +24,7 @@ BANDS = BUCKETS // ROWS
 ALIKE = 0.1699 / (1 << MANTISSA)
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 #: Words that a task remembers the hashes of, to save time.
-REMEMBERED = 1_000_000
+REMEMBERED = 100_000
 
 
 class WordHashes(dict):

@@ -22,7 +22,7 @@ columns are left alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -145,13 +145,32 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {most} rounds")
 
 
-def _meet(group: list[dict], band: int, crossing: bool, percent: int) -> list[tuple[int, int]]:
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """The rows of each run of equal keys, across batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
+        ends = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for start, end in pairwise(ends):
+            key = tuple(keys[start].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _meet(group: pa.Table, percent: int) -> list[tuple[int, int]]:
     """Links between components of a bucket, found on full sets; rows of two blocks are compared crosswise only."""
-    regs, n = np.array([x["regs"] for x in group], "<i8"), np.array([x["n"] for x in group])
-    sets = [np.frombuffer(x["shingles"], "<u8") for x in group]
-    comp, side = np.array([x["comp"] for x in group]), np.array([x["side"] for x in group])
+    regs = _matrix(group.column("regs").combine_chunks(), hmh.BANDS)
+    n, side, comp = (group.column(c).to_numpy() for c in ("n", "side", "comp"))
+    comp, band, crossing = comp.copy(), group.column("band")[0].as_py(), group.column("x")[0] != group.column("y")[0]
+    sets = [np.frombuffer(x.as_buffer(), "<u8") for x in group.column("shingles")]
     out = []
-    for i in range(len(group) - 1):
+    for i in range(len(comp) - 1):
         rest = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])  # components that have met have one name
         if crossing:
             rest = rest[side[rest] != side[i]]
@@ -174,16 +193,13 @@ def meeting(buckets: DataFrame, percent: int, block: int) -> DataFrame:
     names = ["key", "x", "y"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in batch.to_pylist())
-        for (_, x, y), group in groupby(rows, key=lambda r: (r["key"], r["x"], r["y"])):
-            group = list(group)
-            found = _meet(group, group[0]["band"], x != y, percent)
-            if found:
+        for group in _groups(batches, names):
+            if found := _meet(group, percent):
                 yield pa.RecordBatch.from_pydict({"a": [p for p, _ in found], "b": [q for _, q in found]})
 
     n = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.repartition(n, *names).sortWithinPartitions(*names)
-    return sorted_.select(*names, "band", "side", "v", "comp", "n", "regs", "shingles").mapInArrow(each, "a long, b long")
+    return sorted_.select(*names, "band", "side", "comp", "n", "regs", "shingles").mapInArrow(each, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
