@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from schemaloom.session import cut
+from schemaloom.session import cut, spread
 
 #: Rounds of drawing before a type counts as exhausted.
 ROUNDS = 40
@@ -49,26 +49,32 @@ ENDINGS = {
     "cyrillic": {"m": "ас ен ор им".split(), "f": "а ия ена ира".split(), "n": "ей ис ел ин".split(), "last": "ко дзе ян ник".split()},
 }
 
-_CAP = r"\p{Lu}\p{L}+"
-_TITLE = "(?:" + "|".join(" ".join(TITLES.values()).split()) + r")\b\.?"
+_CAP = r"\p{Lu}\p{L}++"
+_TITLE = "(?:" + "|".join(" ".join(TITLES.values()).split()) + r")(?!\p{L})\.?"
 _FIRST = "(?:" + "|".join(" ".join(FIRST_NAMES.values()).split()) + ")"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 KINDS = {
-    "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_+-])?@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+",
+    # parts are bounded as the standards bound them, so that long runs of letters cost no more than their length
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}[A-Za-z0-9])?"
+    r"(?:\.[A-Za-z0-9-]{0,62}[A-Za-z0-9]){1,10}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![A-Za-z0-9.])\d{4}(?:(?:[ -]?\d{4}){2}[ -]?\d{1,7}|[ -]\d{6}[ -]\d{5})(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![A-Za-z0-9])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3,4}[ .-]\d{4})(?![A-Za-z0-9])"
     r"|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![A-Za-z0-9])",
-    "name": rf"(?U:\b{_TITLE} {_CAP}(?: {_CAP})?|\b{_FIRST} {_CAP})",
+    # the first look ahead spares most places the long list
+    "name": rf"(?<![\p{{L}}\p{{N}}_])(?=[\p{{Lu}}гд])(?:{_TITLE} {_CAP}(?: {_CAP})?|{_FIRST} {_CAP})",
 }
 PATTERN = "|".join(f"(?:{x})" for x in KINDS.values())
 
 
 def entities(text: Column) -> Column:
     """All entities of a text in order; none for null."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
+    given = F.coalesce(text, F.lit(""))
+    names = F.regexp_extract_all(given, F.lit(KINDS["name"]), F.lit(0))
+    # everything but names has a digit or an @
+    return F.when(given.rlike("[0-9@]"), F.regexp_extract_all(given, F.lit(PATTERN), F.lit(0))).otherwise(names)
 
 
 def _kind(entity: Column) -> Column:
@@ -152,13 +158,17 @@ def _name(unit: Column, kind: str, stream: Column, draw: int) -> Column:
     return F.when(unit.rlike(r"\p{IsCyrillic}"), made("cyrillic")).otherwise(made("latin"))
 
 
-def _drawn(key: str, draw: int) -> Column:
-    """The surrogate of a unit (columns kind, unit) in a round."""
-    kind, unit = F.col("kind"), F.col("unit")
-    stream = _stream(F.lit(key), kind, unit, F.lit(str(draw)))
+def _drawn(units: DataFrame, key: str, draw: int) -> DataFrame:
+    """Adds the surrogate of each unit (columns kind, unit) in a round.
+
+    The digests are columns of their own: an expression that is used for each character would be worked out for each.
+    """
+    kind, unit, stream, places = (F.col(c) for c in ("kind", "unit", "__s", "__h"))
     local, domain = F.substring_index(unit, "@", 1), F.substring_index(unit, "@", -1)
     host, top = F.regexp_replace(domain, r"\.[^.]*$", ""), F.regexp_extract(domain, r"\.[^.]*$", 0)
-    email = F.concat(_redrawn(local, stream), F.lit("@"), _redrawn(host, _stream(F.lit(key), F.lit("host"), host)), top)
+    hosts = F.when(kind == "email", _stream(F.lit(key), F.lit("host"), host))
+    streams = units.withColumns({"__s": _stream(F.lit(key), kind, unit, F.lit(str(draw))), "__h": hosts})
+    email = F.concat(_redrawn(local, stream), F.lit("@"), _redrawn(host, places), top)
     ip = F.concat_ws(".", *((F.lit(1) + stream[i] % 223).cast("string") for i in range(4)))
     body = F.substr(unit, F.lit(1), F.length(unit) - 1)
     valid = _check_digit(body) == F.right(unit, F.lit(1))
@@ -168,15 +178,15 @@ def _drawn(key: str, draw: int) -> Column:
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban)
     for name in ("first_m", "first_f", "first_n", "last"):
         out = out.when(kind == name, _name(unit, name, stream, draw))
-    return out.otherwise(_redrawn(unit, stream))
+    return streams.withColumn("surrogate", out.otherwise(_redrawn(unit, stream))).drop("__s", "__h")
 
 
 def surrogates(units: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
     """kind, unit, surrogate for distinct units (kind, unit): distinct within a kind, and none of them a unit."""
-    units = cut(units)
+    units = cut(spread(units, "kind", "unit"))  # few bytes, but heavy work per row
     pending, done = units, None
     for draw in range(rounds):
-        drawn = pending.withColumn("surrogate", _drawn(key, draw))
+        drawn = _drawn(pending, key, draw)
         free = drawn.join(units.select("kind", F.col("unit").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         if done is not None:
             free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
@@ -222,8 +232,8 @@ def replace(docs: DataFrame, key: str, text: str = "text", count: str = "n_entit
     clean = found.where(F.size("__e") == 0).select(*columns, F.lit(0).cast("long").alias(count))
     hits = cut(found.where(F.size("__e") > 0).withColumn("__k", F.sha2(F.col(text).cast("binary"), 256)))
     mentions = hits.select(F.explode(F.array_distinct("__e")).alias("entity")).distinct()
-    parts = mentions.select("entity", F.explode(_units(F.col("entity"), _kind(F.col("entity")))).alias("p")).select("entity", "p.*")
-    parts = cut(parts)
+    typed = mentions.withColumn("__kind", _kind(F.col("entity")))
+    parts = cut(typed.select("entity", F.explode(_units(F.col("entity"), F.col("__kind"))).alias("p")).select("entity", "p.*"))
     table = surrogates(parts.where("kind is not null").select("kind", "unit").distinct(), key)
     drawn = parts.join(table, ["kind", "unit"], "left").select(
         "entity", "at", F.coalesce(_formatted(F.col("raw"), F.col("kind"), F.col("surrogate")), F.col("raw")).alias("new")
