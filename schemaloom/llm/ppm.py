@@ -9,9 +9,9 @@ text in UTF-8 holds, begins and ends a text, so that the probabilities of all te
 Because every byte seen after a context was also seen after the shorter one, what is excluded at one level is exactly
 what the next longer context holds. So exclusion needs two sums per context and the whole score is array arithmetic.
 
-Counts are gathered from all training texts by one aggregation. Sent to executors is the part of the trie whose
-counts are at least a 2^-`TRIE_BITS` share of all training bytes: at most 2^`TRIE_BITS` entries per level, whatever
-the input. The rule is the same at every size.
+Counts are gathered from all training texts by one aggregation, and all of them are kept: `lm_scores.probabilities`
+is this model as joins over tables that grow with the input, `Trie` the same for counts that fit into memory. Sent to
+executors is only a cache of the most frequent sequences with their exact probabilities.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from functools import cached_property
 import numpy as np
 
 ORDER = 4
-TRIE_BITS = 20
+#: Sequences that make up a 2^-CACHE_BITS share of all bytes are cached; the others are joined.
+CACHE_BITS = 20
 EDGE = b"\xff"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,6 +61,53 @@ def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return codes, np.bincount(where, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
 
 
+class Table:
+    """Hash table from codes to numbers."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        self.codes, self.values = codes, values
+
+    def __getstate__(self) -> tuple:
+        return self.codes, self.values
+
+    def __setstate__(self, state: tuple) -> None:
+        self.codes, self.values = state
+
+    @cached_property
+    def slots(self) -> tuple[np.ndarray, np.ndarray, int]:
+        codes, values = self.codes, self.values
+        bits = max(4, int(np.ceil(np.log2(max(1, len(codes))))) + 2)
+        keys, held = np.full(1 << bits, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(1 << bits)
+        left, slots = np.arange(len(codes)), _slots(codes, bits)
+        while len(left):
+            free = keys[slots] == np.uint64(0xFFFFFFFFFFFFFFFF)
+            _, first = np.unique(slots[free], return_index=True)
+            put = np.flatnonzero(free)[first]
+            keys[slots[put]], held[slots[put]] = codes[left[put]], values[left[put]]
+            stay = np.ones(len(left), bool)
+            stay[put] = False
+            left, slots = left[stay], (slots[stay] + 1) & ((1 << bits) - 1)
+        return keys, held, bits
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each code, and the places of the codes that have none."""
+        keys, held, bits = self.slots
+        slots = _slots(codes, bits)
+        at = keys[slots]
+        out = held[slots]
+        left = np.flatnonzero(at != codes)
+        missing = [np.zeros(0, np.int64)]
+        slots = slots[left]
+        while len(left):
+            empty = keys[slots] == np.uint64(0xFFFFFFFFFFFFFFFF)
+            missing.append(left[empty])
+            left, slots = left[~empty], (slots[~empty] + 1) & ((1 << bits) - 1)
+            hit = keys[slots] == codes[left]
+            out[left[hit]] = held[slots[hit]]
+            left, slots = left[~hit], slots[~hit]
+        return out, np.concatenate(missing)
+
+
 class Trie:
     """levels[k]: sorted codes of k + 1 bytes (a context of k bytes and what follows) and their counts."""
 
@@ -87,42 +135,17 @@ class Trie:
         return out
 
     @cached_property
-    def table(self) -> tuple[np.ndarray, np.ndarray, int]:
-        """Hash table from codes of the longest contexts to log10 of their probability."""
+    def table(self) -> Table:
+        """From codes of the longest contexts to log10 of their probability."""
         codes, n = self.levels[-1]
         contexts, total, d, _ = self.nodes[-1]
         at = np.searchsorted(contexts, codes >> np.uint64(8))
-        values = np.log10(n / (total[at] + d[at])) if len(codes) else n
-        bits = max(4, int(np.ceil(np.log2(max(1, len(codes))))) + 2)
-        keys, held = np.full(1 << bits, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(1 << bits)
-        left, slots = np.arange(len(codes)), _slots(codes, bits)
-        while len(left):
-            free = keys[slots] == np.uint64(0xFFFFFFFFFFFFFFFF)
-            _, first = np.unique(slots[free], return_index=True)
-            put = np.flatnonzero(free)[first]
-            keys[slots[put]], held[slots[put]] = codes[left[put]], values[left[put]]
-            stay = np.ones(len(left), bool)
-            stay[put] = False
-            left, slots = left[stay], (slots[stay] + 1) & ((1 << bits) - 1)
-        return keys, held, bits
+        return Table(codes, np.log10(n / (total[at] + d[at])) if len(codes) else n)
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
         """log10 of the probability of each code's last byte after the bytes before it."""
-        keys, held, bits = self.table
-        slots = _slots(codes, bits)
-        at = keys[slots]
-        out = held[slots]
-        left = np.flatnonzero(at != codes)
-        missing = []
-        slots = slots[left]
-        while len(left):
-            empty = keys[slots] == np.uint64(0xFFFFFFFFFFFFFFFF)
-            missing.append(left[empty])
-            left, slots = left[~empty], (slots[~empty] + 1) & ((1 << bits) - 1)
-            hit = keys[slots] == codes[left]
-            out[left[hit]] = held[slots[hit]]
-            left, slots = left[~hit], slots[~hit]
-        if missing and len(at := np.concatenate(missing)):
+        out, at = self.table.find(codes)
+        if len(at):
             unseen, where = np.unique(codes[at], return_inverse=True)
             out[at] = self.escaped(unseen)[where]
         return out
@@ -157,6 +180,23 @@ class Trie:
         return np.add.reduceat(self.log10(codes), at[at < len(codes)])[::2]
 
 
+def cached_scores(texts: list[bytes], cache: Table, order: int = ORDER) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each text the sum of the numbers its codes have in the cache; owner, code and times of the other codes."""
+    if not texts:
+        return np.zeros(0), [np.zeros(0, np.int64)] * 3
+    codes, at = grams(texts, order)
+    values, missing = cache.find(codes)
+    values[missing] = 0
+    place = np.searchsorted(at, missing, "right") - 1
+    own = place % 2 == 0  # odd places lie between two texts
+    owner, first = place[own] // 2, codes[missing[own]]
+    by = np.lexsort((first, owner))
+    owner, first = owner[by], first[by]
+    new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (first[1:] != first[:-1])])[: len(owner)])
+    rest = [owner[new], first[new].astype(np.int64), np.diff(np.append(new, len(owner)))]
+    return np.add.reduceat(values, at[at < len(codes)])[::2], rest
+
+
 def _mask(n: int) -> np.uint64:
     return np.uint64((1 << (8 * n)) - 1)
 

@@ -109,3 +109,24 @@ def test_op3_ranks_language_above_noise(spark, some_docs):
     per_byte = {r.doc_id: r.score / (len(r.text.encode()) + 1) for r in lm_scores.score(docs.withColumn("t", F.col("text")), ~held, text="t").collect()}
     plain = [per_byte[i] for i, _ in some_docs]
     assert noise and max(per_byte[i] for i, _ in noise) < np.median(plain)
+
+
+@pytest.mark.parametrize("cache_bits", [20, 6, 0])
+def test_all_counts_are_kept(spark, cache_bits):
+    """More than 2^20 training bytes, so that rare sequences lie below a 2^-20 share; small caches leave all to the joins."""
+    r = random.Random(6)
+    rows = [(k, "".join(r.choice("abcdefgh éß ") for _ in range(120))) for k in range(300)]
+    rows += [(1000 + k, " ".join([r.choice(("often", "seen", "words"))] * 40_000)) for k in range(8)] + [(2000, "zebra ÿ"), (2001, ""), (2002, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = lm_scores.held_out(F.col("doc_id"))
+    assert sum(len((t or "").encode()) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2) > 1 << 20
+    got = lm_scores.score(docs.withColumn("held_out", held), ~held, cache_bits=cache_bits).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+    same(got.collect(), expected(rows))
+
+
+def test_nothing_learned(spark):
+    docs = spark.createDataFrame([(1, "ab"), (2, "")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_scores.score(docs, F.lit(False), cache_bits=0).collect()}
+    assert got == pytest.approx({1: -3 * math.log10(256), 2: -math.log10(256)})
