@@ -6,7 +6,7 @@ A decision tree learned from the small labelled table below keeps a block or not
 order. The table is the labelled blocks of `LABELLED`, a few short invented pages of different make; its size is fixed.
 
 Defined results: a null or empty page, or one without a kept block, gives an empty text; tags that are not closed or
-not opened are put up with; character references are decoded; white space in a block becomes one space; blocks are
+not opened are put up with, and only raw text (scripts and the like) reaches to the end of the page if not closed; character references are decoded; white space in a block becomes one space; blocks are
 joined by one line break; nothing is cut; repeated rows are treated each; an empty table gives an empty result; extra
 columns are left alone.
 """
@@ -25,13 +25,10 @@ from pyspark.sql import DataFrame
 
 from schemaloom.llm.tables import pieces
 
-#: Elements whose content is no text of the page.
-SILENT = "script|style|template|noscript|iframe|textarea|select|svg|title|button|object|canvas|math|option"
-#: What may stand in a tag; the bound on its parts keeps broken quotes from being read again and again.
+# What may stand in a tag; the bound on its parts keeps broken quotes from being read again and again.
 ATTRIBUTES = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+'){0,200}+"""
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<silent>{SILENT})\b{ATTRIBUTES}>.*?(?:</(?P=silent)\s*+>|\Z)"
     rf"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>{ATTRIBUTES})>"
     r"|</?[a-zA-Z!?][^<>]*+>?|(?P<text>[^<]++|<)",
     re.S | re.I,
@@ -41,6 +38,27 @@ BLOCK = frozenset(
     footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table
     tbody td tfoot th thead tr ul""".split()
 )
+#: Elements whose content is no text of the page, and that reach to the end of the page if they are not closed.
+RAW = "script style template noscript iframe textarea title".split()
+_BLOCK_TAG = rf"</?(?:{'|'.join(sorted(BLOCK))})(?=[\s/>])"
+_OUTER = r"<(?:foreignobject|annotation-xml)(?=[\s>])"
+#: Others whose content is no text, and what ends them besides their end tag; without any end only the tag is left out.
+ENDED_BY = {
+    "svg": _BLOCK_TAG,
+    "math": _BLOCK_TAG,
+    "option": rf"</?(?:option|optgroup|datalist|select)(?=[\s/>])|{_BLOCK_TAG}",
+    "select": r"<(?:select|textarea|input)(?=[\s/>])",
+    "button": r"<button(?=[\s/>])",
+    "object": None,
+    "canvas": None,
+}
+_ENDS = {
+    x: re.compile(rf"(?P<own></{x}(?=[\s/>])[^>]*+>)" + (f"|{more}" if more else ""), re.I)
+    for x, more in {**dict.fromkeys(RAW), **ENDED_BY}.items()
+}
+#: In these, content of the page's own kind may stand, which does not end them.
+_MIXED = {x: re.compile(rf"(?P<own></{x}(?=[\s/>])[^>]*+>)", re.I) for x in ("svg", "math")}
+_MIXES = re.compile(_OUTER, re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that a new one of the same kind ends.
 CLOSED_BY_NEXT = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
@@ -91,6 +109,33 @@ def _place(name: str, rest: str) -> tuple[bool, bool, str | None]:
     return furniture, content and not furniture, mark
 
 
+def _tokens(html: str) -> Iterator[re.Match]:
+    """Comments, tags and texts of a page, without silent elements."""
+    at, endless = 0, set()
+
+    def end_of(expression: re.Pattern, start: int, stop: int = -1) -> re.Match | None:
+        if expression in endless:  # no place is searched twice in vain
+            return None
+        found = expression.search(html, start, stop if stop >= 0 else len(html))
+        if found is None and stop < 0:
+            endless.add(expression)
+        return found
+
+    while token := TOKEN.match(html, at):
+        at = token.end()
+        name = (token["name"] or "").lower()
+        if token["end"] or name not in _ENDS:
+            yield token
+        elif name not in _MIXED or not token["rest"].endswith("/"):  # a closed svg or math is over
+            end = end_of(_ENDS[name], at)
+            if end and name in _MIXED and not end["own"] and _MIXES.search(html, at, end.start()):
+                end = end_of(_MIXED[name], at) or end
+            if end:
+                at = end.end() if end["own"] else end.start()
+            elif name not in ENDED_BY:
+                return
+
+
 def blocks(html: str) -> list[Block]:
     """The blocks of a page in order; those without a word are left out."""
     out: list[Block] = []
@@ -111,7 +156,7 @@ def blocks(html: str) -> list[Block]:
                 out.append(Block(" ".join(words), len(words), inside, *places, heading, marks[-1] if marks else None))
             parts, linked = [], []
 
-    for token in TOKEN.finditer(html):
+    for token in _tokens(html):
         text = token["text"]
         if text is not None:
             parts.append(text)

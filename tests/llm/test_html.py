@@ -84,3 +84,30 @@ def test_odd_rows(spark):
 def test_time_is_linear_in_broken_markup():
     for page in ("<p title=\"" * 20_000, "<" * 100_000, "<b " * 50_000, "<!--" * 50_000, "<script>" * 5000, "<a href='" * 20_000):
         text_of(page)
+
+
+@pytest.mark.parametrize(
+    "silent",
+    [
+        '<svg class="i"/>',
+        '<svg class="i"><path d="M0"/><title>icon</title></svg>',
+        '<svg class="i"><path d="M0">',
+        "<svg><foreignObject><div>no</div></foreignObject></svg >",
+        "<math/>",
+        "<svg-icon></svg-icon>",
+        "<button-group></button-group><title-bar></title-bar><select-menu></select-menu>",
+        "<datalist id=d><option value=a>one<option value=b>two</datalist>",
+        "<select><option>one<option>two</select>",
+        "<option>one",
+        "<button>no<button>no</button>",
+        "<canvas>",
+        "<script>'<p>no</p>'</script\n>",
+    ],
+)
+def test_silent_elements_end(silent):
+    assert text_of(f"<article><p>a</p>{silent}<p>all the rest</p></article>") == "a\nall the rest"
+
+
+def test_silent_time_is_linear():
+    for tag in ("<svg>", "<svg/>", "<button>", "<option>", "<canvas>", "<select>", "<svg><foreignObject>", "<svg><foreignObject><p>"):
+        text_of(tag * 20_000)
