@@ -73,7 +73,12 @@ FURNITURE_NAMES = frozenset(
 )
 CONTENT_NAMES = frozenset("article articlebody content entry main maincontent post postbody story text".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+#: Words by which a name tells what a page has or lacks, not what the element is.
+LAYOUT = frozenset("and has hide is no not show with without".split())
+#: How far a tag marks what is below it as furniture: by a mere word in a name, or in itself.
+WEAK, STRONG = 1, 2
 ATTRIBUTE = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+ARTICLE = re.compile(r"<article(?=[\s/>])", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -88,25 +93,47 @@ class Block:
     mark: str | None = None  # the label in a labelled page
 
 
-def _place(name: str, rest: str) -> tuple[bool, bool, str | None]:
-    """Whether a tag opens a container of furniture or of content, and its label."""
-    furniture, content, mark = name in FURNITURE, name in CONTENT, None
+def _by_name(name: str, whole: str) -> int:
+    """Whether a class or id of an element marks furniture."""
+    if name in ("html", "body", "main"):  # theirs tell about the page
+        return 0
+    if whole.lower() in FURNITURE_NAMES:
+        return STRONG
+    parts = {x.lower() for x in NAME_PART.findall(whole)}
+    return WEAK if name != "article" and parts & FURNITURE_NAMES and not parts & LAYOUT else 0
+
+
+def _place(name: str, rest: str) -> tuple[int, bool, str | None]:
+    """How far a tag opens a container of furniture, whether it opens one of content, and its label."""
+    furniture, content, mark, named = STRONG if name in FURNITURE else 0, name in CONTENT, None, False
+    by_name = 0
     if rest:
         for key, *values in ATTRIBUTE.findall(rest):
             key, value = key.lower(), next(filter(None, values), "")
             if key in ("class", "id"):
                 for whole in value.split():
-                    parts = {x.lower() for x in NAME_PART.findall(whole)}
-                    furniture |= bool(parts & FURNITURE_NAMES)
-                    content |= whole.lower().replace("-", "").replace("_", "") in CONTENT_NAMES
+                    by_name = max(by_name, _by_name(name, whole))
+                    named |= whole.lower().replace("-", "").replace("_", "") in CONTENT_NAMES
             elif key == "role":
-                furniture |= value.lower() in FURNITURE_ROLES
+                furniture = max(furniture, STRONG * (value.lower() in FURNITURE_ROLES))
                 content |= value.lower() in ("main", "article")
             elif key == "hidden" or key == "aria-hidden" and value == "true":
-                furniture = True
+                furniture = STRONG
             elif key == "data-keep":
                 mark = value
-    return furniture, content and not furniture, mark
+    if not (name == "article" and named):  # class='post social' of an article lists its tags
+        furniture = max(furniture, by_name)
+    return furniture, (content or named) and not furniture, mark
+
+
+def _is_furniture(stack: list[tuple[str, int, bool, str | None]], only: bool) -> bool:
+    """Furniture above; main and a page's only article stand inside no furniture that only a word of a name tells of."""
+    found = 0
+    for name, furniture, _, _ in stack:
+        if found == WEAK and not furniture and (name == "main" or only and name == "article"):
+            found = 0
+        found = max(found, furniture)
+    return found > 0
 
 
 def _tokens(html: str) -> Iterator[re.Match]:
@@ -139,7 +166,8 @@ def _tokens(html: str) -> Iterator[re.Match]:
 def blocks(html: str) -> list[Block]:
     """The blocks of a page in order; those without a word are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, str | None]] = []
+    stack: list[tuple[str, int, bool, str | None]] = []
+    only = len(ARTICLE.findall(html)) == 1
     parts: list[str] = []
     linked: list[str] = []
     links = 0
@@ -152,7 +180,7 @@ def blocks(html: str) -> list[Block]:
                 inside = len(unescape("".join(linked)).split())
                 heading = any(len(x[0]) == 2 and x[0][0] == "h" and x[0][1].isdigit() for x in stack)
                 marks = [x[3] for x in stack if x[3]]
-                places = (any(x[1] for x in stack), any(x[2] for x in stack))
+                places = (_is_furniture(stack, only), any(x[2] for x in stack))
                 out.append(Block(" ".join(words), len(words), inside, *places, heading, marks[-1] if marks else None))
             parts, linked = [], []
 
@@ -253,6 +281,9 @@ LABELLED = (
     never freezes, so that swans stay here all winter long.</p><p>In March they leave, as they have always done, for the north.</p></div>
     <div data-keep="0"><a href="/4">What swans eat in winter and where they find it</a></div>""",
     """<article data-keep="1"><p>Closed today.</p></article>""",
+    """<body class="single has-sidebar comments-open"><div id="header-and-content"><article class="post tag-lakes social" data-keep="1"><h1>Ferry</h1>
+    <p>The ferry crosses the lake twice a day and takes no cars, only people with their bicycles and dogs.</p><p>It is old.</p></article>
+    <div class="widget-area" data-keep="0"><p>Boats for sale, new and old, at the yard behind the harbour.</p></div></div></body>""",
     """<main data-keep="1">No entries.</main>""",
     """<article data-keep="1"><h1>Notes</h1><p>See <a href="/n">the notes of last spring</a></p><p>More soon.</p></article>""",
     """<p data-keep="1">There is only this one paragraph on the page, written in haste before the train left the station at noon.</p>""",

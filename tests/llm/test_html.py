@@ -111,3 +111,27 @@ def test_silent_elements_end(silent):
 def test_silent_time_is_linear():
     for tag in ("<svg>", "<svg/>", "<button>", "<option>", "<canvas>", "<select>", "<svg><foreignObject>", "<svg><foreignObject><p>"):
         text_of(tag * 20_000)
+
+
+@pytest.mark.parametrize(
+    "opened",
+    [
+        "<body class='single has-sidebar'><article>",
+        "<html class='no-sidebar'><body class='social search'><main class='with-header'>",
+        "<body><div id='header-and-content'><article>",
+        "<body><article class='post tags-x social'>",
+        "<body><div class='social-layout'><main>",
+        "<body><div class='page-with-sidebar widget-wrap'><article class='tags-x'>",
+        "<body class='no-sidebar'><div id='header-and-content'><div id='content'>",
+    ],
+)
+def test_names_of_the_whole_page_are_no_furniture(opened):
+    text = "<p>The ferry crosses the lake twice a day and takes no cars.</p><p>It is old.</p>"
+    furniture = "<div class='sidebar-widget'><p>Boats for sale, new and old, at the yard behind the harbour.</p></div>"
+    assert text_of(opened + text + furniture) == "The ferry crosses the lake twice a day and takes no cars.\nIt is old."
+
+
+def test_furniture_stays_furniture():
+    text = "<article><p>The ferry crosses the lake twice a day.</p></article>"
+    for made in ("<section class='comments'><article><p>{}</p></article></section>", "<div class='related-posts'><article><p>{}</p></article></div>"):
+        assert text_of(text + made.format("I took it last week and the view was very fine")) == "The ferry crosses the lake twice a day."
