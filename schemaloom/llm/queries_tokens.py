@@ -19,7 +19,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = RANKS) -> DataFr
 
 def op6_token_files(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
     with open(public_tokenizers.path(tokenizer), encoding="utf-8") as file:
-        model = token_files.LibraryEncoder(file.read(), public_tokenizers.PATTERN)
+        model = token_files.LibraryEncoder(file.read(), public_tokenizers.PATTERN, encode_special_tokens=False)
     return token_files.round_trip(read(spark, sf_dir, "documents"), model)
 
 

@@ -52,27 +52,45 @@ def _byte_letters() -> dict[int, str]:
 class LibraryEncoder(TextEncoder):
     """Encodes with the tokenizers library: each pre-token that a task has not met yet goes through the library's model.
 
-    Byte-level pre-tokens are encoded one by one by the library, too, so that the ids are those of whole texts, with
-    the strings of special tokens as ordinary text.
+    Byte-level pre-tokens are encoded one by one by the library, too, so that the ids are those of whole texts. A text
+    that holds a string of an added token goes through the library as a whole; `encode_special_tokens` is the
+    library's setting of that name: True makes the strings of special tokens ordinary text.
     """
 
-    def __init__(self, content: str, pattern: str):
+    def __init__(self, content: str, pattern: str, encode_special_tokens: bool = True):
         told = json.loads(content)
         if told["normalizer"] or told["pre_tokenizer"]["type"] != "ByteLevel" or told["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError("only byte-level vocabularies without a normalizer or a prefix space")
-        self.content, self.pattern = content, pattern
+        self.content, self.pattern, self.encode_special_tokens = content, pattern, encode_special_tokens
 
     def __getstate__(self) -> tuple:
-        return self.content, self.pattern
+        return self.content, self.pattern, self.encode_special_tokens
 
     def __setstate__(self, state: tuple) -> None:
-        self.content, self.pattern = state
+        self.content, self.pattern, self.encode_special_tokens = state
 
     @cached_property
-    def library(self):
+    def whole(self):
         from tokenizers import Tokenizer
 
-        return Tokenizer.from_str(self.content).model
+        made = Tokenizer.from_str(self.content)
+        made.encode_special_tokens = self.encode_special_tokens
+        return made
+
+    @cached_property
+    def library(self):
+        return self.whole.model
+
+    @cached_property
+    def added(self) -> list[str]:
+        """The strings that the library takes out of a text before it splits the rest."""
+        told = json.loads(self.content)["added_tokens"]
+        return [x["content"] for x in told if not (x["special"] and self.encode_special_tokens)]
+
+    def encode_text(self, text: str) -> bytes:
+        if any(x in text for x in self.added):
+            return pack_ids(self.whole.encode(text, add_special_tokens=False).ids)
+        return super().encode_text(text)
 
     @cached_property
     def letters(self) -> dict[int, str]:

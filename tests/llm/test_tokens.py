@@ -136,3 +136,13 @@ def test_op6_by_key(spark, some_docs, library):
 
 def test_rank_file_is_read(ranks):
     assert len(ranks) == 50256 and ranks[base64.b64decode("IQ==")] == 0
+
+
+def test_op6_resolves_added_tokens_like_the_library(spark, tmp_path):
+    as_loaded, r = Tokenizer.from_file(P.path("byte_bpe_50k.json")), random.Random(8)
+    rows = [(1, "a <|endoftext|> b"), (2, "plain text"), (3, "<|endoftext|><|endoftext|>"), (4, "x<|endoftext|>\n y  "), (5, "<|endoftext|"), (6, None)]
+    rows += [(k, "".join(r.choice(["<|endoftext|>", " ", "a", "'s", "\n", "é", "  b"]) for _ in range(12))) for k in range(7, 200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries_tokens.op6_token_files(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=repr) == expected_files(rows, as_loaded)
+    assert as_loaded.encode(rows[0][1], add_special_tokens=False).ids == [64, 220, 50256, 275]
