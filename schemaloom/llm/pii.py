@@ -1,7 +1,7 @@
 """Personal data replaced by surrogates: keyed, of the same type, script, gender and format, distinct and consistent.
 
 Entities are e-mail and IP addresses, telephone, card, account and social security numbers, and names after a title or
-with a known first name. Each consists of units that are replaced: a number is one unit whatever its separators, an
+with a known first name; in a text with a name also further mentions of its words. Each consists of units that are replaced: a number is one unit whatever its separators, an
 address whatever its case, a name has a unit per word. A unit's surrogate is drawn from a keyed digest of the unit,
 so that all its mentions get the same one. Draws are checked: of units that drew the same surrogate one keeps it, the
 others draw again, as do those that drew what is itself a unit of the corpus, so that different units stay different
@@ -49,22 +49,30 @@ ENDINGS = {
     "cyrillic": {"m": "ас ен ор им".split(), "f": "а ия ена ира".split(), "n": "ей ис ел ин".split(), "last": "ко дзе ян ник".split()},
 }
 
-_CAP = r"\p{Lu}\p{L}++"
+_CAP = r"(?:\p{Lu}\p{L}++|\p{Lu}['’]\p{Lu}\p{L}++)(?:['’-]\p{Lu}\p{L}++)*+"
+#: A capitalised word, for further mentions of a name.
+WORD = rf"(?<![\p{{L}}\p{{N}}_]){_CAP}"
 _TITLE = "(?:" + "|".join(" ".join(TITLES.values()).split()) + r")(?!\p{L})\.?"
 _FIRST = "(?:" + "|".join(" ".join(FIRST_NAMES.values()).split()) + ")"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_HEX = "[0-9A-Fa-f]{1,4}"
 KINDS = {
     # parts are bounded as the standards bound them, so that long runs of letters cost no more than their length
     "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}[A-Za-z0-9])?"
     r"(?:\.[A-Za-z0-9-]{0,62}[A-Za-z0-9]){1,10}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+    "ipv6": rf"(?<![A-Za-z0-9:.])(?=[A-Fa-f:]{{0,38}}+[0-9])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![A-Za-z0-9:]|\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![A-Za-z0-9.])\d{4}(?:(?:[ -]?\d{4}){2}[ -]?\d{1,7}|[ -]\d{6}[ -]\d{5})(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![A-Za-z0-9])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3,4}[ .-]\d{4})(?![A-Za-z0-9])"
-    r"|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![A-Za-z0-9])",
+    r"|\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d(?:[ ./-]?\d){5,12}(?![A-Za-z0-9])"
+    r"|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![A-Za-z0-9])"
+    # with a trunk zero: 9 to 12 digits in groups, and no date
+    r"|(?<![A-Za-z0-9.,:/+-])(?!\d{1,2}[./-]\d{1,2}[./-]\d{2,4}(?!\d|[./-]\d))(?=0(?:[ ./-]?\d){8,11}(?![A-Za-z0-9]|[ .,:/-]\d))"
+    r"0[1-9]\d{0,3}(?:[ ./-]\d{1,8}){1,5}(?![A-Za-z0-9]|[ .,:/-]\d)",
     # the first look ahead spares most places the long list
-    "name": rf"(?<![\p{{L}}\p{{N}}_])(?=[\p{{Lu}}гд])(?:{_TITLE} {_CAP}(?: {_CAP})?|{_FIRST} {_CAP})",
+    "name": rf"(?<![\p{{L}}\p{{N}}_])(?=[\p{{Lu}}гд])(?:{_TITLE} {_CAP}(?: {_CAP})?|{_FIRST}(?:-\p{{Lu}}\p{{L}}++)? {_CAP})",
 }
 PATTERN = "|".join(f"(?:{x})" for x in KINDS.values())
 
@@ -99,8 +107,8 @@ def _units(entity: Column, kind: Column) -> Column:
     gender = F.coalesce(
         F.when(_is_one_of(title, TITLES, "m") & titled, F.lit("m")),
         F.when(_is_one_of(title, TITLES, "f") & titled, F.lit("f")),
-        F.when(_is_one_of(first, FIRST_NAMES, "m"), F.lit("m")),
-        F.when(_is_one_of(first, FIRST_NAMES, "f"), F.lit("f")),
+        F.when(_is_one_of(F.substring_index(first, "-", 1), FIRST_NAMES, "m"), F.lit("m")),
+        F.when(_is_one_of(F.substring_index(first, "-", 1), FIRST_NAMES, "f"), F.lit("f")),
         F.lit("n"),
     )
 
@@ -112,6 +120,7 @@ def _units(entity: Column, kind: Column) -> Column:
     plain = (
         F.when(kind == "email", F.lower(entity))
         .when(kind == "ip", entity)
+        .when(kind == "ipv6", F.lower(entity))
         .when(kind == "iban", F.regexp_replace(entity, " ", ""))
         .when(kind == "phone", F.right(_digits(entity), F.lit(10)))
         .otherwise(_digits(entity))
@@ -170,12 +179,14 @@ def _drawn(units: DataFrame, key: str, draw: int) -> DataFrame:
     streams = units.withColumns({"__s": _stream(F.lit(key), kind, unit, F.lit(str(draw))), "__h": hosts})
     email = F.concat(_redrawn(local, stream), F.lit("@"), _redrawn(host, places), top)
     ip = F.concat_ws(".", *((F.lit(1) + stream[i] % 223).cast("string") for i in range(4)))
+    groups = (F.lpad(F.lower(F.hex(stream[2 * i] * 256 + stream[2 * i + 1])), 4, "0") for i in range(6))
+    ipv6 = F.concat_ws(":", F.lit("2001:db8"), *groups)  # the range for documentation
     body = F.substr(unit, F.lit(1), F.length(unit) - 1)
     valid = _check_digit(body) == F.right(unit, F.lit(1))
     card = _redrawn(body, stream)
     card = F.concat(card, F.when(valid, _check_digit(card)).otherwise((stream[63] % 10).cast("string")))
     iban = F.concat(F.left(unit, F.lit(2)), _redrawn(F.substr(unit, F.lit(3)), stream))
-    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban)
+    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ipv6", ipv6).when(kind == "card", card).when(kind == "iban", iban)
     for name in ("first_m", "first_f", "first_n", "last"):
         out = out.when(kind == name, _name(unit, name, stream, draw))
     return streams.withColumn("surrogate", out.otherwise(_redrawn(unit, stream))).drop("__s", "__h")
@@ -198,10 +209,13 @@ def surrogates(units: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
     raise ValueError(f"after {rounds} rounds some units still have no surrogate of their own; their type is exhausted")
 
 
+def _cased(raw: Column, surrogate: Column) -> Column:
+    return F.when((raw == F.upper(raw)) & (F.length(raw) > 1), F.upper(surrogate)).otherwise(F.initcap(surrogate))
+
+
 def _formatted(raw: Column, kind: Column, surrogate: Column) -> Column:
     """A surrogate in the format of its mention: separators and case as they were."""
-    upper = raw == F.upper(raw)
-    name = F.when(upper & (F.length(raw) > 1), F.upper(surrogate)).otherwise(F.initcap(surrogate))
+    name = _cased(raw, surrogate)
     letters = F.split(raw, "")
     kept = F.greatest(F.length(_digits(raw)) - F.length(surrogate), F.lit(0))  # a country's code before a number
 
@@ -217,7 +231,7 @@ def _formatted(raw: Column, kind: Column, surrogate: Column) -> Column:
         return F.when(c == " ", c).otherwise(F.substr(surrogate, F.length(F.regexp_replace(F.substr(raw, F.lit(1), i), " ", "")) + 1, F.lit(1)))
 
     return (
-        F.when(kind == "ip", surrogate)
+        F.when(kind.isin("ip", "ipv6"), surrogate)
         .when(kind == "email", F.array_join(F.transform(letters, cased), ""))
         .when(kind == "iban", F.array_join(F.transform(letters, spaced), ""))
         .when(kind.isin("phone", "card", "ssn"), F.array_join(F.transform(letters, digit), ""))
@@ -243,11 +257,27 @@ def replace(docs: DataFrame, key: str, text: str = "text", count: str = "n_entit
     texts = hits.select("__k", "__e").groupBy("__k").agg(F.first("__e").alias("__e"))
     places = texts.select("__k", F.posexplode("__e").alias("at", "entity")).join(entity_map, "entity")
     arrays = places.groupBy("__k").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("__new"))
-    new = F.concat(F.transform("__new", lambda x: x["new"]), F.array(F.lit("")))
-    rebuilt = F.array_join(
-        F.flatten(F.zip_with(F.split(F.col(text), PATTERN, -1), new, lambda a, b: F.array(a, b))), ""
-    )
-    done = hits.join(arrays, "__k").select(
-        *(rebuilt.alias(c) if c == text else F.col(c) for c in columns), F.size("__e").cast("long").alias(count)
-    )
+    named = parts.where(F.col("kind").rlike("^(?:first_|last)")).select("entity", "kind", "unit").join(table, ["kind", "unit"])
+    own = texts.select("__k", F.explode(F.array_distinct("__e")).alias("entity")).join(named, "entity")
+    own = own.groupBy("__k", "unit").agg(F.max_by("surrogate", "kind").alias("surrogate"))  # a last name before a first name
+    own = own.groupBy("__k").agg(F.map_from_entries(F.collect_list(F.struct("unit", "surrogate"))).alias("__own"))
+    found_words = F.transform("__between", lambda x: F.regexp_extract_all(x, F.lit(WORD), F.lit(0)))
+    again = F.size(F.filter(F.flatten(found_words), lambda w: F.map_contains_key("__own", F.lower(w))))
+
+    def renamed(piece: Column) -> Column:
+        """Further mentions of the text's own names between its entities."""
+        words = F.regexp_extract_all(piece, F.lit(WORD), F.lit(0))
+        words = F.transform(words, lambda w: F.coalesce(_cased(w, F.try_element_at("__own", F.lower(w))), w))
+        return _joined(F.split(piece, WORD, -1), words)
+
+    between = F.when(F.col("__own").isNull(), F.col("__between")).otherwise(F.transform("__between", renamed))
+    rebuilt = _joined(between, F.transform("__new", lambda x: x["new"]))
+    n = F.size("__e") + F.when(F.col("__own").isNull(), 0).otherwise(again)
+    hits = hits.join(arrays.join(own, "__k", "left"), "__k").withColumn("__between", F.split(F.col(text), PATTERN, -1))
+    done = hits.select(*(rebuilt.alias(c) if c == text else F.col(c) for c in columns), n.cast("long").alias(count))
     return clean.unionByName(done)
+
+
+def _joined(between: Column, found: Column) -> Column:
+    """The text of the pieces with one of `found` after each but the last."""
+    return F.array_join(F.flatten(F.zip_with(between, F.concat(found, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")

@@ -138,3 +138,32 @@ def test_op7(spark, duck):
         else:
             assert got[doc_id].text == text
     assert hits > 20 and len(got) == len(rows)
+
+
+def test_short_groups_and_ipv6(spark):
+    found = ["+33 1 23 45 67 89", "01 23 45 67 89", "030 12345678", "+44 (0)20 7946 0958", "06.12.34.56.78", "030/123 45 67"]
+    addresses = ["2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1ff:fe23:4567:890a", "2A02:8108::1"]
+    new = replaced(spark, [f"call {x} now" for x in found])
+    for x, y in zip(found, new, strict=True):
+        assert y != f"call {x} now" and shape(y) == shape(f"call {x} now")
+        assert not any(d in y for d in (x[-5:], x[:9]))
+    for x, y in zip(addresses, replaced(spark, [f"at {x}, up" for x in addresses]), strict=True):
+        assert re.fullmatch(r"at 2001:db8(:[0-9a-f]{4}){6}, up", y) and x not in y
+    kept = ["on 01.02.2024 and 01-02-2024 12 people", "at 05/06/2024 10:30", "12:30:45 std::vector a::b aa:bb:cc:dd:ee:ff", "01 02 03"]
+    assert replaced(spark, kept) == kept
+
+
+def test_compound_names_and_further_mentions(spark):
+    texts = ["Mr Karl-Heinz Schröder left", "Dr O'Brien left", "Karl-Heinz Schröder", "Dr Smith came. Smith said: SMITH's, Smithson.", "Smith alone, Brien"]
+    a, b, c, d, e = replaced(spark, texts)
+    assert not re.search("Karl|Heinz|Schröder|Brien", a + b + c) and a.split()[2] == c.split()[1]
+    last = d.split()[1].rstrip(".")
+    assert re.fullmatch(rf"Dr {last} came\. {last} said: {last.upper()}'s, Smithson\.", d) and last != "Smith"
+    assert e == texts[-1]
+    docs = spark.createDataFrame([(1, texts[3]), (2, "Mr John Smith, Dr John; John and Smith")], "doc_id long, text string")
+    assert {r.doc_id: r.n_entities for r in pii.replace(docs, KEY).collect()} == {1: 3, 2: 4}
+
+
+def test_long_runs_of_new_kinds(spark):
+    runs = ["a:" * 100_000, "::" * 100_000, "01 " * 100_000, "0 1" * 100_000, "A-" * 100_000, "O'" * 100_000, "Aa-" * 50_000]
+    assert all(len(x) for x in replaced(spark, runs))
