@@ -9,6 +9,7 @@ from schemaloom.llm import (
     queries_scores,
     queries_secrets,
     queries_tokens,
+    queries_vectors,
 )
 
 _ALL = (
@@ -20,6 +21,7 @@ _ALL = (
     queries_scores,
     queries_secrets,
     queries_tokens,
+    queries_vectors,
 )
 QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _ALL for k, v in m.ORACLES.items()}
