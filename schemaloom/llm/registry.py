@@ -3,6 +3,8 @@
 from schemaloom.llm import (
     queries_benchmark,
     queries_duplicates,
+    queries_licenses,
+    queries_manifest,
     queries_pages,
     queries_privacy,
     queries_quality,
@@ -15,6 +17,8 @@ from schemaloom.llm import (
 _ALL = (
     queries_benchmark,
     queries_duplicates,
+    queries_licenses,
+    queries_manifest,
     queries_pages,
     queries_privacy,
     queries_quality,
