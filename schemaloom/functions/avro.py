@@ -1,12 +1,4 @@
-"""Avro reader/writer rules as column expressions.
-
-``reads`` is for records of primitive fields: ``array<struct<name, type, has_default>>``, one array per document.
-``reads_document`` takes documents of any type as the nodes of their type tree (``describe``), each at its
-place by names. Two nodes meet where places and the names of the enclosing records agree; what a reader lacks
-is skipped, what it has and the writer lacks needs a default. A name that refers to an earlier definition
-agrees with any type of that name, so that recursive types end; what lies below a field found by its alias
-is not looked into.
-"""
+"""Avro reader/writer rules as column expressions."""
 
 from pyspark.sql import Column, functions as F
 
@@ -24,96 +16,8 @@ def readable(reader_type: Column, writer_type: Column) -> Column:
     return (reader_type == writer_type) | F.concat(writer_type, F.lit(">"), reader_type).isin(PROMOTIONS)
 
 
-def reads(reader: Column, writer: Column) -> Column:
-    """Can a reader with these fields read what a writer with those fields wrote."""
-
-    def field_ok(r: Column) -> Column:
-        same = F.filter(writer, lambda w: w["name"] == r["name"])
-        return F.when(F.size(same) > 0, readable(r["type"], same[0]["type"])).otherwise(r["has_default"])
-
-    return F.forall(reader, field_ok)
-
-
-def _simple(name: Column) -> Column:
-    return F.element_at(F.split(name, r"\."), -1)
-
-
 def full_aliases(name: Column, aliases: Column) -> Column:
     """Aliases of a named type; one without a dot is in the namespace of the type."""
     space = F.regexp_extract(name, r"^(.*\.)[^.]*$", 1)
     given = F.coalesce(aliases, F.array().cast("array<string>"))
     return F.transform(given, lambda a: F.when(a.contains("."), a).otherwise(F.concat(space, a)))
-
-
-def describe(nodes: Column) -> Column:
-    """The nodes of a document as ``reads_document`` compares them."""
-    none = F.array().cast("array<string>")
-
-    def described(n: Column) -> Column:
-        name = _simple(n["type"])
-        return F.struct(
-            n["role"].alias("role"), n["kind"].alias("kind"), n["type"].alias("type"), name.alias("name"),
-            full_aliases(n["type"], n["type_aliases"]).alias("aliases"),
-            n["at"].alias("at"), F.concat(F.array(n["at"]), F.coalesce(n["alts"], none)).alias("places"),
-            n["up"].alias("up"), F.coalesce(n["owners"], none).alias("owners"), n["has_default"].alias("has_default"),
-            F.coalesce(n["symbols"], none).alias("symbols"), n["size"].alias("size"),
-        )
-
-    return F.transform(nodes, described)
-
-
-def _meet(r: Column, w: Column) -> Column:
-    """Are reader node and writer node at the same place."""
-    inside = (F.size(r["owners"]) == 0) & (F.size(w["owners"]) == 0) | F.array_contains(r["owners"], F.get(w["owners"], F.lit(0)))
-    return F.array_contains(r["places"], w["at"]) & F.coalesce(inside, F.lit(False))
-
-
-def _accepts(r: Column, w: Column) -> Column:
-    """Can this reader node read this writer node, as far as the two show."""
-    named = (r["name"] == w["name"]) | F.array_contains(r["aliases"], w["type"])
-    same = r["kind"] == w["kind"]
-    definitions = ("record", "error", "enum", "fixed", "ref")
-    # size of an enum is 1 if it has a default symbol
-    symbols = (F.size(F.array_except(w["symbols"], r["symbols"])) == 0) | (r["size"] == 1)
-    return (
-        F.when(same & (r["kind"] == "primitive"), readable(r["type"], w["type"]))
-        .when(same & r["kind"].isin("array", "map"), True)
-        .when((r["kind"] == "ref") | (w["kind"] == "ref"), r["kind"].isin(*definitions) & w["kind"].isin(*definitions) & named)
-        .when(same & r["kind"].isin("record", "error"), named)
-        .when(same & (r["kind"] == "enum"), named & symbols)
-        .when(same & (r["kind"] == "fixed"), named & (r["size"] == w["size"]))
-        .otherwise(False)
-    )
-
-
-def reads_document(reader: Column, writer: Column) -> Column:
-    """Can a reader of this document read what a writer of that document wrote; both as ``describe`` gives them."""
-
-    def branch_ok(w: Column) -> Column:
-        there = F.filter(reader, lambda r: _meet(r, w))
-        return (w["kind"] == "union") | (F.size(there) == 0) | F.exists(there, lambda r: (r["kind"] != "union") & _accepts(r, w))
-
-    def field_ok(r: Column) -> Column:
-        record = F.exists(
-            writer, lambda w: (w["at"] == r["up"]) & w["kind"].isin("record", "error") & F.array_contains(r["owners"], w["name"])
-        )
-        return (r["role"] != "field") | r["has_default"] | ~F.coalesce(record, F.lit(False)) | F.exists(writer, lambda w: _meet(r, w))
-
-    return F.forall(writer, branch_ok) & F.forall(reader, field_ok)
-
-
-def verdict(level: Column, proposed: Column, latest: Column, earlier: Column, fields_of, reads=reads) -> Column:
-    """Verdict of a level; ``earlier`` is the array of all live entries, ``fields_of`` takes what ``reads`` compares."""
-    backward = reads(proposed, latest)
-    forward = reads(latest, proposed)
-    reads_all = F.forall(earlier, lambda e: reads(proposed, fields_of(e)))
-    read_by_all = F.forall(earlier, lambda e: reads(fields_of(e), proposed))
-    return (
-        F.when(level == "BACKWARD", backward)
-        .when(level == "FORWARD", forward)
-        .when(level == "FULL", backward & forward)
-        .when(level == "BACKWARD_TRANSITIVE", reads_all)
-        .when(level == "FORWARD_TRANSITIVE", read_by_all)
-        .when(level == "FULL_TRANSITIVE", reads_all & read_by_all)
-        .otherwise(F.lit(True))
-    )

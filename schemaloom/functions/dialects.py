@@ -1,68 +1,50 @@
-"""The dialects as an ordered list of records, and the verdict that picks one.
+"""The verdict on a registration inside a fold, by the dialect of the latest live version.
 
-A dialect gives its name and its verdict (level, live entries, operation) -> boolean. Entries have
-``schema_id`` and ``doc``: struct(dialect, avro, proto). Null means the level is not supported.
+Live entries and the operation carry document numbers (``n``) and dialects; the operation also carries the sets of
+documents that its own breaks with (``backward``, ``forward``), see ``operators.elements``. No document is
+held. Null means that the level is not supported.
 """
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
 from pyspark.sql import Column, functions as F
 
-from . import avro, protobuf
-
-
-@dataclass(frozen=True)
-class Dialect:
-    name: str
-    verdict: Callable[[Column, Column, Column], Column]
-
+#: What a live entry is.
+ENTRY = "struct<version:int,schema_id:int,n:bigint,dialect:string>"
+WORD = 64
 
-def _last(live: Column) -> Column:
-    return F.element_at(live, -1)["doc"]
 
+def contains(sets: Column, number: Column) -> Column:
+    """Whether a set of document numbers (words of 64 bits; null for the empty set) holds a number."""
+    word = F.coalesce(F.get(sets, F.floor(number / WORD).cast("int")), F.lit(0).cast("bigint"))
+    return F.bit_get(word, F.pmod(number, F.lit(WORD)).cast("int")) == 1
 
-def _unchecked(level: Column) -> Column:
-    return ~level.rlike("^(BACKWARD|FORWARD|FULL)(_TRANSITIVE)?$")
 
+def verdict(level: Column, live: Column, op: Column) -> Column:
+    latest = F.element_at(live, -1)
+    kind, transitive = latest["dialect"], level.endswith("_TRANSITIVE")
 
-def _all_of(name: str, level: Column, live: Column) -> Column:
-    """A transitive level cannot compare with versions of another dialect."""
-    return ~level.endswith("_TRANSITIVE") | F.forall(live, lambda e: e["doc"]["dialect"] == name)
-
+    def beside_all(name: str) -> Column:
+        return F.forall(live, lambda e: ~contains(op[name], e["n"]))
 
-def _avro(level: Column, live: Column, op: Column) -> Column:
-    same = (op["doc"]["dialect"] == "AVRO") & _all_of("AVRO", level, live)
-    answer = avro.verdict(level, op["doc"]["avro"], _last(live)["avro"], live, lambda e: e["doc"]["avro"], avro.reads_document)
-    return F.when(_unchecked(level), True).when(~same, False).otherwise(answer)
+    # a transitive level cannot compare with versions of another dialect
+    same = (op["dialect"] == kind) & (~transitive | F.forall(live, lambda e: e["dialect"] == kind))
 
+    def answer(names: list[str]) -> Column:
+        one, every = F.lit(True), F.lit(True)
+        for name in names:
+            one, every = one & ~contains(op[name], latest["n"]), every & beside_all(name)
+        return F.when(transitive, every).otherwise(one)
 
-def _protobuf(level: Column, live: Column, op: Column) -> Column:
-    same = (op["doc"]["dialect"] == "PROTOBUF") & _all_of("PROTOBUF", level, live)
-    mine = op["doc"]["proto"]
-    against_all = F.forall(live, lambda e: ~protobuf.breaks(e["doc"]["proto"], mine))
+    compared = (
+        F.when(level.startswith("BACKWARD"), answer(["backward"]))
+        .when(level.startswith("FORWARD"), answer(["forward"]))
+        .otherwise(answer(["backward", "forward"]))
+    )
+    checked = level.rlike("^(BACKWARD|FORWARD|FULL)(_TRANSITIVE)?$")
     return (
-        F.when(_unchecked(level), True)
-        .when(~level.startswith("BACKWARD"), F.lit(None))
+        # the level does not matter; the raw text has to equal the oldest canonical text, and equal texts have the same id
+        F.when(kind == "JSON_SCHEMA", op["exact"] & (live[0]["schema_id"] == op["schema_id"]))
+        .when(~checked, True)
+        .when((kind == "PROTOBUF") & ~level.startswith("BACKWARD"), F.lit(None))
         .when(~same, False)
-        .when(level == "BACKWARD", ~protobuf.breaks(_last(live)["proto"], mine))
-        .otherwise(against_all)
+        .otherwise(compared)
     )
-
-
-def _json_schema(level: Column, live: Column, op: Column) -> Column:
-    # the level does not matter; the raw text has to equal the oldest canonical text, and equal
-    # canonical texts have the same id
-    return op["exact"] & (live[0]["schema_id"] == op["schema_id"])
-
-
-DIALECTS = [Dialect("AVRO", _avro), Dialect("PROTOBUF", _protobuf), Dialect("JSON_SCHEMA", _json_schema)]
-
-
-def verdict(level: Column, live: Column, op: Column) -> Column:
-    """The dialect of the latest live version decides."""
-    latest = _last(live)["dialect"]
-    answer = F.when(latest == DIALECTS[0].name, DIALECTS[0].verdict(level, live, op))
-    for dialect in DIALECTS[1:]:
-        answer = answer.when(latest == dialect.name, dialect.verdict(level, live, op))
-    return answer

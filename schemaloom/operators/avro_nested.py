@@ -77,17 +77,17 @@ def _split(judged: DataFrame, r: DataFrame, w: DataFrame) -> DataFrame:
         .select(*keep, "rchild", "wchild")
     )
     fields = held.where("mode = 'fields'").join(r.where("r_role = 'field'"), ["r_id", "rpath"])
-    # the name of a reader field comes before its aliases
+    # a reader field that several writer fields answer to, by its name and aliases, can be read from none
     called = fields.select(
         *keep, "rchild", "r_name", "has_default",
-        F.posexplode(F.concat(F.array("r_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_rank", "w_name"),
+        F.explode(F.array_distinct(F.concat(F.array("r_name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("w_name"),
     )
     matched = (
         called.join(w.select("w_id", "wpath", "w_name", "wchild"), ["w_id", "wpath", "w_name"], "left")
         .groupBy(*keep, "rchild", "r_name", "has_default")
-        .agg(F.min_by("wchild", F.when(F.col("wchild").isNotNull(), F.col("_rank"))).alias("wchild"))
-        .where(F.col("wchild").isNotNull() | ~F.col("has_default"))
-        .select(*keep, "rchild", "wchild")
+        .agg(F.max("wchild").alias("_any"), F.count_distinct(F.when(F.col("wchild").isNotNull(), F.col("w_name"))).alias("_n"))
+        .where((F.col("_n") > 0) | ~F.col("has_default"))
+        .select(*keep, "rchild", F.when(F.col("_n") == 1, F.col("_any")).alias("wchild"))
     )
     return by_writer.unionByName(by_reader).unionByName(parts).unionByName(matched)
 

@@ -7,14 +7,12 @@ plain yes or no.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.avro import reads as flat_reads
 from ..session import cut
-from . import pairs as avro
+from .elements import Documents, audit, pair_verdicts
 from .levels import effective_level
 from .lookup import resolve_versions
 from .protobuf_rules import validate
 from .registration import live
-from .transitive import avro_transitive, proto_transitive
 
 # a proposed document comes after every registered version
 AFTER_ALL = (1 << 31) - 1
@@ -68,12 +66,18 @@ def _answered(requests: DataFrame, answers: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def check_version(
-    requests: DataFrame, versions: DataFrame, levels: DataFrame, schemas: DataFrame, docs: DataFrame, facts, reads=flat_reads
-) -> DataFrame:
-    """Proposed documents against one named version each, at the level in force.
+def _judged(typed: DataFrame, docs: Documents) -> DataFrame:
+    """typed with backward, forward and full of its pairs of one dialect; null for others."""
+    answers = None
+    for rules in docs.rules:
+        mine = typed.where((F.col("_old") == rules.dialect) & (F.col("_new") == rules.dialect))
+        found = pair_verdicts(mine.select("existing_id", "proposed_id"), rules)
+        answers = found if answers is None else answers.unionByName(found)
+    return typed.join(answers, ["existing_id", "proposed_id"], "left")
 
-    ``docs`` has what ``reads`` compares, see ``pairs.avro_pairs``.
+
+def check_version(requests: DataFrame, versions: DataFrame, levels: DataFrame, schemas: DataFrame, docs: Documents) -> DataFrame:
+    """Proposed documents against one named version each, at the level in force.
 
     ``requests``: seq, subject, token, proposed_id; ``schemas``: schema_id, dialect, raw, content.
     Adds is_compatible, reason and error_code (404 when there is no such version).
@@ -83,14 +87,7 @@ def check_version(
     old = schemas.select(F.col("schema_id").alias("existing_id"), F.col("dialect").alias("_old"), F.col("content").alias("_content"))
     new = schemas.select(F.col("schema_id").alias("proposed_id"), F.col("dialect").alias("_new"), F.col("raw").alias("_raw"))
     typed = cut(found.join(old, "existing_id", "left").join(new, "proposed_id", "left"))
-
-    def pairs_of(dialect: str) -> DataFrame:
-        return typed.where((F.col("_old") == dialect) & (F.col("_new") == dialect)).select("existing_id", "proposed_id")
-
-    on = ["existing_id", "proposed_id"]
-    judged = typed.join(avro.avro_pairs(pairs_of("AVRO"), docs, reads), on, "left").join(
-        proto_pairs(pairs_of("PROTOBUF"), facts), on, "left"
-    )
+    judged = _judged(typed, docs)
     level = F.col("level")
     avro_ok = (
         F.when(level.startswith("BACKWARD"), F.col("backward"))
@@ -98,7 +95,7 @@ def check_version(
         .otherwise(F.col("full"))
     )
     verdict, reason = _by_dialect(
-        F.col("_old"), F.col("_new"), level, avro_ok, F.col("compatible"), F.col("_content") == F.col("_raw")
+        F.col("_old"), F.col("_new"), level, avro_ok, F.col("backward"), F.col("_content") == F.col("_raw")
     )
     known = F.col("existing_id").isNotNull()
     answers = judged.select(
@@ -115,23 +112,22 @@ def check_version(
 
 
 def check_before_registering(
-    requests: DataFrame, versions: DataFrame, levels: DataFrame, schemas: DataFrame, docs: DataFrame,
-    avro_fields: DataFrame, facts, reads=flat_reads,
-) -> DataFrame:
+    requests: DataFrame, versions: DataFrame, levels: DataFrame, schemas: DataFrame, docs: Documents
+) -> DataFrame:
     """Proposed documents against what their subject holds, at the level in force.
 
     ``requests``: seq, subject, proposed_id. The dialect of the latest live version decides; plain
     levels compare with that version, transitive levels with all live versions, JSON Schema with
     the oldest. A subject without live versions accepts anything.
     """
-    described = schemas.select("schema_id", "dialect", "content")
-    held = cut(live(versions).join(described, "schema_id").select("subject", "version", "schema_id", "dialect", "content"))
-    # F.struct keeps "latest" and "oldest" to one aggregate that combines before the shuffle
+    held = cut(live(versions).join(schemas.select("schema_id", "dialect"), "schema_id").select("subject", "version", "schema_id", "dialect"))
     state = held.groupBy("subject").agg(
         F.max_by(F.struct("schema_id", "dialect"), "version").alias("_latest"),
-        F.min_by("content", "version").alias("_oldest"),
+        F.min_by("schema_id", "version").alias("_first"),
         F.count_distinct("dialect").alias("_dialects"),
     )
+    oldest = schemas.select(F.col("schema_id").alias("_first"), F.col("content").alias("_oldest"))
+    state = state.join(oldest, "_first")
     new = schemas.select(F.col("schema_id").alias("proposed_id"), F.col("dialect").alias("_new"), F.col("raw").alias("_raw"))
     cases = requests.select("subject", "proposed_id").distinct()
     typed = cut(
@@ -139,41 +135,29 @@ def check_before_registering(
         .withColumn("existing_id", F.col("_latest.schema_id")).withColumn("_old", F.col("_latest.dialect"))
     )
 
-    def pairs_of(dialect: str) -> DataFrame:
-        return typed.where((F.col("_old") == dialect) & (F.col("_new") == dialect)).select("existing_id", "proposed_id")
-
-    def candidates(dialect: str) -> DataFrame:
-        return typed.where((F.col("_new") == dialect) & F.col("level").endswith("_TRANSITIVE")).select(
+    judged = _judged(typed, docs)
+    for rules in docs.rules:
+        # history of this dialect only: one that mixes dialects is refused at a transitive level
+        asked = typed.where((F.col("_new") == rules.dialect) & F.col("level").endswith("_TRANSITIVE")).select(
             "subject", F.lit(AFTER_ALL).alias("at"), F.col("proposed_id").alias("schema_id")
         )
-
-    def history(dialect: str) -> DataFrame:
-        return held.where(F.col("dialect") == dialect).select("subject", "version", "schema_id")
-
-    all_avro = avro_transitive(candidates("AVRO"), history("AVRO"), avro_fields).select(
-        "subject", F.col("schema_id").alias("proposed_id"),
-        (F.col("backward_issues") == 0).alias("_all_back"), (F.col("forward_issues") == 0).alias("_all_ahead"),
-    )
-    all_proto = proto_transitive(candidates("PROTOBUF"), history("PROTOBUF"), facts).select(
-        "subject", F.col("schema_id").alias("proposed_id"), F.col("compatible").alias("_all_proto")
-    )
-    on = ["existing_id", "proposed_id"]
-    judged = (
-        typed.join(avro.avro_pairs(pairs_of("AVRO"), docs, reads), on, "left")
-        .join(proto_pairs(pairs_of("PROTOBUF"), facts), on, "left")
-        .join(all_avro, ["subject", "proposed_id"], "left")
-        .join(all_proto, ["subject", "proposed_id"], "left")
-    )
+        past = held.where(F.col("dialect") == rules.dialect).select("subject", "version", "schema_id")
+        found = audit(asked, past, rules).select(
+            "subject", F.col("schema_id").alias("proposed_id"),
+            (F.col("backward_issues") == 0).alias(f"_back_{rules.dialect}"), (F.col("forward_issues") == 0).alias(f"_ahead_{rules.dialect}"),
+        )
+        judged = judged.join(found, ["subject", "proposed_id"], "left")
+    all_back, all_ahead = F.col("_back_AVRO"), F.col("_ahead_AVRO")
     level = F.col("level")
     avro_ok = (
         F.when(level == "BACKWARD", F.col("backward"))
         .when(level == "FORWARD", F.col("forward"))
         .when(level == "FULL", F.col("full"))
-        .when(level == "BACKWARD_TRANSITIVE", F.col("_all_back"))
-        .when(level == "FORWARD_TRANSITIVE", F.col("_all_ahead"))
-        .otherwise(F.col("_all_back") & F.col("_all_ahead"))
+        .when(level == "BACKWARD_TRANSITIVE", all_back)
+        .when(level == "FORWARD_TRANSITIVE", all_ahead)
+        .otherwise(all_back & all_ahead)
     )
-    proto_ok = F.when(level == "BACKWARD", F.col("compatible")).otherwise(F.col("_all_proto"))
+    proto_ok = F.when(level == "BACKWARD", F.col("backward")).otherwise(F.col("_back_PROTOBUF"))
     # a transitive level cannot compare with versions of another dialect
     mixed = level.endswith("_TRANSITIVE") & (F.col("_dialects") > 1)
     proposed = F.when(mixed, F.lit("mixed")).otherwise(F.col("_new"))

@@ -8,28 +8,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import avro
 from ..session import cut
+from .elements import Rules, pair_verdicts
 from .ordered import SPAN
 from .registration import predecessors
 
 
-def avro_pairs(pairs: DataFrame, docs: DataFrame, reads=avro.reads) -> DataFrame:
-    """Adds backward (proposed reads existing), forward and full to pairs (existing_id, proposed_id).
-
-    ``docs`` has schema_id and doc, what ``reads`` compares: the field array of a record of primitives, or with
-    ``avro.reads_document`` the described nodes of any document.
-    """
-    distinct = pairs.select("existing_id", "proposed_id").distinct()
-    both = distinct.join(
-        docs.select(F.col("schema_id").alias("existing_id"), F.col("doc").alias("_existing")), "existing_id"
-    ).join(docs.select(F.col("schema_id").alias("proposed_id"), F.col("doc").alias("_proposed")), "proposed_id")
-    return both.select(
-        "existing_id",
-        "proposed_id",
-        reads(F.col("_proposed"), F.col("_existing")).alias("backward"),
-        reads(F.col("_existing"), F.col("_proposed")).alias("forward"),
-    ).withColumn("full", F.col("backward") & F.col("forward"))
-
-
 def avro_type_issues(pairs: DataFrame, fields: DataFrame) -> DataFrame:
     """Fields whose writer type the reader cannot read; pairs (reader_id, writer_id)."""
     r = fields.select(F.col("schema_id").alias("reader_id"), "name", F.col("type").alias("reader_type"))
@@ -52,14 +35,14 @@ def avro_missing_defaults(pairs: DataFrame, fields: DataFrame) -> DataFrame:
     )
 
 
-def audit_latest(live_versions: DataFrame, docs: DataFrame, span: int = SPAN, reads=avro.reads) -> DataFrame:
+def audit_latest(live_versions: DataFrame, rules: Rules, span: int = SPAN) -> DataFrame:
     """Each live version against its live predecessor: backward, forward, full; true for the first."""
     # used for the pairs and for their answers
     steps = cut(predecessors(live_versions, span))
     pairs = steps.where("prev_schema_id is not null").select(
         F.col("prev_schema_id").alias("existing_id"), F.col("schema_id").alias("proposed_id")
     )
-    judged = avro_pairs(pairs, docs, reads).select(
+    judged = pair_verdicts(pairs, rules).select(
         F.col("existing_id").alias("prev_schema_id"), F.col("proposed_id").alias("schema_id"), "backward", "forward", "full"
     )
     verdicts = [F.coalesce(c, F.lit(True)).alias(c) for c in ("backward", "forward", "full")]

@@ -10,25 +10,24 @@ operations never enter the fold, and runs of the same registration are folded on
 Log columns: seq, subject, op (REGISTER, DELETE, DELETE_SUBJECT, CONFIG, GLOBAL), schema_id,
 level_set, delete_version (0 = latest); optionally exact, whether the registered text was already in
 canonical form (true if absent).
+
+The fold holds no documents: a document is its number within the subject, and an operation carries the set
+of numbers that its document breaks with, worked out beforehand (``elements.numbered_sets``).
 """
 
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import avro
+from ..functions.dialects import ENTRY, verdict
 from ..session import cut, new_folder
+from .elements import Documents, numbered_sets
 from .levels import with_level_in_force
 from .ordered import SPAN, number_rows, slot_keys
 
 FOLD_OPS = 4096
 
-Verdict = Callable[[Column, Column, Column], Column]
-
-
-def avro_verdict(level: Column, live: Column, op: Column) -> Column:
-    """Verdict for Avro documents whose ``doc`` is their field array."""
-    return avro.verdict(level, op["doc"], F.element_at(live, -1)["doc"], live, lambda e: e["doc"])
+_STATE = f"array<{ENTRY}>"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -36,10 +35,6 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _state_type(doc_type: str) -> str:
-    return f"array<struct<version:int,schema_id:int,doc:{doc_type}>>"
-
-
 def _event(op: Column, status: str, schema_id: Column, versions: Column) -> Column:
     return F.struct(
         op["seq"].alias("seq"),
@@ -50,7 +45,7 @@ def _event(op: Column, status: str, schema_id: Column, versions: Column) -> Colu
     )
 
 
-def _step(verdict: Verdict) -> Callable[[Column, Column], Column]:
+def _step() -> Callable[[Column, Column], Column]:
     """One operation on the state (top: highest version given so far; live; events)."""
     none = F.lit(None)
 
@@ -71,8 +66,9 @@ def _step(verdict: Verdict) -> Callable[[Column, Column], Column]:
 
         def decide(fact: Column) -> Column:
             entry = F.struct(
-                (acc["top"] + 1).cast("int").alias("version"), schema_id.alias("schema_id"), op["doc"].alias("doc")
-            )
+                (acc["top"] + 1).cast("int").alias("version"), schema_id.alias("schema_id"),
+                op["n"].alias("n"), op["dialect"].alias("dialect"),
+            )
             return (
                 F.when(
                     ~fact["accepted"],
@@ -127,24 +123,20 @@ def _step(verdict: Verdict) -> Callable[[Column, Column], Column]:
     return step
 
 
-def prepare(log: DataFrame, docs: DataFrame, span: int = SPAN, steady: Column | None = None) -> DataFrame:
+def prepare(log: DataFrame, kinds: DataFrame, span: int = SPAN) -> DataFrame:
     """Attach the level in force, drop level changes, mark heads of runs.
 
     A registration that directly follows the same registration of its subject at the same level
     leaves the state alone and has the same outcome: if the first was refused nothing changed, and
-    if it was accepted a schema can read itself. ``steady`` says for which documents that holds (all,
-    if not given). Runs are found inside a slot only; a run that crosses a slot border just has two
-    heads.
+    if it was accepted an Avro document can read itself (the others need not accept themselves).
+    Runs are found inside a slot only; a run that crosses a slot border just has two heads.
     """
     given = log if "exact" in log.columns else log.withColumn("exact", F.lit(True))
     levelled = with_level_in_force(given, span).where(F.col("op").isin("REGISTER", "DELETE", "DELETE_SUBJECT"))
+    levelled = levelled.join(kinds.select("schema_id", (F.col("dialect") == "AVRO").alias("_steady")), "schema_id", "left")
     same_slot = W.partitionBy(*slot_keys(["subject"], "seq", span)).orderBy("seq")
     what = F.struct("op", "schema_id", "level")
-    repeated = (F.col("op") == "REGISTER") & F.lag(what).over(same_slot).eqNullSafe(what)
-    if steady is not None:
-        flags = docs.select("schema_id", steady.alias("_steady"))
-        levelled = levelled.join(flags, "schema_id", "left")
-        repeated = repeated & F.col("_steady")
+    repeated = (F.col("op") == "REGISTER") & F.lag(what).over(same_slot).eqNullSafe(what) & F.col("_steady")
     heads = levelled.withColumn("_repeated", F.coalesce(repeated, F.lit(False)))
     head_seq = F.last(F.when(~F.col("_repeated"), F.col("seq")), ignorenulls=True).over(
         same_slot.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -154,15 +146,16 @@ def prepare(log: DataFrame, docs: DataFrame, span: int = SPAN, steady: Column |
     )
 
 
-def _fold(heads: DataFrame, carried: DataFrame | None, verdict: Verdict) -> DataFrame:
+def _fold(heads: DataFrame, carried: DataFrame | None) -> DataFrame:
     """One round: the given operations of each subject on top of its carried state."""
-    doc_type = heads.schema["doc"].dataType.simpleString()
-    empty = F.array().cast(_state_type(doc_type))
+    empty = F.array().cast(_STATE)
     # dealt out by subject whatever the plan above has established
     parts = heads.repartition("subject").groupBy("subject").agg(
         F.sort_array(
-            F.collect_list(F.struct("seq", "op", "schema_id", "level", "own_level", "delete_version", "exact", "doc"))
-        ).alias("ops")
+            F.collect_list(F.struct(
+                "seq", "op", "schema_id", "level", "own_level", "delete_version", "exact", "n", "dialect", "backward", "forward"
+            ))
+        ).alias("ops")
     )
     if carried is not None:
         parts = parts.join(carried.select("subject", "top", "live"), "subject", "left")
@@ -174,35 +167,38 @@ def _fold(heads: DataFrame, carried: DataFrame | None, verdict: Verdict) -> Data
         F.coalesce("live", empty).alias("live"),
         F.array().cast(events_type).alias("events"),
     )
-    folded = parts.select("subject", F.aggregate("ops", start, _step(verdict)).alias("s"))
+    folded = parts.select("subject", F.aggregate("ops", start, _step()).alias("s"))
     return folded.select("subject", "s.top", "s.live", "s.events")
 
 
 def replay_events(
     log: DataFrame,
-    docs: DataFrame,
-    verdict: Verdict = avro_verdict,
-    carried: DataFrame | None = None,
+    docs: Documents,
+    past: DataFrame | None = None,
     repeats: bool = True,
-    steady: Column | None = None,
     fold_ops: int = FOLD_OPS,
     span: int = SPAN,
 ) -> DataFrame:
     """Outcome of every REGISTER, DELETE and DELETE_SUBJECT: subject, seq, op, status, schema_id, versions.
 
     status: added, present, refused, deleted, not_found; versions: the numbers it concerns.
-    ``docs`` has schema_id and doc, what the verdict compares. ``carried`` (subject, top, live)
-    continues an earlier replay. ``repeats=False`` leaves out the repeats of a run, which never
+    ``past`` is a version table to go on from. ``repeats=False`` leaves out the repeats of a run, which never
     change the state: enough for version tables.
     """
-    prepared = cut(prepare(log, docs, span, steady))
-    # only heads carry a document
-    heads = prepared.where("seq = head_seq").drop("head_seq").join(docs.select("schema_id", "doc"), "schema_id", "left")
-    events = _fold_rounds(heads, carried, verdict, fold_ops, span)
+    prepared = cut(prepare(log, docs.kinds, span))
+    # documents that may stand beside each other in a subject, by number; a document registered again is one
+    members = prepared.where("op = 'REGISTER'").select("subject", "schema_id")
+    if past is not None:
+        past = cut(past)
+        members = members.unionByName(past.where("not deleted").select("subject", "schema_id"))
+    sets = cut(numbered_sets(members, docs))
+    heads = prepared.where("seq = head_seq").drop("head_seq").join(sets, ["subject", "schema_id"], "left")
+    carried = None if past is None else carried_state(past, sets)
+    events = _fold_rounds(heads, carried, fold_ops, span)
     return _spread_runs(prepared, events) if repeats else events
 
 
-def _fold_rounds(heads, carried, verdict, fold_ops, span) -> DataFrame:
+def _fold_rounds(heads, carried, fold_ops, span) -> DataFrame:
     """Fold round by round; each round writes its events and the state it leaves below one folder."""
     spark = heads.sparkSession
     numbered = number_rows(heads, ["subject"], "seq", "_pos", span).withColumn(
@@ -214,7 +210,7 @@ def _fold_rounds(heads, carried, verdict, fold_ops, span) -> DataFrame:
     folder = new_folder(spark)
     schema = None
     for number in range(int(rounds or 0) + 1):
-        part = _fold(placed.where(F.col("_round") == number).drop("_round"), carried, verdict)
+        part = _fold(placed.where(F.col("_round") == number).drop("_round"), carried)
         schema = part.schema
         part.write.parquet(f"{folder}/round={number}")
         carried = spark.read.schema(schema).parquet(f"{folder}/round={number}").select("subject", "top", "live")
@@ -245,11 +241,11 @@ def versions_of(events: DataFrame) -> DataFrame:
     )
 
 
-def carried_state(versions: DataFrame, docs: DataFrame) -> DataFrame:
-    """The state to continue from, out of a version table: subject, top, live."""
-    entry = F.when(~F.col("deleted"), F.struct("version", "schema_id", "doc"))
+def carried_state(versions: DataFrame, sets: DataFrame) -> DataFrame:
+    """The state to continue from, out of a version table and numbered documents: subject, top, live."""
+    entry = F.when(~F.col("deleted"), F.struct("version", "schema_id", "n", "dialect"))
     return (
-        versions.join(docs.select("schema_id", "doc"), "schema_id", "left")
+        versions.join(sets.select("subject", "schema_id", "n", "dialect"), ["subject", "schema_id"], "left")
         .groupBy("subject")
         .agg(F.max("version").alias("top"), F.sort_array(F.collect_list(entry)).alias("live"))
     )

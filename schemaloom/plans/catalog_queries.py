@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.versions import GLOBAL_SUBJECT
 from ..operators import levels, lookup, registration, replay
+from ..operators.dialect_rules import flat_avro
+from ..operators.elements import Documents
 from ..session import cut
 from ..sources import documents, responses
 from . import fixtures as fx
@@ -20,11 +22,11 @@ def shape_fields(spark, sf) -> DataFrame:
     return fx.view(spark, sf, "fx_fields").withColumnRenamed("shape", "schema_id")
 
 
-def shape_docs(spark, sf) -> DataFrame:
-    """schema_id, doc: the field array of a shape; one group is one document."""
-    return shape_fields(spark, sf).groupBy("schema_id").agg(
-        F.collect_list(F.struct("name", "type", "has_default")).alias("doc")
-    )
+def shape_documents(spark, sf) -> Documents:
+    """The shapes as flat Avro records; what a fold needs to know of them."""
+    fields = shape_fields(spark, sf)
+    kinds = fields.select("schema_id").distinct().withColumn("dialect", F.lit("AVRO"))
+    return Documents(kinds, (flat_avro(fields),))
 
 
 def replay_log(spark, sf) -> DataFrame:
@@ -42,7 +44,7 @@ def replay_log(spark, sf) -> DataFrame:
 
 def versions(spark: SparkSession, sf: str) -> DataFrame:
     """subject, version, schema_id, deleted: what the whole log leaves, refusals, deletes and levels included."""
-    events = replay.replay_events(replay_log(spark, sf), shape_docs(spark, sf), repeats=False)
+    events = replay.replay_events(replay_log(spark, sf), shape_documents(spark, sf), repeats=False)
     return cut(replay.versions_of(events))
 
 

@@ -2,11 +2,10 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import avro
-from ..operators import avro_nested, pairs, protobuf_rules as pr, registration, replay, transitive
+from ..operators import avro_nested, dialect_rules, elements, pairs, protobuf_rules as pr, registration, replay
 from ..session import cut
 from . import documents, fixtures as fx
-from .catalog_queries import SQL_VERSIONS, replay_log, schemas, shape_docs, shape_fields, versions
+from .catalog_queries import SQL_VERSIONS, replay_log, schemas, shape_documents, shape_fields, versions
 
 # ---- Protobuf rules on fact tables ---------------------------------------------------------------
 
@@ -95,17 +94,20 @@ def q_avro_nested_pairs(spark, sf):
     return avro_nested.nested_pairs(_reader_pairs(spark, sf), nodes)
 
 
+def _nested_rules(spark, sf) -> elements.Rules:
+    return dialect_rules.avro(documents.avro_nodes(_nested_documents(spark, sf), "schema_id"))
+
+
 def q_avro_document_pairs(spark, sf):
-    """The same by the rules that registering applies to whole documents."""
-    docs = _nested_documents(spark, sf).select("schema_id", avro.describe(F.col("avro_nodes")).alias("doc"))
+    """The same by the elements that registering compares."""
     asked = _reader_pairs(spark, sf).select(F.col("writer_id").alias("existing_id"), F.col("reader_id").alias("proposed_id"))
-    judged = pairs.avro_pairs(asked, docs, avro.reads_document)
+    judged = elements.pair_verdicts(asked, _nested_rules(spark, sf))
     return judged.select(F.col("proposed_id").alias("reader_id"), F.col("existing_id").alias("writer_id"), F.col("backward").alias("compatible"))
 
 
 def _latest(verdict):
     def query(spark, sf):
-        audit = pairs.audit_latest(live_versions(spark, sf), shape_docs(spark, sf))
+        audit = pairs.audit_latest(live_versions(spark, sf), dialect_rules.flat_avro(shape_fields(spark, sf)))
         return audit.select("subject", "version", "schema_id", F.col(verdict).alias("compatible"))
 
     return query
@@ -114,7 +116,8 @@ def _latest(verdict):
 def _transitive(*issues):
     def query(spark, sf):
         found = live_versions(spark, sf)
-        audit = transitive.avro_transitive(transitive.as_candidates(found), found, shape_fields(spark, sf))
+        rules = dialect_rules.flat_avro(shape_fields(spark, sf))
+        audit = elements.audit(elements.as_candidates(found), found, rules)
         total = F.col(issues[0]) if len(issues) == 1 else F.col(issues[0]) + F.col(issues[1])
         return audit.select(
             "subject", F.col("at").cast("int").alias("version"), "schema_id", "earlier",
@@ -128,7 +131,7 @@ def _transitive(*issues):
 
 
 def _events(spark, sf, repeats):
-    return replay.replay_events(replay_log(spark, sf), shape_docs(spark, sf), repeats=repeats)
+    return replay.replay_events(replay_log(spark, sf), shape_documents(spark, sf), repeats=repeats)
 
 
 def q_replay_state(spark, sf):

@@ -7,11 +7,11 @@ three dialects.
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import canonical_json
-from ..operators import checks, levels, protobuf_rules as pr, registration, transitive
+from ..operators import checks, dialect_rules, elements, levels, protobuf_rules as pr, registration
 from . import fixtures as fx, protobuf_documents
 from ..session import cut
 from .catalog_queries import level_changes, requests, schemas, versions as derived_versions
-from .compat_queries import SQL_AVRO, proto_rules_sql, shape_docs, shape_fields
+from .compat_queries import SQL_AVRO, proto_rules_sql, shape_fields
 
 PROTO_TYPES = {"int": "int32", "long": "int64", "string": "string", "double": "double"}
 
@@ -57,18 +57,16 @@ def shape_protos(spark, sf) -> DataFrame:
     return lines.select(shape.alias("schema_id"), text.alias("content"))
 
 
-def stored_docs(spark, sf) -> DataFrame:
-    return cut(shape_docs(spark, sf))
-
-
-def stored_fields(spark, sf) -> DataFrame:
-    return cut(shape_fields(spark, sf))
-
-
 def shape_facts(spark, sf) -> protobuf_documents.DocumentFacts:
     return protobuf_documents.flatten(shape_protos(spark, sf))
 
 
+def mixed_rules(spark, sf) -> elements.Documents:
+    """Rules for all shapes in either dialect; the dialect that a shape has is that of mixed_schemas."""
+    kinds = mixed_schemas(spark, sf).select("schema_id", "dialect")
+    return elements.Documents(kinds, (dialect_rules.flat_avro(shape_fields(spark, sf)), dialect_rules.protobuf(shape_facts(spark, sf))))
+
+
 def mixed_schemas(spark, sf) -> DataFrame:
     """schema_id, dialect, raw, content."""
     avro = schemas(spark, sf).select("schema_id", F.col("content").alias("_avro"))
@@ -133,8 +131,9 @@ def q_proto_backward(spark, sf):
 
 def q_proto_backward_transitive(spark, sf):
     found = live_versions(spark, sf)
-    audit = transitive.proto_transitive(transitive.as_candidates(found), found, shape_facts(spark, sf))
-    return audit.select("subject", F.col("at").cast("int").alias("version"), "schema_id", "compatible")
+    audit = elements.audit(elements.as_candidates(found), found, dialect_rules.protobuf(shape_facts(spark, sf)))
+    compatible = (F.col("backward_issues") == 0).alias("compatible")
+    return audit.select("subject", F.col("at").cast("int").alias("version"), "schema_id", compatible)
 
 
 def q_json_schema_compat(spark, sf):
@@ -154,8 +153,7 @@ def q_check_version(spark, sf):
         versions(spark, sf),
         cut(levels.subject_levels(level_changes(spark, sf))),
         mixed_schemas(spark, sf),
-        stored_docs(spark, sf),
-        shape_facts(spark, sf),
+        mixed_rules(spark, sf),
     )
 
 
@@ -165,9 +163,7 @@ def q_verdict(spark, sf):
         versions(spark, sf),
         cut(levels.subject_levels(level_changes(spark, sf))),
         mixed_schemas(spark, sf),
-        stored_docs(spark, sf),
-        stored_fields(spark, sf),
-        shape_facts(spark, sf),
+        mixed_rules(spark, sf),
     )
 
 

@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import protobuf_text as pt
 from ..functions.once import with_computed
@@ -61,10 +61,13 @@ def flatten(documents: DataFrame) -> DocumentFacts:
 
     The statements are stored: a document is read once, however many facts and rules use it.
     """
+    return facts_of(parse(spread(documents.select("schema_id", "content"), "schema_id"), "content").where("proto_ok"))
+
+
+def facts_of(parsed: DataFrame) -> DocumentFacts:
+    """Facts of documents whose statements are known (schema_id, proto_out)."""
     rows = cut(
-        parse(spread(documents.select("schema_id", "content"), "schema_id"), "content")
-        .where("proto_ok")
-        .select("schema_id", F.posexplode("proto_out").alias("ord", "s"))
+        parsed.select("schema_id", F.posexplode("proto_out").alias("ord", "s"))
         .select("schema_id", "ord", "s.kind", "s.block", "s.scope", "s.oneof", "s.text")
     )
     text = F.col("text")
@@ -93,50 +96,3 @@ def flatten(documents: DataFrame) -> DocumentFacts:
             rpc_signature(F.col("req"), F.col("req_stream"), F.col("resp"), F.col("resp_stream")),
         ),
     )
-
-
-def bundle(out: Column) -> Column:
-    """The facts of one document as arrays in one struct, from its proto_out; see functions.protobuf."""
-    fields = F.filter(out, lambda s: (s["kind"] == "field") & ~s["scope"].startswith("extend "))
-    reserved = F.filter(out, lambda s: (s["kind"] == "reserved") & (s["block"] != "enum"))
-    constants = F.filter(out, lambda s: s["kind"] == "constant")
-    rpcs = F.filter(out, lambda s: s["kind"] == "rpc")
-
-    def field(s: Column) -> Column:
-        text = s["text"]
-        return F.struct(
-            s["scope"].alias("scope"), pt.field_name(text).alias("name"), pt.field_tag(text).alias("tag"),
-            pt.field_type(text).alias("type"), F.coalesce(pt.field_label(text), F.lit("")).alias("label"),
-        )
-
-    def ranges(s: Column) -> Column:
-        return F.transform(
-            pt.reserved_ranges(s["text"]),
-            lambda r: F.struct(s["scope"].alias("scope"), r["lo"].alias("lo"), r["hi"].alias("hi")),
-        )
-
-    def names(s: Column) -> Column:
-        return F.transform(
-            pt.reserved_names(s["text"]), lambda n: F.struct(s["scope"].alias("scope"), n.alias("name"))
-        )
-
-    def constant(s: Column, i: Column) -> Column:
-        text = s["text"]
-        return F.struct(
-            s["scope"].alias("scope"), pt.constant_name(text).alias("name"), pt.constant_tag(text).alias("tag"), i.alias("ord")
-        )
-
-    def rpc(s: Column) -> Column:
-        text = s["text"]
-        signature = rpc_signature(
-            pt.rpc_part(text, 3), pt.rpc_part(text, 2) != "", pt.rpc_part(text, 5), pt.rpc_part(text, 4) != ""
-        )
-        return F.struct(s["scope"].alias("service"), pt.rpc_part(text, 1).alias("rpc"), signature.alias("signature"))
-
-    return F.struct(
-        F.transform(fields, field).alias("fields"),
-        F.flatten(F.transform(reserved, ranges)).alias("ranges"),
-        F.flatten(F.transform(reserved, names)).alias("names"),
-        F.transform(constants, constant).alias("enums"),
-        F.transform(rpcs, rpc).alias("rpcs"),
-    )

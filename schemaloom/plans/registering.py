@@ -4,12 +4,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions import avro, dialects
 from ..functions.types import document_to_struct
-from ..operators import registration, replay
+from ..operators import dialect_rules, registration, replay
+from ..operators.elements import Documents
 from ..session import cut
 from . import documents
-from .protobuf_documents import bundle
+from .protobuf_documents import facts_of
 
 
 @dataclass(frozen=True)
@@ -26,19 +26,16 @@ class Catalog:
 
 @dataclass(frozen=True)
 class Numbered:
-    """log: registrations by schema id; schemas: schema_id, hash, dialect, content; docs: schema_id, doc; rejected."""
+    """log: registrations by schema id; schemas: schema_id, hash, dialect, content; docs: what a fold knows of them; rejected."""
 
     log: DataFrame
     schemas: DataFrame
-    docs: DataFrame
+    docs: Documents
     rejected: DataFrame
 
 
 def number_documents(requests: DataFrame) -> Numbered:
-    """Requests (seq, subject, raw) by schema id; those with a text of no dialect are set aside as rejected.
-
-    ``doc`` is what verdicts compare.
-    """
+    """Requests (seq, subject, raw) by schema id; those with a text of no dialect are set aside as rejected."""
     # texts are read once and kept: everything below joins to them
     read = cut(documents.canonicalise(requests.select("raw")))
     typed = documents.with_documents(requests, read)
@@ -48,15 +45,7 @@ def number_documents(requests: DataFrame) -> Numbered:
     facts = read.where(F.col("hash").isNotNull()).groupBy("hash").agg(
         F.any_value(F.struct("dialect", "avro_nodes", "proto_out")).alias("f")
     )
-    doc = F.struct(
-        F.col("f.dialect").alias("dialect"), avro.describe(F.col("f.avro_nodes")).alias("avro"),
-        bundle(F.col("f.proto_out")).alias("proto"),
-    )
-    described = cut(
-        numbered.join(facts, "hash").select(
-            "schema_id", "hash", F.col("f.dialect").alias("dialect"), "content", doc.alias("doc")
-        )
-    )
+    described = cut(numbered.join(facts, "hash").select("schema_id", "hash", "content", "f.dialect", "f.avro_nodes", "f.proto_out"))
     exact = (F.col("raw") == F.col("content")).alias("exact")
     log = known.select("seq", "subject", "hash", exact).join(described.select("hash", "schema_id"), "hash").select(
         "seq",
@@ -67,13 +56,15 @@ def number_documents(requests: DataFrame) -> Numbered:
         F.lit(0).alias("delete_version"),
         "exact",
     )
-    return Numbered(log, described.drop("doc"), described.select("schema_id", "doc"), rejected)
+    schemas = described.select("schema_id", "hash", "dialect", "content")
+    return Numbered(log, schemas, rules_of(described), rejected)
 
 
-def replay_documents(log: DataFrame, docs: DataFrame, repeats: bool = True, **sizes) -> DataFrame:
-    """Replay a log over documents of all dialects. Only Avro documents surely accept themselves."""
-    steady = F.col("doc.dialect") == "AVRO"
-    return replay.replay_events(log, docs, dialects.verdict, repeats=repeats, steady=steady, **sizes)
+def rules_of(described: DataFrame) -> Documents:
+    """Documents (schema_id, dialect, avro_nodes, proto_out) as a fold compares them."""
+    avro = dialect_rules.avro(documents.avro_nodes(described, "schema_id"))
+    proto = dialect_rules.protobuf(facts_of(described.where("dialect = 'PROTOBUF'")))
+    return Documents(described.select("schema_id", "dialect"), (avro, proto))
 
 
 def with_settings(numbered: Numbered, settings: DataFrame) -> DataFrame:
@@ -88,7 +79,7 @@ def register(requests: DataFrame, settings: DataFrame | None = None) -> Catalog:
     """
     numbered = number_documents(requests)
     log = with_settings(numbered, settings) if settings is not None else numbered.log
-    events = replay_documents(log, numbered.docs, repeats=False)
+    events = replay.replay_events(log, numbered.docs, repeats=False)
     return Catalog(numbered.schemas, cut(replay.versions_of(events)), numbered.rejected)
 
 

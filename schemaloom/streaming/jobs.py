@@ -10,11 +10,12 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.versions import GLOBAL_SUBJECT, is_settable
 from ..operators import replay
+from ..operators.elements import Documents
 from ..session import cut
 from ..sources.snapshots import CatalogStore
 
 
-def register_batch(store: CatalogStore, docs: DataFrame, fold_ops: int = replay.FOLD_OPS) -> Callable:
+def register_batch(store: CatalogStore, docs: Documents, fold_ops: int = replay.FOLD_OPS) -> Callable:
     """The foreachBatch function that folds a micro-batch of log rows onto the stored catalog.
 
     It reads the state as of the earlier batches only and replaces the directories of its own batch,
@@ -31,9 +32,7 @@ def register_batch(store: CatalogStore, docs: DataFrame, fold_ops: int = replay.
         with_past = log.unionByName(_level_rows(store, log, batch, mark))
         touched = log.select("subject").distinct()
         past = store.versions(batch, touched)
-        events = replay.replay_events(
-            with_past, docs, carried=replay.carried_state(past, docs), fold_ops=fold_ops
-        )
+        events = replay.replay_events(with_past, docs, past=past, fold_ops=fold_ops)
         store.write("outcomes", events, batch)
         done = store.read_batch("outcomes", batch)
         store.write("version_events", _version_events(done), batch)
@@ -79,7 +78,7 @@ def _level_changes(log: DataFrame) -> DataFrame:
     )
 
 
-def stream_register(log: DataFrame, docs: DataFrame, store: CatalogStore, checkpoint: str) -> DataStreamWriter:
+def stream_register(log: DataFrame, docs: Documents, store: CatalogStore, checkpoint: str) -> DataStreamWriter:
     """Register, delete and set levels from a stream of log rows; start() runs it."""
     return log.writeStream.foreachBatch(register_batch(store, docs)).option("checkpointLocation", checkpoint)
 

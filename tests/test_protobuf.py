@@ -6,10 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from schemaloom.functions import protobuf
-from schemaloom.operators import checks, protobuf_rules as pr, transitive
+from schemaloom.operators import checks, dialect_rules, elements, protobuf_rules as pr
 from schemaloom.plans import protobuf_documents as pd
-from schemaloom.session import cut
 
 HEAD = 'syntax = "proto3";\npackage shop;\n'
 
@@ -205,8 +203,8 @@ def test_transitive_equals_pairs(spark, span):
     facts = pd.flatten(spark.createDataFrame(list(docs.items()), "schema_id int, content string"))
     table = spark.createDataFrame(history, "subject string, version int, schema_id int")
     got = {
-        (r["subject"], r["at"]): r["compatible"]
-        for r in transitive.proto_transitive(transitive.as_candidates(table), table, facts, span).collect()
+        (r["subject"], r["at"]): r["backward_issues"] == 0
+        for r in elements.audit(elements.as_candidates(table), table, dialect_rules.protobuf(facts), span).collect()
     }
     pairs = spark.createDataFrame(list(itertools.product(docs, docs)), "existing_id int, proposed_id int")
     judged = {(r["existing_id"], r["proposed_id"]): r["compatible"] for r in checks.proto_pairs(pairs, facts).collect()}
@@ -224,19 +222,18 @@ def test_enum_alias_last_wins(spark):
     assert pr.enum_keys(enums).select(F.count("*")).first()[0] == 5
 
 
-def test_rules_in_one_row(spark):
-    """The verdict on bundles equals the joined rules on all pairs."""
+def test_sets_and_pairs_by_element(spark):
+    """Verdicts by messages and services equal the eight rules on all pairs; so do the sets that a fold carries."""
     rng = random.Random(9)
     docs = {i: _random_doc(rng) if i % 2 else _grown_doc(rng, 1 + i // 5) for i in range(30)}
-    table = spark.createDataFrame(list(docs.items()), "schema_id int, content string")
-    facts = pd.flatten(table)
-    ids = list(itertools.product(docs, docs))
-    asked = spark.createDataFrame(ids, "existing_id int, proposed_id int")
+    facts = pd.flatten(spark.createDataFrame(list(docs.items()), "schema_id int, content string"))
+    asked = spark.createDataFrame(list(itertools.product(docs, docs)), "existing_id int, proposed_id int")
     want = {(r["existing_id"], r["proposed_id"]): r["compatible"] for r in checks.proto_pairs(asked, facts).collect()}
-    bundles = cut(pd.parse(table, "content").select("schema_id", pd.bundle(F.col("proto_out")).alias("d")))
-    both = asked.join(bundles.select(F.col("schema_id").alias("existing_id"), F.col("d").alias("b")), "existing_id").join(
-        bundles.select(F.col("schema_id").alias("proposed_id"), F.col("d").alias("a")), "proposed_id"
-    )
-    rows = both.select("existing_id", "proposed_id", (~protobuf.breaks(F.col("b"), F.col("a"))).alias("ok")).collect()
-    assert {(r["existing_id"], r["proposed_id"]): r["ok"] for r in rows} == want
+    rules = dialect_rules.protobuf(facts)
+    assert {(r["existing_id"], r["proposed_id"]): r["backward"] for r in elements.pair_verdicts(asked, rules).collect()} == want
     assert 30 < sum(want.values()) < len(want)
+    members = spark.createDataFrame([("s", i, 100 - i) for i in docs], "scope string, schema_id int, n bigint")
+    sets = {r["schema_id"]: r["backward"] for r in elements.breaking_sets(members, rules).collect()}
+    for old, new in itertools.product(docs, docs):
+        words, n = sets.get(new) or [], 100 - old
+        assert (n // 64 < len(words) and words[n // 64] >> (n % 64) & 1 == 1) != want[old, new]

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_DIR, same_rows
-from schemaloom.operators import lookup, replay
-from schemaloom.plans import compat_queries
+from schemaloom.operators import dialect_rules, elements, lookup, replay
+from schemaloom.plans import catalog_queries, compat_queries
 
 PROMOTED = {"int": {"long", "float", "double"}, "long": {"float", "double"}, "float": {"double"},
             "string": {"bytes"}, "bytes": {"string"}}
@@ -78,10 +78,16 @@ def frames(spark, log, docs):
     ops = spark.createDataFrame(
         log, "seq bigint, subject string, op string, schema_id int, level_set string, delete_version int"
     )
-    made = spark.createDataFrame(
-        list(docs.items()), "schema_id int, doc array<struct<name:string,type:string,has_default:boolean>>"
+    return ops, shapes(spark, docs)
+
+
+def shapes(spark, docs):
+    """Flat records (id: fields) as the replay takes them."""
+    fields = spark.createDataFrame(
+        [(i, *f) for i, fields in docs.items() for f in fields], "schema_id int, name string, type string, has_default boolean"
     )
-    return ops, made
+    kinds = spark.createDataFrame([(i, "AVRO") for i in docs], "schema_id int, dialect string")
+    return elements.Documents(kinds, (dialect_rules.flat_avro(fields),))
 
 
 @pytest.mark.parametrize("fold_ops,span", [(4096, 1 << 20), (25, 64)])
@@ -102,7 +108,7 @@ def test_against_loop(spark, documents, fold_ops, span):
 
 
 def test_rounds_on_events(spark):
-    log, docs = compat_queries.replay_log(spark, SF_DIR), compat_queries.shape_docs(spark, SF_DIR)
+    log, docs = compat_queries.replay_log(spark, SF_DIR), catalog_queries.shape_documents(spark, SF_DIR)
     same_rows(replay.replay_events(log, docs), replay.replay_events(log, docs, fold_ops=20, span=200))
 
 

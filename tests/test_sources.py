@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from schemaloom.functions.types import document_to_struct, struct_to_document
-from schemaloom.operators import levels, registration
+from schemaloom.operators import levels, registration, replay
 from schemaloom.plans import registering
 from schemaloom.sources import columns, documents, responses
 
@@ -126,7 +126,7 @@ def test_register_all_dialects(spark):
         "seq bigint, subject string, op string, schema_id int, level_set string, delete_version int",
     )
     numbered = registering.number_documents(spark.createDataFrame(texts, "seq bigint, subject string, raw string"))
-    events = registering.replay_documents(registering.with_settings(numbered, settings), numbered.docs)
+    events = replay.replay_events(registering.with_settings(numbered, settings), numbered.docs)
     got = {r["seq"]: r["status"] for r in events.collect()}
     # 31 has blanks that the oldest canonical text does not have; 32 is that text
     assert {n for n, s in got.items() if s == "refused"} == {11, 13, 21, 23, 31, 33, 52, 61}

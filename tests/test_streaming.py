@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_DIR, same_rows
-from schemaloom.operators import pairs, registration, replay
-from schemaloom.plans import compat_queries, document_queries
+from schemaloom.operators import elements, registration, replay
+from schemaloom.plans import catalog_queries, compat_queries, document_queries
 from schemaloom.sources.snapshots import CatalogStore
 from schemaloom.streaming import jobs
+from test_replay import shapes
 
 
 def in_files(df, base, bounds):
@@ -30,7 +31,7 @@ def log(spark):
 
 
 def test_register(spark, log, tmp_path):
-    docs = compat_queries.shape_docs(spark, SF_DIR)
+    docs = catalog_queries.shape_documents(spark, SF_DIR)
     store = CatalogStore(spark, f"{tmp_path}/store")
     stream = in_files(log, tmp_path, [0, 300, 700, 1000])
     run(jobs.stream_register(stream, docs, store, f"{tmp_path}/ck"))
@@ -58,12 +59,12 @@ def test_first_seen(spark, tmp_path):
 
 
 def test_check(spark, log, tmp_path):
-    docs = compat_queries.shape_docs(spark, SF_DIR)
+    docs = catalog_queries.shape_documents(spark, SF_DIR)
     newest = registration.latest_version(compat_queries.live_versions(spark, SF_DIR).withColumn("deleted", F.lit(False))).select(
         "subject", F.col("schema_id").alias("existing_id"), F.lit("FULL").alias("level")
     )
     asked = log.where("op = 'REGISTER'").select("seq", "subject", F.col("schema_id").alias("proposed_id"))
-    verdicts = pairs.avro_pairs(asked.join(newest, "subject"), docs)
+    verdicts = elements.pair_verdicts(asked.join(newest, "subject"), docs.rules[0])
     stream = in_files(asked, tmp_path, [0, 500, 1000])
     run(jobs.check(stream, newest, verdicts).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck"))
     same_rows(spark.read.parquet(f"{tmp_path}/out"), jobs.check(asked, newest, verdicts))
@@ -71,10 +72,7 @@ def test_check(spark, log, tmp_path):
 
 
 def test_refused_level_and_restart_after_compaction(spark, tmp_path):
-    docs = spark.createDataFrame(
-        [(1, [("a", "int", False)]), (2, [("b", "int", False)])],
-        "schema_id int, doc array<struct<name:string,type:string,has_default:boolean>>",
-    )
+    docs = shapes(spark, {1: [("a", "int", False)], 2: [("b", "int", False)]})
     rows = [
         (1, "s", "CONFIG", None, "FULL", 0), (2, "s", "REGISTER", 1, None, 0), (3, "s", "CONFIG", None, "WRONG", 0),
         (4, "s", "REGISTER", 2, None, 0), (5, "t", "REGISTER", 2, None, 0),
