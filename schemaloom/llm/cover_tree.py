@@ -6,13 +6,13 @@ greatest angle to anything below it. Its children are chosen farthest first, its
 halved or there are `FAN` of them, so that children lie at least a radius apart and cover their parent's vectors; a
 node of at most `LEAF` vectors has these as its children. Every vector is exactly one node without children.
 
-A descent keeps the best k of each window [lo, hi] by score, then smaller id. Nodes wait in a heap by the highest score
-they can add to some window; the descent ends when no window can gain from the best of them.
+A descent keeps the best k of each window [lo, hi] by score, then smaller id. Nodes wait in the order of the highest
+score they can add to some window; those that no window can gain from are dropped, and the best of the others are
+opened: `FIRST` of them, then twice as many each time, up to `MOST`.
 """
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass, fields
 
 import numpy as np
@@ -20,6 +20,7 @@ import pyarrow as pa
 
 FAN = 64
 LEAF = 128
+FIRST, MOST = 8, 256
 #: The id that stands in empty places of a window; sorts last.
 NONE = np.iinfo(np.int64).max
 #: Allowance for rounding, as a share of |q| M.
@@ -126,27 +127,28 @@ class CoverTree:
 
     def descend(self, windows: Windows) -> None:
         """Adds what the tree holds to the windows."""
-        q, heap = windows.query, [(-np.inf, 0, np.inf, -np.inf)]
-        scale = windows.norm * float(self.most[0])
-        while heap:
-            key, node, ub, lb = heapq.heappop(heap)
-            if -key < windows.need().min():
-                return
-            if node and not windows.gains(np.array([ub]), np.array([lb]), self.least[node : node + 1])[0]:
-                continue
-            at = slice(self.start[node], self.end[node])
-            scores, inner = self.vectors[at] @ q, self.end[at] > self.start[at]
-            if not inner.all():
-                alone = ~inner
-                windows.offer(scores[alone], self.ids[at][alone], self.labels[at][alone], self.uids[at][alone])
-            if inner.any():
-                below = np.flatnonzero(inner) + at.start
-                ub, lb = bounds(scores[inner], self.cos[below], scale)
-                gains = windows.gains(ub, lb, self.least[below])
-                other = self.labels[below] != windows.label
-                gains &= ~(self.lone[below] & (other if windows.same else ~other))
-                for i in np.flatnonzero(gains):
-                    heapq.heappush(heap, (-windows.reach(ub[i]), int(below[i]), ub[i], lb[i]))
+        scale, take = windows.norm * float(self.most[0]), FIRST
+        nodes, ub, lb = np.zeros(1, np.int64), np.full(1, np.inf), np.full(1, -np.inf)
+        while len(nodes):
+            gains = windows.gains(ub, lb, self.least[nodes])
+            nodes, ub, lb = nodes[gains], ub[gains], lb[gains]
+            # the best first, more at a time the longer it takes
+            order = np.argsort(-windows.reach(ub), kind="stable")
+            now, later = order[:take], order[take:]
+            take = min(2 * take, MOST)
+            at = self._children(nodes[now])
+            scores, inner = self.vectors[at] @ windows.query, self.end[at] > self.start[at]
+            alone, below = at[~inner], at[inner]
+            windows.offer(scores[~inner], self.ids[alone], self.labels[alone], self.uids[alone])
+            new_ub, new_lb = bounds(scores[inner], self.cos[below], scale)
+            other = self.labels[below] != windows.label
+            fits = ~(self.lone[below] & (other if windows.same else ~other))
+            nodes = np.concatenate([nodes[later], below[fits]])
+            ub, lb = np.concatenate([ub[later], new_ub[fits]]), np.concatenate([lb[later], new_lb[fits]])
+
+    def _children(self, nodes: np.ndarray) -> np.ndarray:
+        count = self.end[nodes] - self.start[nodes]
+        return np.repeat(self.start[nodes] - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
 def bounds(scores: np.ndarray, cos: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
@@ -174,8 +176,9 @@ class Windows:
         """The score below which a window gains nothing."""
         return np.maximum(self.lo, self.scores[:, -1])
 
-    def reach(self, ub: float) -> float:
-        return float(np.minimum(ub, self.hi).max())
+    def reach(self, ub: np.ndarray) -> np.ndarray:
+        """The highest score that something with this bound can add to a window."""
+        return np.minimum(ub[:, None], self.hi).max(axis=1)
 
     def gains(self, ub: np.ndarray, lb: np.ndarray, least: np.ndarray) -> np.ndarray:
         """Whether something with these bounds and this smallest id may get into a window; for each of them."""
@@ -186,7 +189,9 @@ class Windows:
 
     def offer(self, scores: np.ndarray, ids: np.ndarray, labels: np.ndarray, uids: np.ndarray) -> None:
         ok = (labels == self.label) & (uids != self.uid) if self.same else labels != self.label
-        fits = ok & (scores >= self.need()[:, None]) & (scores <= self.hi[:, None])
+        some = np.flatnonzero(ok & (scores >= self.need().min()) & (scores <= self.hi.max()))
+        scores, ids = scores[some], ids[some]
+        fits = (scores >= self.need()[:, None]) & (scores <= self.hi[:, None])
         for j in np.flatnonzero(fits.any(axis=1)):
             mine = fits[j]
             s, i = np.concatenate([self.scores[j], scores[mine]]), np.concatenate([self.ids[j], ids[mine]])

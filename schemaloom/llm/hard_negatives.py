@@ -34,9 +34,9 @@ from schemaloom.session import cut
 CELLS = 1024
 SAMPLE = 4096
 #: Bytes of the vectors of one tree, as doubles.
-PART_BYTES = 4 << 20
+PART_BYTES = 8 << 20
 #: Queries that one copy of a tree answers, about.
-SLICE = 16384
+SLICE = 1024
 _FOUND = "uid long, w int, score double, id long"
 
 
@@ -150,7 +150,7 @@ class Index:
                 products = vectors @ centres[cells["cell"], :-1].T
                 for i, windows in enumerate(_windows(batch, vectors, same, k)):
                     ub, lb = bounds(products[i], cells["cos"], windows.norm * most)
-                    best = int(np.array([windows.reach(x) for x in ub]).argmax())
+                    best = int(windows.reach(ub).argmax())
                     if home:
                         wanted[best].append(i)
                         continue
