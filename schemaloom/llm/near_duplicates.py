@@ -6,15 +6,17 @@
    greatest id: two pairs per class and bucket, whatever the bucket's size. Pairs whose estimated similarity is too
    low go, the others are checked on their full sets, and components of the links are found.
 3. A link may join classes of which neither leads a bucket. So buckets that still hold more than one component are
-   gone through once more: inside a task, pairs of different components, each in the first band they share, are
-   estimated and checked on full sets until their components meet; only such links leave the task, at most one less
-   than classes in the bucket. Large buckets are dealt out to several tasks by pairs of blocks of `BLOCK` classes.
+   gone through once more, first by registers: a task estimates pairs of different components, each in the first band
+   they share, marks classes that may have a partner, and chains their components. Only marked classes go on: their full sets
+   go once to their chain and are checked there until components meet; only such links leave the task, at most one less
+   than classes. Large buckets are dealt out by pairs of blocks of `BLOCK` classes, large chains by `BLOCK_BYTES`.
 
 So no link between different sets is lost but those that share no band (hyperminhash.ROWS), and pairs are never
 written out group by group.
 
 Defined results: a text without words has no set and is linked with nothing; a null doc_id takes part, its component
-has the smallest id of the others, or none; rows that repeat a doc_id share its component if their texts do; a row is
+has the smallest id of the others, or none; texts are taken whole, and of very long ones a task holds one set at a time or
+a block of `BLOCK_BYTES`; rows that repeat a doc_id share its component if their texts do; a row is
 kept if its doc_id is the component's (or if the component has no id); an empty table gives an empty result; extra
 columns are left alone.
 """
@@ -33,8 +35,14 @@ from schemaloom.llm import hyperminhash as hmh
 from schemaloom.llm.tables import pieces
 from schemaloom.session import cut
 
-#: Classes of a bucket that one task compares with each other or with as many others.
+#: Classes of a bucket whose registers one task compares with each other or with those of as many others.
 BLOCK = 2048
+#: Bytes of full sets, about, that one task compares with each other or with as many others.
+BLOCK_BYTES = 32 << 20
+#: Tasks over which the rows of one key are dealt.
+SALTS = 8
+#: A bitmap of rows has at most 2^27 bits: 16 MB.
+MARK_BITS, _PAGE_BITS = 27, 15
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -64,6 +72,39 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(each, "doc_id long, t long, n long, v long, regs array<long>")
 
 
+class Marks:
+    """A bounded bitmap of row keys: rows whose bit is not set surely have none of the keys.
+
+    It only saves a shuffle of texts that an exact join would drop anyway. With more keys than it has room for, more
+    rows go to that join.
+    """
+
+    def __init__(self, keys: DataFrame, most: int):
+        n = max(1, keys.count())
+        self.bits = min(most, max(_PAGE_BITS, (16 * n).bit_length()))
+        at = F.pmod(F.xxhash64("doc_id", "t"), F.lit(1 << self.bits))
+        rows = keys.select(at.alias("at"))
+        rows = rows.select(F.shiftright("at", _PAGE_BITS).alias("page"), (F.col("at") % (1 << _PAGE_BITS)).alias("bit"))
+        self.map = np.zeros((1 << self.bits) // 8, np.uint8)
+        size = (1 << _PAGE_BITS) // 8
+        for page, bits in rows.groupBy("page").agg(F.bitmap_construct_agg("bit")).collect():  # 2^most bits altogether
+            self.map[page * size : (page + 1) * size] = np.frombuffer(bits, np.uint8)
+
+    def rows(self, docs: DataFrame, wanted: bool) -> DataFrame:
+        """The rows of docs whose bit is set, or those whose bit is not."""
+        shared, bits = docs.sparkSession.sparkContext.broadcast(self.map), self.bits
+        at = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")), F.lit(1 << bits))
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                place = batch.column(batch.num_columns - 1).to_numpy()
+                there = (shared.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1
+                kept = batch.filter(pa.array(there == wanted))
+                yield pa.RecordBatch.from_arrays(kept.columns[:-1], kept.schema.names[:-1])
+
+        return docs.withColumn("__at", at).mapInArrow(each, docs.schema)
+
+
 def full_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """v, n, shingles (sorted 64-bit hashes) of classes (v, doc_id, t), from one text of each."""
 
@@ -79,8 +120,9 @@ def full_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
                     }
                 )
 
+    wanted = cut(classes.select("doc_id", "t"))
+    docs = Marks(wanted, MARK_BITS).rows(docs.select("doc_id", "text"), wanted=True)
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("tt"), "text")
-    wanted = classes.select("doc_id", "t")
     rows = texts.join(wanted, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("tt") == F.col("t")), "left_semi")
     sets = rows.dropDuplicates(["d", "tt"]).select("text").mapInArrow(each, "v long, n long, shingles binary")
     return sets.dropDuplicates(["v"])
@@ -138,7 +180,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
             return now.select(F.col("a").alias("v"), F.col("b").alias("comp"))
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _lookup(both.where("b > a"), "a", least, F.col("b"))
+        large = large.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now, before = cut(small.unionByName(least.withColumnRenamed("m", "b")).distinct()), mark
@@ -163,19 +206,46 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
+def _blocks(group: pa.Table) -> tuple[np.ndarray, bool]:
+    """The block of each row, and whether only rows of different blocks are compared here."""
+    return group.column("side").to_numpy(), group.column("x")[0] != group.column("y")[0]
+
+
+def _partners(group: pa.Table, percent: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Rows that may have a partner in another component of a bucket, and pairs that chain the components of such rows."""
+    regs = _matrix(group.column("regs").combine_chunks(), hmh.BANDS)
+    n, comp = (group.column(c).to_numpy() for c in ("n", "comp"))
+    (side, crossing), band = _blocks(group), group.column("band")[0].as_py()
+    chain, marked, out = comp.copy(), np.zeros(len(comp), bool), []
+    for i in range(len(comp) - 1):
+        rest = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
+        if crossing:
+            rest = rest[side[rest] != side[i]]
+        same = regs[rest] == regs[i]
+        rest = rest[same.any(axis=1) & (same.argmax(axis=1) == band)]
+        rest = rest[_likely(regs[rest], regs[i][None], n[rest], n[i], percent)]
+        if len(rest):
+            marked[i] = marked[rest] = True
+            for c in np.unique(comp[rest]):
+                at = chain[comp == c][0]
+                if at != chain[i]:
+                    out.append((int(comp[i]), int(c)))
+                    chain[chain == at] = chain[i]
+    return marked, out
+
+
 def _meet(group: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """Links between components of a bucket, found on full sets; rows of two blocks are compared crosswise only."""
+    """Links between components, found on full sets; rows of two blocks are compared crosswise only."""
     regs = _matrix(group.column("regs").combine_chunks(), hmh.BANDS)
-    n, side, comp = (group.column(c).to_numpy() for c in ("n", "side", "comp"))
-    comp, band, crossing = comp.copy(), group.column("band")[0].as_py(), group.column("x")[0] != group.column("y")[0]
+    n, comp = (group.column(c).to_numpy() for c in ("n", "comp"))
+    (side, crossing), comp = _blocks(group), comp.copy()
     sets = [np.frombuffer(x.as_buffer(), "<u8") for x in group.column("shingles")]
     out = []
     for i in range(len(comp) - 1):
         rest = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])  # components that have met have one name
         if crossing:
             rest = rest[side[rest] != side[i]]
-        same = regs[rest] == regs[i]
-        rest = rest[same.any(axis=1) & (same.argmax(axis=1) == band)]
+        rest = rest[(regs[rest] == regs[i]).any(axis=1)]
         rest = rest[_likely(regs[rest], regs[i][None], n[rest], n[i], percent)]
         for k in rest.tolist():
             if comp[k] != comp[i] and hmh.linked(sets[i], sets[k], percent):
@@ -184,25 +254,60 @@ def _meet(group: pa.Table, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def meeting(buckets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (a, b) between components of buckets: key, band, members, v, comp, n, regs, shingles."""
-    blocks = F.ceil(F.col("members") / block)
+def _dealt(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
+    """Rows once for each pair (x, y) of blocks of their key that their own block (side) is part of, key by key."""
     own = F.pmod(F.xxhash64("v", F.lit(3)), blocks).cast("long")
-    dealt = buckets.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
-    dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other"), "side": F.col("own")})
-    names = ["key", "x", "y"]
+    rows = rows.withColumns({"side": own, "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
+    rows = rows.withColumns({"x": F.least("side", "other"), "y": F.greatest("side", "other")}).drop("other")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, key, "x", "y").sortWithinPartitions(key, "x", "y")
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, names):
+
+def meeting(buckets: DataFrame, sets: DataFrame, percent: int, block: int, block_bytes: int) -> DataFrame:
+    """Links (a, b) between components of buckets: key, band, members, v, comp, n, regs.
+
+    Registers alone go to the buckets. Only classes that may have a partner in another component go on, with their
+    full sets, and these go once to the chain of components that they are part of, however many buckets they share.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["key", "x", "y"]):
+            marked, chains = _partners(group, percent)
+            if marked.any():
+                v, comp = (group.column(c).to_numpy()[marked] for c in ("v", "comp"))
+                none = [None] * len(v)
+                a, b = [*none, *(p for p, _ in chains)], [*none, *(q for _, q in chains)]
+                rest = [None] * len(chains)
+                columns = ([*v.tolist(), *rest], [*comp.tolist(), *rest], a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["v", "comp", "a", "b"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["chain", "x", "y"]):
             if found := _meet(group, percent):
                 yield pa.RecordBatch.from_pydict({"a": [p for p, _ in found], "b": [q for _, q in found]})
 
-    n = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = dealt.repartition(n, *names).sortWithinPartitions(*names)
-    return sorted_.select(*names, "band", "side", "comp", "n", "regs", "shingles").mapInArrow(each, "a long, b long")
+    dealt = _dealt(buckets, "key", F.ceil(F.col("members") / block))
+    marks = cut(dealt.select("key", "x", "y", "side", "band", "v", "comp", "n", "regs").mapInArrow(mark, "v long, comp long, a long, b long"))
+    chains = components(marks.where("a is not null").select("a", "b")).select(F.col("v").alias("comp"), F.col("comp").alias("chain"))
+    kept = marks.where("v is not null").select("v", "comp").distinct().join(chains, "comp", "left")
+    kept = kept.withColumn("chain", F.coalesce("chain", "comp"))
+    kept = cut(kept.join(buckets.select("v", "n", "regs").dropDuplicates(["v"]), "v"))
+    sizes = kept.groupBy("chain").agg(F.ceil(F.sum(8 * F.col("n") + 8 * hmh.BANDS) / block_bytes).alias("blocks"))
+    full = kept.join(sizes, "chain").join(sets.select("v", "shingles"), "v")
+    dealt = _dealt(full, "chain", F.col("blocks"))
+    return dealt.select("chain", "x", "y", "side", "comp", "n", "regs", "shingles").mapInArrow(meet, "a long, b long")
+
+
+def _lookup(rows: DataFrame, key: str, table: DataFrame, salt: Column) -> DataFrame:
+    """rows with the row of `table` of their key, if there is one; rows of a very common key go to several tasks."""
+    table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    return rows.join(table, [key, "_salt"], "left").drop("_salt")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, size: int = 5, percent: int = 80, block: int = BLOCK, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
 
     Besides, t (digest of the text) and root (the component, null without words), to find rows without an id by.
@@ -225,16 +330,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     members = buckets.select("key", "band", "members", "v").join(label, F.col("v") == F.col("w"), "left")
     members = cut(members.withColumn("comp", F.coalesce("comp", "v")).drop("w"))
     mixed = members.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p != q").select("key")
-    open_ = members.join(mixed, "key").join(classes.select("v", "n", "regs"), "v").join(sets.select("v", "shingles"), "v")
-    second = components(meeting(open_, percent, block)).select(F.col("v").alias("comp"), F.col("comp").alias("root"))
+    open_ = cut(members.join(mixed, "key").join(classes.select("v", "n", "regs"), "v"))
+    met = components(meeting(open_, sets, percent, block, block_bytes))
+    second = met.select(F.col("v").alias("comp"), F.col("comp").alias("root"))
 
     final = first.join(second, "comp", "left").select("v", F.coalesce("root", "comp").alias("root"))
     alone = second.join(first.select(F.col("v").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("v"), "root")
-    labelled = rows.select("doc_id", "t", "n", "v").join(cut(final.unionByName(alone)), "v", "left")
-    labelled = labelled.withColumn("root", F.coalesce("root", "v"))
-    least = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    own = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
-    out = labelled.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), own, "t", "root")
+    labels = cut(final.unionByName(alone))
+    # the smallest doc_id of each class, then of each component of several classes
+    per_class = rows.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("own"), F.count(F.lit(1)).alias("copies"))
+    per_class = cut(per_class.join(labels, "v", "left").withColumn("root", F.coalesce("root", "v")))
+    linked = labels.select("root").distinct().join(per_class, "root")
+    per_root = linked.groupBy("root").agg(F.min("own").alias("least"), F.lit(True).alias("several"))
+    found = _lookup(per_class, "root", per_root, F.col("v"))
+    found = found.where("copies > 1 or several").select("v", "root", F.coalesce("least", "own").alias("least"))
+    labelled = _lookup(rows.select("doc_id", "t", "n", "v"), "v", found, F.struct("doc_id", "t"))
+    least = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
+    out = labelled.select("doc_id", F.col("n").alias("n_shingles"), least, "t", F.coalesce("root", "v").alias("root"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
@@ -248,7 +360,9 @@ def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     several = stay.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
     several = cut(stay.join(several, "root", "left_semi").select("doc_id", "t", "root").distinct())
     gone = judged.where("not kept").select("doc_id", "t").unionByName(several.select("doc_id", "t")).distinct()
-    out = docs.join(_named(cut(gone)), _same_row(), "left_anti")
+    gone = cut(gone)
+    marks = Marks(gone, MARK_BITS)
+    out = marks.rows(docs, wanted=False).unionByName(marks.rows(docs, wanted=True).join(_named(gone), _same_row(), "left_anti"))
     if several.isEmpty():
         return out
     again = docs.join(_named(several), _same_row()).dropDuplicates(["__root"]).select(*docs.columns)
