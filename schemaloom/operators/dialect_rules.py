@@ -102,10 +102,11 @@ def avro(nodes: DataFrame) -> Rules:
         digest = lambda c: F.length(c) >= _DIGEST
         # equal signatures read each other, nothing is lost by a reader without a place, and every document has a root
         met = pairs.where((F.col("reader") != F.col("writer")) & (F.col("reader") != ABSENT))
-        met = cut(met.where(~(F.col("reader").startswith("/") & (F.col("writer") == ABSENT))))
-        easy = _simple_broken(met.where(~digest("reader") & ~digest("writer"))).select("reader", "writer")
-        hard = met.where(digest("reader") | digest("writer")).select("reader", "writer")
-        return easy if hard.isEmpty() else easy.unionByName(_judged(cut(hard), texts))
+        met = met.where(~(F.col("reader").startswith("/") & (F.col("writer") == ABSENT)))
+        easy = _simple_broken(met.where(~digest("reader") & ~digest("writer")))
+        hard = cut(met.where(digest("reader") | digest("writer")))
+        asked = cut(hard.select("reader", "writer").distinct())
+        return easy if asked.isEmpty() else easy.unionByName(hard.join(_judged(asked, texts), ["reader", "writer"], "left_semi").select(easy.columns))
 
     return Rules("AVRO", place, broken)
 
@@ -185,9 +186,10 @@ def protobuf(facts) -> Rules:
         )
 
     def broken(pairs: DataFrame) -> DataFrame:
-        met = pairs.where(F.col("writer") != ABSENT).select("reader", "writer", F.concat_ws(">", "reader", "writer").alias("pair"))
-        met = cut(met)
-        judged = validate(met, standing(met, "writer"), standing(met, "reader"))
-        return judged.where("not compatible").select("reader", "writer")
+        met = pairs.where(F.col("writer") != ABSENT)
+        asked = met.select("reader", "writer").distinct().withColumn("pair", F.concat_ws(">", "reader", "writer"))
+        asked = cut(asked)
+        judged = validate(asked, standing(asked, "writer"), standing(asked, "reader")).where("not compatible")
+        return met.join(judged.select("reader", "writer"), ["reader", "writer"], "left_semi").select(pairs.columns)
 
     return Rules("PROTOBUF", lambda members: members.join(sigs, "schema_id").select("scope", "schema_id", "place", "sig"), broken)

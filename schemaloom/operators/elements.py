@@ -32,8 +32,8 @@ class Rules:
     """How documents of one dialect are compared.
 
     ``place``: members (scope, schema_id) to rows (scope, schema_id, place, sig); documents of other dialects have
-    none. ``broken``: distinct pairs (reader, writer) of signatures, absent ones included, to those that break. The
-    reader is the later document's where a level looks backward.
+    none. ``broken``: rows with signatures (reader, writer), absent ones included, to those rows whose pair breaks;
+    a pair is judged once. The reader is the later document's where a level looks backward.
     """
 
     dialect: str
@@ -49,20 +49,25 @@ class Documents:
     rules: tuple[Rules, ...]
 
 
-def _swapped(pairs: DataFrame) -> DataFrame:
-    return pairs.select("scope", "place", F.col("writer").alias("reader"), F.col("reader").alias("writer"))
+def _both_ways(rows: DataFrame, columns: list[str], one: str, other: str) -> DataFrame:
+    """Rows with (way, reader, writer): backward ``one`` reads ``other``, forward it is read by it."""
+    ways = [
+        F.struct(F.lit(way).alias("way"), F.col(r).alias("reader"), F.col(w).alias("writer"))
+        for way, r, w in (("backward", one, other), ("forward", other, one))
+    ]
+    return rows.select(*columns, F.inline(F.array(*ways)))
 
 
 def _met(placed: DataFrame, rules: Rules) -> DataFrame:
-    """scope, place, reader, writer: signatures of one place of one scope that break each other."""
+    """scope, place, way, reader, writer: signatures of one place of one scope that break each other."""
     found = cut(placed.select("scope", "place", "sig").distinct())
     both = found.withColumnRenamed("sig", "reader").join(found.withColumnRenamed("sig", "writer"), ["scope", "place"])
     alone = found.select("scope", "place", F.inline(F.array(
         F.struct(F.col("sig").alias("reader"), F.lit(ABSENT).alias("writer")),
         F.struct(F.lit(ABSENT).alias("reader"), F.col("sig").alias("writer")),
     )))
-    met = both.select("scope", "place", "reader", "writer").unionByName(alone)
-    return cut(met.join(rules.broken(met.select("reader", "writer").distinct()), ["reader", "writer"]))
+    broken = rules.broken(both.select("scope", "place", "reader", "writer").unionByName(alone))
+    return cut(_both_ways(broken, ["scope", "place"], "reader", "writer"))
 
 
 def pair_verdicts(pairs: DataFrame, rules: Rules) -> DataFrame:
@@ -79,18 +84,12 @@ def pair_verdicts(pairs: DataFrame, rules: Rules) -> DataFrame:
         )
 
     beside = side("existing_id", "old").join(side("proposed_id", "new"), ["scope", "place"], "full")
-    beside = cut(beside.select("scope", *[F.coalesce(c, F.lit(ABSENT)).alias(c) for c in ("old", "new")]))
-    both_ways = [F.struct(F.col(r).alias("reader"), F.col(w).alias("writer")) for r, w in (("new", "old"), ("old", "new"))]
-    met = beside.select(F.inline(F.array(*both_ways)))
-    broken = cut(rules.broken(met.distinct()))
-
-    def failing(reader: str, writer: str, name: str) -> DataFrame:
-        renamed = broken.select(F.col("reader").alias(reader), F.col("writer").alias(writer))
-        return beside.join(renamed, [reader, writer], "left_semi").select("scope").distinct().withColumn(name, F.lit(False))
-
-    judged = wanted.join(failing("new", "old", "backward"), "scope", "left").join(failing("old", "new", "forward"), "scope", "left")
-    ok = {c: F.coalesce(c, F.lit(True)) for c in ("backward", "forward")}
-    return judged.withColumns(ok).select("existing_id", "proposed_id", "backward", "forward", (F.col("backward") & F.col("forward")).alias("full"))
+    beside = beside.select("scope", *[F.coalesce(c, F.lit(ABSENT)).alias(c) for c in ("old", "new")])
+    broken = rules.broken(cut(_both_ways(beside, ["scope"], "new", "old")))
+    failing = broken.groupBy("scope").agg(*[F.max(F.col("way") == way).alias(way) for way in ("backward", "forward")])
+    ok = {c: ~F.coalesce(c, F.lit(False)) for c in ("backward", "forward")}
+    judged = wanted.join(failing, "scope", "left").withColumns(ok)
+    return judged.select("existing_id", "proposed_id", "backward", "forward", (F.col("backward") & F.col("forward")).alias("full"))
 
 
 # ---- a candidate against all earlier versions ------------------------------------------------------
@@ -161,8 +160,9 @@ def audit(candidates: DataFrame, history: DataFrame, rules: Rules, span: int = S
     theirs = past.join(placed, ["scope", "schema_id"]).select("scope", "version", "place", "sig")
     total = seen_before(past, wanted, ["scope"], {"earlier": F.lit(1)}, span)
     out = wanted.join(total, ["scope", "at"])
-    for name, pairs in (("backward_issues", breaking), ("forward_issues", _swapped(breaking))):
-        out = out.join(_issues(mine, theirs, wanted, total, pairs, name, span), _WHO, "left")
+    for way in ("backward", "forward"):
+        pairs = breaking.where(F.col("way") == way).drop("way")
+        out = out.join(_issues(mine, theirs, wanted, total, pairs, f"{way}_issues", span), _WHO, "left")
     issues = [F.coalesce(c, F.lit(0)).alias(c) for c in ("backward_issues", "forward_issues")]
     return out.select(F.col("scope").alias("subject"), "at", "schema_id", "earlier", *issues)
 
@@ -179,47 +179,46 @@ def _or(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys, "word").agg(F.bit_or("bits").alias("bits"))
 
 
-def _sets(placed: DataFrame, members: DataFrame, breaking: DataFrame, name: str) -> DataFrame:
-    """scope, schema_id, ``name``: numbers of the documents that a document, as the reader, cannot stand beside."""
-    spot = ["scope", "place"]
+def breaking_sets(members: DataFrame, rules: Rules) -> DataFrame:
+    """scope, schema_id, backward, forward: sets of the documents of its scope that a document breaks with.
+
+    ``members`` has scope, schema_id and n, a number of the document within the scope; documents of the rules' dialect only.
+    """
+    members = cut(members.select("scope", "schema_id", "n"))
+    placed = cut(rules.place(members.select("scope", "schema_id")))
+    breaking = _met(placed, rules)
+    spot, here = ["scope", "place"], ["scope", "place", "way"]
     numbered = members.withColumns({"word": F.expr(f"n div {WORD}"), "bits": F.expr(f"shiftleft(1L, cast(n % {WORD} as int))")})
     having = placed.join(numbered, ["scope", "schema_id"])
-    by_sig = _or(having, *spot, "sig")
+    by_sig = cut(_or(having, *spot, "sig"))
     hit = breaking.where((F.col("reader") != ABSENT) & (F.col("writer") != ABSENT)).join(
         by_sig.withColumnRenamed("sig", "writer"), [*spot, "writer"]
     )
     # documents without a place that the reader needs
-    needs = breaking.where(F.col("writer") == ABSENT).select(*spot, "reader")
-    there = _or(having, *spot).withColumnRenamed("bits", "there")
+    needs = breaking.where(F.col("writer") == ABSENT).select(*here, "reader")
+    there = _or(by_sig, *spot).withColumnRenamed("bits", "there")
     lacking = needs.join(_or(numbered, "scope"), "scope").join(there, [*spot, "word"], "left")
     left = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("there", F.lit(0).cast("bigint"))))
-    by_reader = hit.select(*spot, "reader", "word", "bits").unionByName(lacking.select(*spot, "reader", "word", left.alias("bits")))
-    mine = placed.join(_or(by_reader, *spot, "reader").withColumnRenamed("reader", "sig"), [*spot, "sig"])
+    by_reader = hit.select(*here, "reader", "word", "bits").unionByName(lacking.select(*here, "reader", "word", left.alias("bits")))
+    mine = placed.join(_or(by_reader, *here, "reader").withColumnRenamed("reader", "sig"), [*spot, "sig"])
     # documents with a place that the reader must not be without
-    kept = breaking.where(F.col("reader") == ABSENT).select(*spot, F.col("writer").alias("sig")).join(by_sig, [*spot, "sig"])
-    without = members.select("scope", "schema_id").join(_or(kept, *spot), "scope").join(
+    kept = breaking.where(F.col("reader") == ABSENT).select(*here, F.col("writer").alias("sig")).join(by_sig, [*spot, "sig"])
+    without = members.select("scope", "schema_id").join(_or(kept, *here), "scope").join(
         placed.select("scope", "schema_id", "place"), ["scope", "schema_id", "place"], "left_anti"
     )
-    columns = ["scope", "schema_id", "word", "bits"]
-    all_ = _or(mine.select(columns).unionByName(without.select(columns)).where("bits <> 0"), "scope", "schema_id")
-    # one word for each 64 documents of a subject
-    held = all_.groupBy("scope", "schema_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
-    words = F.sequence(F.lit(0).cast("bigint"), F.array_max(F.map_keys("m")))
-    dense = F.transform(words, lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("bigint")))
-    return held.select("scope", "schema_id", dense.alias(name))
-
-
-def breaking_sets(members: DataFrame, rules: Rules) -> DataFrame:
-    """scope, schema_id, backward, forward: sets of the documents of its scope that a document breaks with.
+    columns = ["scope", "schema_id", "way", "word", "bits"]
+    all_ = _or(mine.select(columns).unionByName(without.select(columns)).where("bits <> 0"), "scope", "schema_id", "way")
+
+    def dense(way: str) -> Column:
+        """One word for each 64 documents of a subject; null for the empty set."""
+        words = F.map_from_entries(F.collect_list(F.when(F.col("way") == way, F.struct("word", "bits"))))
+        last = F.coalesce(F.array_max(F.map_keys(words)), F.lit(-1).cast("bigint"))
+        filled = F.transform(
+            F.sequence(F.lit(0).cast("bigint"), last), lambda w: F.coalesce(F.try_element_at(words, w), F.lit(0).cast("bigint"))
+        )
+        return F.when(last >= 0, filled).alias(way)
 
-    ``members`` has scope, schema_id and n, a number of the document within the scope; documents of the rules' dialect only.
-    """
-    members = cut(members.select("scope", "schema_id", "n"))
-    placed = cut(rules.place(members.select("scope", "schema_id")))
-    breaking = _met(placed, rules)
-    back = _sets(placed, members, breaking, "backward")
-    ahead = _sets(placed, members, _swapped(breaking), "forward")
-    return back.join(ahead, ["scope", "schema_id"], "full")
+    return all_.groupBy("scope", "schema_id").agg(dense("backward"), dense("forward"))
 
 
 def numbered_sets(members: DataFrame, docs: Documents) -> DataFrame:

@@ -162,11 +162,12 @@ def q_version_numbers(spark, sf):
 
 
 def q_tombstones(spark, sf):
-    """Numbered registrations marked by numbered deletes, without replaying refusals."""
-    first = registration.first_seen(registrations(spark, sf), ["subject", "schema_id"])
-    deletes = fx.view(spark, sf, "fx_log").where("op = 'DELETE' and delver > 0")
-    deletes = deletes.select("subject", F.col("delver").alias("version"), "seq")
-    return registration.tombstone(registration.number_versions(first), deletes)
+    """Versions that the whole log leaves, each with the operation that added it and whether it was deleted."""
+    events = cut(replay.replay_events(replay_log(spark, sf), shape_documents(spark, sf), repeats=False))
+    each = events.select("subject", "status", "schema_id", "seq", F.explode("versions").alias("version"))
+    gone = each.where("status = 'deleted'").select("subject", "version").distinct().withColumn("deleted", F.lit(True))
+    added = each.where("status = 'added'").select("subject", "version", "schema_id", F.col("seq").alias("first_seq"))
+    return added.join(gone, ["subject", "version"], "left").withColumn("deleted", F.coalesce("deleted", F.lit(False)))
 
 
 def q_first_seen(spark, sf):
@@ -273,9 +274,9 @@ QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q_")}
 
 ORACLES = {
     "q_version_numbers": sql("select subject, schema_id, version from fx_numbered"),
-    "q_tombstones": sql("""select n.subject, n.version, n.schema_id, n.first_seq, coalesce(d.last_seq > n.first_seq, false) as deleted
-  from fx_numbered n left join (select subject, delver as version, max(seq) as last_seq from fx_log
-    where op = 'DELETE' and delver > 0 group by 1, 2) d using (subject, version)"""),
+    "q_tombstones": sql("""select a.subject, a.version, a.schema_id, a.seq as first_seq, d.version is not null as deleted
+  from (select subject, schema_id, seq, unnest(versions) as version from fold where status = 'added') a
+  left join (select distinct subject, unnest(versions) as version from fold where status = 'deleted') d using (subject, version)"""),
     "q_first_seen": sql("select subject, schema_id, first_seq from fx_first"),
     "q_latest_version": sql("select subject, version, schema_id from fx_newest"),
     "q_live_versions": sql("select subject, version, schema_id from fx_live"),
