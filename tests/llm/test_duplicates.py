@@ -152,3 +152,19 @@ def test_one_row_of_each_stays(spark, odd_docs, no_docs):
         ["(None, 'two words twice')", "(3, 'x y z a')", "(5, None)", "(5, None)"]
     )
     assert nd.first_of_each(no_docs).collect() == []
+
+
+def test_marks_lose_no_row_and_full_ones_only_keep_more(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i if i % 9 else None, f"text {i}", "x") for i in range(3000)], "doc_id long, text string, lang string")
+    keys = docs.where("text like '%7%'").select("doc_id", F.xxhash64("text").alias("t"))
+    wanted = {r["text"] for r in docs.where("text like '%7%'").collect()}
+    every = {r["text"] for r in docs.collect()}
+    marks = nd.Marks(keys, 27)
+    inside, outside = ({r["text"] for r in marks.rows(docs, wanted=x).collect()} for x in (True, False))
+    assert wanted <= inside and inside | outside == every and not inside & outside
+    assert len(inside) < 1.2 * len(wanted) and marks.rows(docs, wanted=True).schema == docs.schema
+    marks.map[:] = 255  # no room left
+    assert {r["text"] for r in marks.rows(docs, wanted=True).collect()} == every
+    assert nd.Marks(keys.limit(0), 27).rows(docs, wanted=True).collect() == []
