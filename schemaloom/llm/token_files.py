@@ -164,8 +164,13 @@ class Shard:
         return found
 
 
-def write(docs: DataFrame, model: LibraryEncoder, path: str, end_id: int = 0, width: int = 2, shard_ids: int = SHARD_IDS) -> None:
-    """Encodes docs (doc_id, text), adds the end id to each, and writes the shards below path."""
+def write(docs: DataFrame, model: LibraryEncoder, path: str, end_id: int = 0, width: int | None = None, shard_ids: int = SHARD_IDS) -> None:
+    """Encodes docs (doc_id, text), adds the end id to each, and writes the shards below path.
+
+    An id takes `width` bytes, by default as many as the vocabulary needs; an id that does not fit is an error.
+    """
+    largest = max(end_id, *model.whole.get_vocab(with_added_tokens=True).values())
+    width = width or (2 if largest < 1 << 16 else 4)
     spark = docs.sparkSession
     shared, n = spark.sparkContext.broadcast(model), int(spark.conf.get("spark.sql.shuffle.partitions"))
     end = pack_ids([end_id])
@@ -184,6 +189,8 @@ def write(docs: DataFrame, model: LibraryEncoder, path: str, end_id: int = 0, wi
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 part, begun = (part, True) if begun else (key, True)
                 got = np.frombuffer(shared.value.encode_text(text.as_py() or "") + end, "<u4")
+                if int(got.max()) >> (8 * width):
+                    raise ValueError(f"id {int(got.max())} does not fit into {width} bytes")
                 if ids and total + len(got) > shard_ids:
                     yield flush()
                     start, total, ids, held = start + total, 0, [], []
@@ -252,10 +259,24 @@ def fetch(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
             out = {"doc_id": [shard.ids[i] for i in rows], "ids": [shard.ids_of(i).astype("<u4").tobytes() for i in rows]}
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]))
 
-    held = F.lit(False)
-    for key in wanted.tolist():
-        held = held | ((F.col("first_id") <= key) & (F.col("last_id") >= key))
-    return spark.read.schema(_SCHEMA).parquet(path).where(held).mapInArrow(each, "doc_id long, ids binary")
+    if not len(wanted):
+        return spark.createDataFrame([], "doc_id long, ids binary")
+    shards = spark.read.schema(_SCHEMA).parquet(path)
+    ends = (F.col("last_id") >= int(wanted[0])) & (F.col("first_id") <= int(wanted[-1]))
+
+    def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shards in whose range a key lies, however many keys there are."""
+        for batch in batches:
+            first, last = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("first_id", "last_id"))
+            there = np.searchsorted(wanted, first, "left") < np.searchsorted(wanted, last, "right")
+            yield batch.filter(pa.array(there, pa.bool_())).select(["p", "s"])
+
+    # ranges first, from their columns alone; only then payloads
+    ranges = shards.where(ends).select(F.col("part").alias("p"), F.col("part_start").alias("s"), "first_id", "last_id")
+    named = ranges.mapInArrow(holding, "p long, s long")
+    same = F.col("part").eqNullSafe(F.col("p")) & (F.col("part_start") == F.col("s"))
+    held = shards.where(ends).join(named, same, "left_semi")
+    return held.select(*(x.name for x in shards.schema)).mapInArrow(each, "doc_id long, ids binary")
 
 
 def round_trip(docs: DataFrame, model: LibraryEncoder) -> DataFrame:

@@ -134,6 +134,24 @@ def test_op6_by_key(spark, some_docs, library):
     assert got == {k: [*library.encode(texts[k], add_special_tokens=False).ids, 0] for k in wanted if k in texts}
 
 
+def test_op6_many_keys(spark, some_docs):
+    path = new_folder(spark)
+    token_files.write(spark.createDataFrame(some_docs, "doc_id long, text string"), library_encoder(), path, shard_ids=5000)
+    got = sorted(r.doc_id for r in token_files.fetch(spark, path, list(range(-3000, 3000))).collect())
+    assert got == sorted(i for i, _ in some_docs if i is not None and -3000 <= i < 3000)
+    assert token_files.fetch(spark, path, []).collect() == []
+
+
+def test_op6_ids_that_do_not_fit(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    path = new_folder(spark)
+    token_files.write(docs, library_encoder(), path, end_id=70_000)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in token_files.fetch(spark, path, [1, 2]).collect()}
+    assert got[2] == [70_000] and got[1][-1] == 70_000
+    with pytest.raises(Exception, match="does not fit"):
+        token_files.write(docs, library_encoder(), new_folder(spark), end_id=70_000, width=2)
+
+
 def test_rank_file_is_read(ranks):
     assert len(ranks) == 50256 and ranks[base64.b64decode("IQ==")] == 0
 
