@@ -34,14 +34,6 @@ def assign_schema_ids(distinct: DataFrame, span: int = SPAN) -> DataFrame:
     return number_rows(cut(distinct), [], "first_seq", "schema_id", span)
 
 
-def tombstone(versions: DataFrame, deletes: DataFrame) -> DataFrame:
-    """Mark versions that a later numbered delete names; ``deletes`` has subject, version, seq."""
-    last = deletes.groupBy("subject", "version").agg(F.max("seq").alias("_deleted_seq"))
-    return versions.join(last, ["subject", "version"], "left").select(
-        *versions.columns, F.coalesce(F.col("_deleted_seq") > F.col("first_seq"), F.lit(False)).alias("deleted")
-    )
-
-
 def new_subjects(requested: DataFrame, known: DataFrame) -> DataFrame:
     """Requested subjects that do not exist yet."""
     return requested.select("subject").distinct().join(known.select("subject"), "subject", "left_anti")
