@@ -80,29 +80,26 @@ class Marks:
     """
 
     def __init__(self, keys: DataFrame, most: int):
-        n = max(1, keys.count())
-        self.bits = min(most, max(_PAGE_BITS, (16 * n).bit_length()))
-        at = F.pmod(F.xxhash64("doc_id", "t"), F.lit(1 << self.bits))
-        rows = keys.select(at.alias("at"))
-        rows = rows.select(F.shiftright("at", _PAGE_BITS).alias("page"), (F.col("at") % (1 << _PAGE_BITS)).alias("bit"))
-        self.map = np.zeros((1 << self.bits) // 8, np.uint8)
-        size = (1 << _PAGE_BITS) // 8
-        for page, bits in rows.groupBy("page").agg(F.bitmap_construct_agg("bit")).collect():  # 2^most bits altogether
-            self.map[page * size : (page + 1) * size] = np.frombuffer(bits, np.uint8)
+        self.bits = min(most, max(_PAGE_BITS, (16 * max(1, keys.count())).bit_length()))
+        at = self._at(F.col("doc_id"), F.col("t"))
+        rows = keys.select(self._page(at).alias("__page"), (at % (1 << _PAGE_BITS)).alias("bit"))
+        self.pages = cut(rows.groupBy("__page").agg(F.bitmap_construct_agg("bit").alias("__bits")))
 
-    def rows(self, docs: DataFrame, wanted: bool) -> DataFrame:
-        """The rows of docs whose bit is set, or those whose bit is not."""
-        shared, bits = docs.sparkSession.sparkContext.broadcast(self.map), self.bits
-        at = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")), F.lit(1 << bits))
+    def _at(self, doc_id: Column, digest: Column) -> Column:
+        return F.pmod(F.xxhash64(doc_id, digest), F.lit(1 << self.bits))
 
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                place = batch.column(batch.num_columns - 1).to_numpy()
-                there = (shared.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1
-                kept = batch.filter(pa.array(there == wanted))
-                yield pa.RecordBatch.from_arrays(kept.columns[:-1], kept.schema.names[:-1])
+    @staticmethod
+    def _page(at: Column) -> Column:
+        return F.shiftright(at, _PAGE_BITS)
 
-        return docs.withColumn("__at", at).mapInArrow(each, docs.schema)
+    def rows(self, docs: DataFrame, wanted: bool) -> DataFrame:
+        """The rows of docs whose bit is set, or those whose bit is not."""
+        at = self._at(F.col("doc_id").cast("long"), F.xxhash64("text"))
+        placed = docs.withColumns({"__page": self._page(at), "__bit": at % (1 << _PAGE_BITS)})
+        beside = placed.join(F.broadcast(self.pages), "__page", "left")  # 2^most bits at most
+        byte = F.substring("__bits", (F.col("__bit") / 8).cast("int") + 1, 1)
+        held = F.bit_get(F.conv(F.hex(byte), 16, 10).cast("int"), (F.col("__bit") % 8).cast("int")) == 1
+        return beside.where(F.coalesce(held, F.lit(False)) == wanted).select(*docs.columns)
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
@@ -226,11 +223,11 @@ def _partners(group: pa.Table, percent: int) -> tuple[np.ndarray, list[tuple[int
         rest = rest[_likely(regs[rest], regs[i][None], n[rest], n[i], percent)]
         if len(rest):
             marked[i] = marked[rest] = True
-            for c in np.unique(comp[rest]):
-                at = chain[comp == c][0]
-                if at != chain[i]:
-                    out.append((int(comp[i]), int(c)))
-                    chain[chain == at] = chain[i]
+            others, first = np.unique(chain[rest], return_index=True)
+            new = others != chain[i]
+            if new.any():
+                out += [(int(comp[i]), int(c)) for c in comp[rest[first[new]]]]
+                chain[np.isin(chain, others[new])] = chain[i]
     return marked, out
 
 
