@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dialects import WORD
-from ..session import cut
+from ..session import cut_plain
 from .ordered import SPAN, number_rows, running_sums
 
 #: The signature of what a document does not have.
@@ -60,23 +60,23 @@ def _both_ways(rows: DataFrame, columns: list[str], one: str, other: str) -> Dat
 
 def _met(placed: DataFrame, rules: Rules) -> DataFrame:
     """scope, place, way, reader, writer: signatures of one place of one scope that break each other."""
-    found = cut(placed.select("scope", "place", "sig").distinct())
+    found = cut_plain(placed.select("scope", "place", "sig").distinct())
     both = found.withColumnRenamed("sig", "reader").join(found.withColumnRenamed("sig", "writer"), ["scope", "place"])
     alone = found.select("scope", "place", F.inline(F.array(
         F.struct(F.col("sig").alias("reader"), F.lit(ABSENT).alias("writer")),
         F.struct(F.lit(ABSENT).alias("reader"), F.col("sig").alias("writer")),
     )))
     broken = rules.broken(both.select("scope", "place", "reader", "writer").unionByName(alone))
-    return cut(_both_ways(broken, ["scope", "place"], "reader", "writer"))
+    return cut_plain(_both_ways(broken, ["scope", "place"], "reader", "writer"))
 
 
 def pair_verdicts(pairs: DataFrame, rules: Rules) -> DataFrame:
     """Adds backward (proposed reads existing), forward and full to distinct pairs (existing_id, proposed_id)."""
-    wanted = cut(
+    wanted = cut_plain(
         pairs.select("existing_id", "proposed_id").distinct().withColumn("scope", F.concat_ws(">", "existing_id", "proposed_id"))
     )
     members = wanted.select("scope", F.explode(F.array("existing_id", "proposed_id")).alias("schema_id")).distinct()
-    placed = cut(rules.place(members))
+    placed = cut_plain(rules.place(members))
 
     def side(key: str, name: str) -> DataFrame:
         return placed.join(wanted.select("scope", F.col(key).alias("schema_id")), ["scope", "schema_id"]).select(
@@ -85,7 +85,7 @@ def pair_verdicts(pairs: DataFrame, rules: Rules) -> DataFrame:
 
     beside = side("existing_id", "old").join(side("proposed_id", "new"), ["scope", "place"], "full")
     beside = beside.select("scope", *[F.coalesce(c, F.lit(ABSENT)).alias(c) for c in ("old", "new")])
-    broken = rules.broken(cut(_both_ways(beside, ["scope"], "new", "old")))
+    broken = rules.broken(cut_plain(_both_ways(beside, ["scope"], "new", "old")))
     failing = broken.groupBy("scope").agg(*[F.max(F.col("way") == way).alias(way) for way in ("backward", "forward")])
     ok = {c: ~F.coalesce(c, F.lit(False)) for c in ("backward", "forward")}
     judged = wanted.join(failing, "scope", "left").withColumns(ok)
@@ -151,10 +151,10 @@ def audit(candidates: DataFrame, history: DataFrame, rules: Rules, span: int = S
     the versions below ``at``. An issue is a place where one earlier version and the candidate disagree.
     """
     at = F.col("at").cast("bigint").alias("at")
-    wanted = cut(candidates.select(F.col("subject").alias("scope"), at, "schema_id").distinct())
-    past = cut(history.select(F.col("subject").alias("scope"), "version", "schema_id"))
+    wanted = cut_plain(candidates.select(F.col("subject").alias("scope"), at, "schema_id").distinct())
+    past = cut_plain(history.select(F.col("subject").alias("scope"), "version", "schema_id"))
     members = wanted.select("scope", "schema_id").unionByName(past.select("scope", "schema_id")).distinct()
-    placed = cut(rules.place(members))
+    placed = cut_plain(rules.place(members))
     breaking = _met(placed, rules)
     mine = wanted.join(placed, ["scope", "schema_id"])
     theirs = past.join(placed, ["scope", "schema_id"]).select("scope", "version", "place", "sig")
@@ -184,13 +184,13 @@ def breaking_sets(members: DataFrame, rules: Rules) -> DataFrame:
 
     ``members`` has scope, schema_id and n, a number of the document within the scope; documents of the rules' dialect only.
     """
-    members = cut(members.select("scope", "schema_id", "n"))
-    placed = cut(rules.place(members.select("scope", "schema_id")))
+    members = cut_plain(members.select("scope", "schema_id", "n"))
+    placed = cut_plain(rules.place(members.select("scope", "schema_id")))
     breaking = _met(placed, rules)
     spot, here = ["scope", "place"], ["scope", "place", "way"]
     numbered = members.withColumns({"word": F.expr(f"n div {WORD}"), "bits": F.expr(f"shiftleft(1L, cast(n % {WORD} as int))")})
     having = placed.join(numbered, ["scope", "schema_id"])
-    by_sig = cut(_or(having, *spot, "sig"))
+    by_sig = cut_plain(_or(having, *spot, "sig"))
     hit = breaking.where((F.col("reader") != ABSENT) & (F.col("writer") != ABSENT)).join(
         by_sig.withColumnRenamed("sig", "writer"), [*spot, "writer"]
     )
@@ -227,7 +227,7 @@ def numbered_sets(members: DataFrame, docs: Documents) -> DataFrame:
     n numbers the documents of a subject; the sets hold the numbers of those of the same dialect that break each other.
     """
     known = members.select("subject", "schema_id").distinct().join(docs.kinds.select("schema_id", "dialect"), "schema_id")
-    numbered = cut(number_rows(known, ["subject"], "schema_id", "n").withColumn("n", F.col("n").cast("bigint")))
+    numbered = cut_plain(number_rows(known, ["subject"], "schema_id", "n").withColumn("n", F.col("n").cast("bigint")))
     kind = "array<bigint>"
     sets = None
     for rules in docs.rules:

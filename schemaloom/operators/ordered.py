@@ -12,7 +12,7 @@ must mean the same rows to all that read it.
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import cut
+from ..session import cut_plain
 
 SPAN = 1 << 20
 
@@ -23,7 +23,7 @@ def _slotted(df: DataFrame, keys: list[str], order: str, span: int) -> DataFrame
     if keys:
         return df.withColumn(_SLOT, F.expr(f"`{order}` div {int(span)}L"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(df.repartitionByRange(n, order).withColumn(_SLOT, F.spark_partition_id().cast("bigint")))
+    return cut_plain(df.repartitionByRange(n, order).withColumn(_SLOT, F.spark_partition_id().cast("bigint")))
 
 
 def slot_keys(keys: list[str], order: str, span: int) -> list:

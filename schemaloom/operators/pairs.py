@@ -7,7 +7,7 @@ once, and the verdict is joined back.
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import avro
-from ..session import cut
+from ..session import cut_plain
 from .elements import Rules, pair_verdicts
 from .ordered import SPAN
 from .registration import predecessors
@@ -38,7 +38,7 @@ def avro_missing_defaults(pairs: DataFrame, fields: DataFrame) -> DataFrame:
 def audit_latest(live_versions: DataFrame, rules: Rules, span: int = SPAN) -> DataFrame:
     """Each live version against its live predecessor: backward, forward, full; true for the first."""
     # used for the pairs and for their answers
-    steps = cut(predecessors(live_versions, span))
+    steps = cut_plain(predecessors(live_versions, span))
     pairs = steps.where("prev_schema_id is not null").select(
         F.col("prev_schema_id").alias("existing_id"), F.col("schema_id").alias("proposed_id")
     )

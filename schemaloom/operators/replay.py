@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.dialects import ENTRY, verdict
-from ..session import cut, new_folder
+from ..session import PLAIN, cut_plain, new_folder
 from .elements import Documents, numbered_sets
 from .levels import with_level_in_force
 from .ordered import SPAN, number_rows, slot_keys
@@ -185,13 +185,13 @@ def replay_events(
     ``past`` is a version table to go on from. ``repeats=False`` leaves out the repeats of a run, which never
     change the state: enough for version tables.
     """
-    prepared = cut(prepare(log, docs.kinds, span))
+    prepared = cut_plain(prepare(log, docs.kinds, span))
     # documents that may stand beside each other in a subject, by number; a document registered again is one
     members = prepared.where("op = 'REGISTER'").select("subject", "schema_id")
     if past is not None:
-        past = cut(past)
+        past = cut_plain(past)
         members = members.unionByName(past.where("not deleted").select("subject", "schema_id"))
-    sets = cut(numbered_sets(members, docs))
+    sets = cut_plain(numbered_sets(members, docs))
     heads = prepared.where("seq = head_seq").drop("head_seq").join(sets, ["subject", "schema_id"], "left")
     carried = None if past is None else carried_state(past, sets)
     events = _fold_rounds(heads, carried, fold_ops, span)
@@ -205,14 +205,14 @@ def _fold_rounds(heads, carried, fold_ops, span) -> DataFrame:
         "_round", F.expr(f"(_pos - 1) div {int(fold_ops)}")
     )
     # in round order, so that the scan of a round skips the files of the others
-    placed = cut(numbered.drop("_pos").repartitionByRange("_round", "subject", "seq").sortWithinPartitions("_round"))
+    placed = cut_plain(numbered.drop("_pos").repartitionByRange("_round", "subject", "seq").sortWithinPartitions("_round"))
     rounds = placed.agg(F.max("_round")).first()[0]
     folder = new_folder(spark)
     schema = None
     for number in range(int(rounds or 0) + 1):
         part = _fold(placed.where(F.col("_round") == number).drop("_round"), carried)
         schema = part.schema
-        part.write.parquet(f"{folder}/round={number}")
+        part.write.options(**PLAIN).parquet(f"{folder}/round={number}")
         carried = spark.read.schema(schema).parquet(f"{folder}/round={number}").select("subject", "top", "live")
     return spark.read.schema(schema).parquet(folder).select("subject", F.inline("events"))
 

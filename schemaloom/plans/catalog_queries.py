@@ -6,7 +6,7 @@ from ..functions.versions import GLOBAL_SUBJECT
 from ..operators import levels, lookup, registration, replay
 from ..operators.dialect_rules import flat_avro
 from ..operators.elements import Documents
-from ..session import cut
+from ..session import cut_plain
 from ..sources import documents, responses
 from . import fixtures as fx
 
@@ -45,7 +45,7 @@ def replay_log(spark, sf) -> DataFrame:
 def versions(spark: SparkSession, sf: str) -> DataFrame:
     """subject, version, schema_id, deleted: what the whole log leaves, refusals, deletes and levels included."""
     events = replay.replay_events(replay_log(spark, sf), shape_documents(spark, sf), repeats=False)
-    return cut(replay.versions_of(events))
+    return cut_plain(replay.versions_of(events))
 
 
 def schemas(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,7 +163,7 @@ def q_version_numbers(spark, sf):
 
 def q_tombstones(spark, sf):
     """Versions that the whole log leaves, each with the operation that added it and whether it was deleted."""
-    events = cut(replay.replay_events(replay_log(spark, sf), shape_documents(spark, sf), repeats=False))
+    events = cut_plain(replay.replay_events(replay_log(spark, sf), shape_documents(spark, sf), repeats=False))
     each = events.select("subject", "status", "schema_id", "seq", F.explode("versions").alias("version"))
     gone = each.where("status = 'deleted'").select("subject", "version").distinct().withColumn("deleted", F.lit(True))
     added = each.where("status = 'added'").select("subject", "version", "schema_id", F.col("seq").alias("first_seq"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.types import document_to_struct
 from ..operators import dialect_rules, registration, replay
 from ..operators.elements import Documents
-from ..session import cut
+from ..session import cut, cut_plain
 from . import documents
 from .protobuf_documents import facts_of
 
@@ -80,7 +80,7 @@ def register(requests: DataFrame, settings: DataFrame | None = None) -> Catalog:
     numbered = number_documents(requests)
     log = with_settings(numbered, settings) if settings is not None else numbered.log
     events = replay.replay_events(log, numbered.docs, repeats=False)
-    return Catalog(numbered.schemas, cut(replay.versions_of(events)), numbered.rejected)
+    return Catalog(numbered.schemas, cut_plain(replay.versions_of(events)), numbered.rejected)
 
 
 def latest_documents(catalog: Catalog) -> DataFrame:

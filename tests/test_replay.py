@@ -159,3 +159,23 @@ def test_versions_table(spark, documents):
     table = replay.versions_of(replay.replay_events(*frames(spark, log, documents)))
     assert sorted(tuple(r) for r in table.select("version", "schema_id", "deleted").collect()) == [(1, 1, True), (2, 2, False)]
     assert table.where(F.col("deleted")).count() == 1
+
+
+def test_facts_that_compress_well_are_not_broadcast(spark, monkeypatch):
+    """Files of keys are far smaller than their rows: the plan must go by the rows, which a driver could not hold."""
+    rows = 200_000
+    log = spark.range(rows).select(
+        F.col("id").alias("seq"), F.format_string("subj-%d", "id").alias("subject"), F.lit("REGISTER").alias("op"), F.lit(1).alias("schema_id"),
+        F.lit(None).cast("string").alias("level_set"), F.lit(0).alias("delete_version"),
+    )
+    kinds = spark.createDataFrame([(1, "AVRO")], "schema_id int, dialect string")
+    seen = {}
+    monkeypatch.setattr(replay, "_fold_rounds", lambda heads, *rest: seen.setdefault("heads", heads))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 16 * rows)
+    try:
+        replay.replay_events(log, elements.Documents(kinds, ()), repeats=False)
+        plan = seen["heads"]._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
