@@ -346,7 +346,9 @@ def canonical(parts: Column) -> Column:
             _let(_let(_kind(s, block), line), place)
         )
 
-    frames = F.aggregate(parts, start, step)
-    file = F.element_at(frames, 1)["parts"]
-    grouped = F.array(F.concat(file[2], file[3]), file[4], file[5], file[6], file[7])
-    return F.concat(F.lit("//\n"), file[0], file[1], _sections(grouped, lambda p: p))
+    def file_text(file: Column) -> Column:
+        grouped = F.array(F.concat(file[2], file[3]), file[4], file[5], file[6], file[7])
+        return F.concat(F.lit("//\n"), file[0], file[1], _sections(grouped, lambda p: p))
+
+    # walked once, however many parts the text is put together from
+    return _let(F.element_at(F.aggregate(parts, start, step), 1)["parts"], file_text)
