@@ -29,6 +29,12 @@ def raw_documents(spark, sf, keep=lambda df: df):
     return documents.with_documents(rows, keep(documents.canonicalise(rows)))
 
 
+def raw_dialects(spark, sf):
+    """seq, raw, dialect of every raw text."""
+    rows = fx.view(spark, sf, "fx_raw").select("seq", "raw")
+    return documents.with_documents(rows, documents.dialects(rows), ("dialect",))
+
+
 def distinct_documents(spark, sf):
     """content, hash, first_seq of the accepted texts."""
     return registration.dedup_schemas(raw_documents(spark, sf).where(F.col("hash").isNotNull()))
@@ -42,17 +48,17 @@ def shape_documents(spark, sf):
 
 
 def q_detect_dialect(spark, sf):
-    return raw_documents(spark, sf).select("seq", "dialect")
+    return raw_dialects(spark, sf).select("seq", "dialect")
 
 
 def q_quarantine(spark, sf):
-    return documents.quarantine(raw_documents(spark, sf)).select("seq", "raw", "reason")
+    return documents.quarantine(raw_dialects(spark, sf)).select("seq", "raw", "reason")
 
 
 def q_rejected(spark, sf):
     """What registering the raw texts sets aside."""
     asked = fx.view(spark, sf, "fx_raw").select("seq", F.col("doc_kind").alias("subject"), "raw")
-    return registering.number_documents(asked).rejected
+    return registering.rejected(asked)
 
 
 def q_canonical_avro(spark, sf):

@@ -16,12 +16,8 @@ DIALECTS = ["AVRO", "PROTOBUF", "JSON_SCHEMA"]
 REFUSAL = "can't parse provided schema as any known type"
 
 
-def canonicalise(raws: DataFrame) -> DataFrame:
-    """Distinct texts with dialect, content (canonical text), hash, the Avro nodes and the Protobuf statements.
-
-    ``raws`` has raw. Work is done once per distinct text; a text of no dialect keeps null in all
-    other columns. Each dialect only sees what the ones before it did not accept.
-    """
+def _recognise(raws: DataFrame) -> DataFrame:
+    """Distinct texts with dialect and what its readers found. Each dialect only sees what the ones before it did not accept."""
     distinct = spread(raws.select("raw").distinct(), "raw")
     # text that is not JSON cannot be Avro, and JSON text cannot be Protobuf: only one reader per text
     typed = with_computed(distinct, "_json", canonical_json(F.col("raw")))
@@ -31,7 +27,21 @@ def canonicalise(raws: DataFrame) -> DataFrame:
         avro.withColumn("_maybe_proto", F.when(F.col("_json").isNull(), F.col("raw"))), "_maybe_proto"
     )
     tests = [F.col("_avro.canonical").isNotNull(), F.col("proto_ok"), F.col("_json").isNotNull()]
-    typed = with_computed(tried, "dialect", F.coalesce(*[F.when(t, F.lit(d)) for t, d in zip(tests, DIALECTS)]))
+    return with_computed(tried, "dialect", F.coalesce(*[F.when(t, F.lit(d)) for t, d in zip(tests, DIALECTS)]))
+
+
+def dialects(raws: DataFrame) -> DataFrame:
+    """Distinct texts with dialect, null for a text of none: no canonical text is made."""
+    return _recognise(raws).select("raw", "dialect")
+
+
+def canonicalise(raws: DataFrame) -> DataFrame:
+    """Distinct texts with dialect, content (canonical text), hash, the Avro nodes and the Protobuf statements.
+
+    ``raws`` has raw. Work is done once per distinct text; a text of no dialect keeps null in all
+    other columns.
+    """
+    typed = _recognise(raws)
     chosen = protobuf_documents.canonical(
         typed.withColumn("_proto_raw", F.when(F.col("dialect") == "PROTOBUF", F.col("raw"))), "_proto_raw", "_proto"
     )
@@ -46,9 +56,12 @@ def canonicalise(raws: DataFrame) -> DataFrame:
     )
 
 
-def with_documents(rows: DataFrame, documents: DataFrame) -> DataFrame:
-    """Attach dialect, content and hash to rows that have raw."""
-    return rows.join(documents.select("raw", "dialect", "content", "hash"), "raw", "left")
+def with_documents(rows: DataFrame, documents: DataFrame, facts: tuple[str, ...] = ("dialect", "content", "hash")) -> DataFrame:
+    """Attach dialect, content and hash, or some of them, to rows that have raw.
+
+    Texts may be as many as rows and far longer than the optimizer takes a string to be, so they are never broadcast.
+    """
+    return rows.join(documents.select("raw", *facts).hint("merge"), "raw", "left")
 
 
 def quarantine(rows: DataFrame) -> DataFrame:

@@ -34,20 +34,28 @@ class Numbered:
     rejected: DataFrame
 
 
+def _refusals(typed: DataFrame) -> DataFrame:
+    return documents.quarantine(typed).select("seq", "subject", "raw", "reason")
+
+
+def rejected(requests: DataFrame) -> DataFrame:
+    """The requests that registering sets aside, without numbering the others."""
+    return _refusals(documents.with_documents(requests, documents.dialects(requests.select("raw")), ("dialect",)))
+
+
 def number_documents(requests: DataFrame) -> Numbered:
     """Requests (seq, subject, raw) by schema id; those with a text of no dialect are set aside as rejected."""
     # texts are read once and kept: everything below joins to them
     read = cut(documents.canonicalise(requests.select("raw")))
     typed = documents.with_documents(requests, read)
     known = typed.where(F.col("hash").isNotNull())
-    rejected = documents.quarantine(typed).select("seq", "subject", "raw", "reason")
     numbered = registration.assign_schema_ids(registration.dedup_schemas(known.select("seq", "hash", "content")))
     facts = read.where(F.col("hash").isNotNull()).groupBy("hash").agg(
         F.any_value(F.struct("dialect", "avro_nodes", "proto_out")).alias("f")
     )
-    described = cut(numbered.join(facts, "hash").select("schema_id", "hash", "content", "f.dialect", "f.avro_nodes", "f.proto_out"))
+    described = cut(numbered.join(facts.hint("merge"), "hash").select("schema_id", "hash", "content", "f.dialect", "f.avro_nodes", "f.proto_out"))
     exact = (F.col("raw") == F.col("content")).alias("exact")
-    log = known.select("seq", "subject", "hash", exact).join(described.select("hash", "schema_id"), "hash").select(
+    log = known.select("seq", "subject", "hash", exact).join(described.select("hash", "schema_id").hint("merge"), "hash").select(
         "seq",
         "subject",
         F.lit("REGISTER").alias("op"),
@@ -57,7 +65,7 @@ def number_documents(requests: DataFrame) -> Numbered:
         "exact",
     )
     schemas = described.select("schema_id", "hash", "dialect", "content")
-    return Numbered(log, schemas, rules_of(described), rejected)
+    return Numbered(log, schemas, rules_of(described), _refusals(typed))
 
 
 def rules_of(described: DataFrame) -> Documents:

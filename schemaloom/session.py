@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -79,6 +79,7 @@ def cut_plain(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """All shuffle partitions, also for few rows: for work that is heavy per row.
 
-    Adaptive execution would merge partitions by their bytes, which are few for short texts.
+    Adaptive execution would merge partitions by their bytes, which are few for short texts. Rows that lie by the keys
+    already, as those of an aggregate do, would be left where they are, so they are dealt out by a hash of their own.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*keys))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F, types as T
 
 from schemaloom.functions.types import document_to_struct, struct_to_document
 from schemaloom.operators import levels, registration, replay
-from schemaloom.plans import registering
+from schemaloom.plans import documents as texts, protobuf_documents, registering
 from schemaloom.sources import columns, documents, responses
 
 
@@ -152,3 +152,20 @@ def test_texts_out_of_range_are_set_aside(spark):
     found = {r["content"]: r["dialect"] for r in catalog.schemas.collect()}
     assert found['{"a":3,"b":2}'] == "JSON_SCHEMA" and len(found) == 4
     assert sorted(found.values()) == ["JSON_SCHEMA"] * 3 + ["PROTOBUF"]
+
+
+def test_texts_are_dealt_out_and_not_broadcast(spark):
+    """Short texts are few bytes, but much work each: all partitions read them, and none goes through the driver."""
+    rows = spark.createDataFrame([(i, f"words {i}") for i in range(400)], "seq int, raw string")
+    for read in (texts.dialects(rows), texts.canonicalise(rows)):
+        assert read.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        joined = texts.with_documents(rows, read, ("dialect",))._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in joined and "BroadcastHashJoin" not in joined
+    assert registering.rejected(rows.withColumn("subject", F.lit("s"))).count() == 400
+
+
+def test_a_document_is_walked_once_for_its_text(spark):
+    rows = spark.createDataFrame([("message A { int32 a = 1; }",)], "raw string")
+    text = protobuf_documents.canonical(rows, "raw", "text")
+    walks = text._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
+    assert walks == 1 and text.first()["text"] == "//\n\nmessage A {\n  int32 a = 1;\n}\n"
