@@ -151,10 +151,11 @@ def audit(candidates: DataFrame, history: DataFrame, rules: Rules, span: int = S
     the versions below ``at``. An issue is a place where one earlier version and the candidate disagree.
     """
     at = F.col("at").cast("bigint").alias("at")
-    wanted = cut_plain(candidates.select(F.col("subject").alias("scope"), at, "schema_id").distinct())
-    past = cut_plain(history.select(F.col("subject").alias("scope"), "version", "schema_id"))
+    # one row per version: never broadcast, as a hashed row is six times its size in the file
+    wanted = cut_plain(candidates.select(F.col("subject").alias("scope"), at, "schema_id").distinct()).hint("merge")
+    past = cut_plain(history.select(F.col("subject").alias("scope"), "version", "schema_id")).hint("merge")
     members = wanted.select("scope", "schema_id").unionByName(past.select("scope", "schema_id")).distinct()
-    placed = cut_plain(rules.place(members))
+    placed = cut_plain(rules.place(members)).hint("merge")
     breaking = _met(placed, rules)
     mine = wanted.join(placed, ["scope", "schema_id"])
     theirs = past.join(placed, ["scope", "schema_id"]).select("scope", "version", "place", "sig")
