@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import canonical_json
 from ..operators import checks, dialect_rules, elements, levels, protobuf_rules as pr, registration
 from . import fixtures as fx, protobuf_documents
-from ..session import cut
+from ..session import cut, cut_plain
 from .catalog_queries import level_changes, requests, schemas, versions as derived_versions
 from .compat_queries import SQL_AVRO, proto_rules_sql, shape_fields
 
@@ -116,7 +116,7 @@ def q_proto_message_fields(spark, sf):
 
 
 def q_proto_backward(spark, sf):
-    steps = cut(registration.predecessors(registration.live(derived_versions(spark, sf))))
+    steps = cut_plain(registration.predecessors(registration.live(derived_versions(spark, sf))))
     met = steps.where("prev_schema_id is not null").select(
         F.col("prev_schema_id").alias("existing_id"), F.col("schema_id").alias("proposed_id")
     )
