@@ -107,31 +107,50 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 def encode(df: DataFrame, model: Encoder, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds a binary column of ids, little-endian unsigned 32-bit integers."""
-    return _mapped(df, model, text, ids, lambda e, x: [e.encode_text(t or "") for t in x.to_pylist()])
+    return _mapped(df, model, text, [ids], lambda e, x: [_encoded(e, x)])
 
 
 def decode(df: DataFrame, model: Encoder, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds a binary column of the bytes that ids stand for; null for null."""
-    return _mapped(df, model, ids, decoded, lambda e, x: [None if i is None else e.decode(i) for i in x.to_pylist()])
+    return _mapped(df, model, ids, [decoded], lambda e, x: [_decoded(e, x)])
 
 
-def _mapped(df: DataFrame, model: Encoder, source: str, target: str, work) -> DataFrame:
-    shared, kept = df.sparkSession.sparkContext.broadcast(model), [c for c in df.columns if c != target]
-    schema = df.select(*kept).schema.add(target, "binary")
+def round_trip(df: DataFrame, model: Encoder, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """As `encode` and then `decode`, in one Python process a task instead of two, and without moving ids between them."""
+
+    def both(e: Encoder, x: pa.Array) -> list[pa.Array]:
+        made = _encoded(e, x)
+        return [made, _decoded(e, made)]
+
+    return _mapped(df, model, text, [ids, decoded], both)
+
+
+def _encoded(model: Encoder, texts: pa.Array) -> pa.Array:
+    return pa.array([model.encode_text(t.as_py() or "") for t in texts], pa.binary())
+
+
+def _decoded(model: Encoder, ids: pa.Array) -> pa.Array:
+    return pa.array([None if (i := x.as_py()) is None else model.decode(i) for x in ids], pa.binary())
+
+
+def _mapped(df: DataFrame, model: Encoder, source: str, targets: list[str], work) -> DataFrame:
+    shared, kept = df.sparkSession.sparkContext.broadcast(model), [c for c in df.columns if c not in targets]
+    schema = df.select(*kept).schema
+    for target in targets:
+        schema = schema.add(target, "binary")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, source):
-                new = pa.array(work(shared.value, batch.column(source)), pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), new], [*kept, target])
+                new = work(shared.value, batch.column(source))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], [*kept, *targets])
 
     return df.select(*kept).mapInArrow(each, schema)
 
 
 def digests(docs: DataFrame, model: Encoder) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and of decoded bytes: encode, then decode, then hash."""
-    encoded = encode(docs.select("doc_id", "text"), model).select("doc_id", "ids")
-    return decode(encoded, model).select(
+    return round_trip(docs.select("doc_id", "text"), model).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -6,8 +6,8 @@ import struct
 from collections.abc import Callable
 from functools import cached_property
 
-#: Entries of one generation of what a task remembers.
-REMEMBERED = 100_000
+#: Entries of one generation of what a task remembers: of chunks, and of pre-tokens inside of them, which are fewer.
+REMEMBERED, INSIDE = 160_000, 40_000
 
 
 def pack_ids(ids: list[int]) -> bytes:
@@ -35,6 +35,26 @@ class Remembered(dict):
             self.clear()
 
 
+class Chunks(Remembered):
+    """Remembers chunks that are one pre-token with the space before them; `split` puts the others together each time.
+
+    Strings like a word with a mark after it are many and seldom come again: they would push the words out.
+    """
+
+    def __init__(self, work: Callable[[str], bytes], split: Callable[[str], bytes | None]):
+        super().__init__(work)
+        self.split = split
+
+    def __missing__(self, token: str) -> bytes:
+        got = self.older.get(token)
+        if got is None:
+            if not token.isalpha() and (put := self.split(token)) is not None:
+                return put
+            got = self.work(token)
+        self[token] = got
+        return got
+
+
 class Uneven(Exception):
     """A chunk next to which white space does not stand alone."""
 
@@ -61,20 +81,23 @@ class TextEncoder:
 
     @cached_property
     def tokens(self) -> Remembered:
-        return Remembered(self.resolve)
+        return Remembered(self.resolve, INSIDE)
 
     @cached_property
-    def chunks(self) -> Remembered:
-        return Remembered(self._chunk)
+    def chunks(self) -> Chunks:
+        return Chunks(lambda chunk: self.resolve(" " + chunk), self._split)
 
-    def _chunk(self, chunk: str) -> bytes:
-        if chunk.isalpha():  # letters alone are one pre-token with the space before them
-            return self.resolve(" " + chunk)
+    def _split(self, chunk: str) -> bytes | None:
+        """Ids of a chunk that is not one pre-token with the space before it; None for one that is."""
         if chunk[-1:] in (".", ",") and (word := chunk[:-1]).isalpha():
             return self.chunks[word] + self.tokens[chunk[-1]]
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise Uneven
-        return self._by_pattern(" " + chunk)
+        first, *rest = self.split(" " + chunk)
+        if not rest:
+            return None
+        known = self.chunks[first[1:]] if first[1:].isalpha() else self.tokens[first]
+        return known + b"".join(map(self.tokens.__getitem__, rest))
 
     def _by_pattern(self, text: str) -> bytes:
         return b"".join(map(self.tokens.__getitem__, self.split(text)))

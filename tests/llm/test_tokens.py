@@ -164,3 +164,19 @@ def test_op6_resolves_added_tokens_like_the_library(spark, tmp_path):
     got = queries_tokens.op6_token_files(spark, str(tmp_path))
     assert sorted(map(tuple, got.collect()), key=repr) == expected_files(rows, as_loaded)
     assert as_loaded.encode(rows[0][1], add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
+def test_op5_a_task_has_one_python_process(odd_docs, ranks, capsys):
+    """Encoding and decoding in processes of their own took twice the memory."""
+    byte_bpe.digests(odd_docs, byte_bpe.Encoder(ranks, P.PATTERN)).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+
+
+def test_words_with_marks_leave_no_entries(ranks):
+    """A word with a mark after it, or several pre-tokens, took an entry each beside that of the word."""
+    mine, theirs = byte_bpe.Encoder(ranks, P.PATTERN), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    text = "a qzword, qzword. qzword.\nQzother qzword's qzword-x2 | | 12 12a ..x. é, 中文, a\u0085b x\x1cy 's"
+    assert np.frombuffer(mine.encode_text(text), "<u4").tolist() == theirs.encode_ordinary(text)
+    assert {"qzword", "|", "12"} <= set(mine.chunks)
+    assert not {"qzword,", "qzword.", "qzword.\nQzother", "qzword-x2"} & set(mine.chunks)
+    assert mine.encode_text(text) == mine.encode_text(text)
