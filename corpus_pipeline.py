@@ -46,7 +46,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian 32-bit), and whether decoding them gives the text's bytes."""
     model = byte_bpe.encoder(public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    encoded = byte_bpe.decode(byte_bpe.encode(docs.select(*COLUMNS), model), model)
+    encoded = byte_bpe.round_trip(docs.select(*COLUMNS), model)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
     return encoded.select("doc_id", "lang", "source", "n_chars", n_tokens, "ids", same.alias("round_trip"))
