@@ -1,7 +1,11 @@
 """What may grow with the log is neither broadcast nor stored with texts."""
 
+import tracemalloc
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from schemaloom.functions import avro_text
 from schemaloom.operators import checks, dialect_rules, elements
 
 
@@ -41,3 +45,16 @@ def test_cases_of_checks_are_stored_without_texts(spark, monkeypatch):
     got = checks.check_version(asked, held, levels, schemas, docs).select("seq", "is_compatible", "error_code").orderBy(F.col("seq")).collect()
     assert [tuple(r) for r in got] == [(1, False, None), (2, True, None), (3, None, 404)]
     assert stored and not [c for columns in stored for c in columns if c in ("_content", "_raw")]
+
+
+def test_a_wide_document_is_read_in_little_memory():
+    """Each node was a dictionary, and those of all texts of a batch were held and copied at once."""
+    fields = ",".join(f'{{"name":"c{i}","type":"int"}}' for i in range(5000))
+    texts = pa.array([f'{{"type":"record","name":"r{k}","fields":[{fields}]}}' for k in range(4)] + [None, "{}"])
+    tracemalloc.start()
+    got = avro_text._parse_batch(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x and len(x) for x in got.field("nodes").to_pylist()] == [5001] * 4 + [None, None]
+    assert got.field("nodes")[3].as_py()[5000]["name"] == "c4999"
+    assert most < 6_000_000
