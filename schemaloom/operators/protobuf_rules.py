@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_plain
 from .ordered import SPAN, running_sums
 
 PLACE = ["pair", "scope"]
@@ -104,33 +105,34 @@ def removing_reserved(before: ProtoFacts, after: ProtoFacts, span: int = SPAN) -
     return _sum(numbers, _count(names))
 
 
-def removing_without_reserve(before: ProtoFacts, after: ProtoFacts, span: int = SPAN) -> DataFrame:
+def field_pairs(before: ProtoFacts, after: ProtoFacts) -> DataFrame:
+    """Fields before, each with tag, type and label of the field of its name after; ``there`` is null if it is gone."""
+    columns = ("tag", "type", "label")
+    later = after.fields.select(*PLACE, "name", *[F.col(c).alias(f"{c}_after") for c in columns], F.lit(True).alias("there"))
+    return before.fields.select(*PLACE, "name", *columns).join(later, [*PLACE, "name"], "left")
+
+
+def removing_without_reserve(before: ProtoFacts, after: ProtoFacts, span: int = SPAN, fields: DataFrame | None = None) -> DataFrame:
     """R3: removed names that are not reserved, plus removed fields whose tag is neither reserved nor used."""
-    gone = before.fields.select(*PLACE, "name", "tag").join(after.fields, [*PLACE, "name"], "left_anti")
+    fields = field_pairs(before, after) if fields is None else fields
+    gone = fields.where("there is null").select(*PLACE, "name", "tag")
     names = gone.join(after.reserved_names, [*PLACE, "name"], "left_anti")
     unused = gone.join(after.fields, [*PLACE, "tag"], "left_anti").groupBy(*PLACE, "tag").agg(F.count("*").alias("n"))
     tags = _tags_by_cover(unused, after.reserved_tags, span).where(~F.col("covered"))
     return _sum(_count(names), tags.groupBy("pair").agg(F.sum("n").alias("issues")))
 
 
-def _same_name(before: DataFrame, after: DataFrame, *columns: str) -> DataFrame:
-    return before.select(*PLACE, "name", *columns).join(
-        after.select(*PLACE, "name", *[F.col(c).alias(f"{c}_after") for c in columns]), [*PLACE, "name"]
-    )
-
-
-def changing_ids(before: ProtoFacts, after: ProtoFacts) -> DataFrame:
+def changing_ids(before: ProtoFacts, after: ProtoFacts, fields: DataFrame | None = None) -> DataFrame:
     """R4: same name, other number; in messages and enums."""
-    moved = [
-        _count(_same_name(b, a, "tag").where("tag <> tag_after"))
-        for b, a in ((before.fields, after.fields), (before.enums, after.enums))
-    ]
-    return _sum(*moved)
+    fields = field_pairs(before, after) if fields is None else fields
+    later = after.enums.select(*PLACE, "name", F.col("tag").alias("tag_after"))
+    enums = before.enums.select(*PLACE, "name", "tag").join(later, [*PLACE, "name"])
+    return _sum(*[_count(both.where("tag <> tag_after")) for both in (fields, enums)])
 
 
-def changing_types(before: ProtoFacts, after: ProtoFacts) -> DataFrame:
+def changing_types(before: ProtoFacts, after: ProtoFacts, fields: DataFrame | None = None) -> DataFrame:
     """R5: same name with another type, and again with another label."""
-    both = _same_name(before.fields, after.fields, "type", "label")
+    both = (field_pairs(before, after) if fields is None else fields).where("there")
     flags = (F.col("type") != F.col("type_after")).cast("int") + (
         ~F.col("label").eqNullSafe(F.col("label_after"))
     ).cast("int")
@@ -184,7 +186,10 @@ RULES = {
 
 def validate(pairs: DataFrame, before: ProtoFacts, after: ProtoFacts) -> DataFrame:
     """Total issues per pair and the verdict; ``pairs`` holds one row per pair."""
-    total = _sum(*[rule(before, after) for rule in RULES.values()])
+    # three rules look at the fields of one name on both sides: they are joined once
+    fields = cut_plain(field_pairs(before, after))
+    of_fields = ("r3", "r4", "r5")
+    total = _sum(*[rule(before, after, **({"fields": fields} if name in of_fields else {})) for name, rule in RULES.items()])
     return pairs.join(total, "pair", "left").select(
         *pairs.columns,
         F.coalesce("issues", F.lit(0)).alias("issues"),

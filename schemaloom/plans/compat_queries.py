@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import avro_nested, dialect_rules, elements, pairs, protobuf_rules as pr, registration, replay
-from ..session import cut
+from ..session import cut_plain
 from . import documents, fixtures as fx
 from .catalog_queries import SQL_VERSIONS, replay_log, schemas, shape_documents, shape_fields, versions
 
@@ -17,21 +17,26 @@ def _rpcs(spark, sf) -> DataFrame:
     )
 
 
-def _sides(spark, sf, keep=lambda df: df) -> list[pr.ProtoFacts]:
-    """Facts before (side 0) and after (side 1); ``keep`` may store the fact tables first."""
+def _facts(spark, sf) -> list[DataFrame]:
+    """Fields, reserved tags, reserved names, enums and RPCs of both sides."""
     enums = fx.view(spark, sf, "fx_penum").withColumn("ord", F.col("name"))
-    parts = [fx.view(spark, sf, v) for v in ("fx_pf", "fx_pres_tag", "fx_pres_name")] + [enums, _rpcs(spark, sf)]
-    parts = [keep(p) for p in parts]
+    return [fx.view(spark, sf, v) for v in ("fx_pf", "fx_pres_tag", "fx_pres_name")] + [enums, _rpcs(spark, sf)]
+
+
+def _sides(parts: list[DataFrame]) -> list[pr.ProtoFacts]:
+    """Facts before (side 0) and after (side 1)."""
     return [pr.ProtoFacts(*[p.where(F.col("side") == side).drop("side") for p in parts]) for side in (0, 1)]
 
 
 def _rule(name):
-    return lambda spark, sf: pr.RULES[name](*_sides(spark, sf))
+    return lambda spark, sf: pr.RULES[name](*_sides(_facts(spark, sf)))
 
 
 def q_proto_validate(spark, sf):
-    found = [fx.view(spark, sf, v).select("pair").distinct() for v in ("fx_pf", "fx_penum", "fx_prpc")]
-    return pr.validate(found[0].union(found[1]).union(found[2]).distinct(), *_sides(spark, sf, cut))
+    # stored as large as their rows: of compressed facts the optimizer would broadcast millions of rows
+    parts = [cut_plain(p) for p in _facts(spark, sf)]
+    fields, _, _, enums, rpcs = [p.select("pair").distinct() for p in parts]
+    return pr.validate(fields.union(enums).union(rpcs).distinct(), *_sides(parts))
 
 
 def q_enum_by_tag(spark, sf):

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from schemaloom.functions import avro_text
 from schemaloom.operators import checks, dialect_rules, elements
+from schemaloom.plans import compat_queries, fixtures
+
+from conftest import SF_DIR
 
 
 def fields(spark):
@@ -58,3 +61,13 @@ def test_a_wide_document_is_read_in_little_memory():
     assert [x and len(x) for x in got.field("nodes").to_pylist()] == [5001] * 4 + [None, None]
     assert got.field("nodes")[3].as_py()[5000]["name"] == "c4999"
     assert most < 6_000_000
+
+
+def test_validate_stores_facts_as_large_as_their_rows(spark, monkeypatch):
+    """Facts were stored compressed, so millions of rows passed for a few MB and were broadcast, and views were made twice."""
+    made, stored, view, plain = [], [], fixtures.view, compat_queries.cut_plain
+    monkeypatch.setattr(fixtures, "view", lambda spark, sf, name: made.append(name) or view(spark, sf, name))
+    monkeypatch.setattr(compat_queries, "cut_plain", lambda df: stored.append(df.columns) or plain(df))
+    compat_queries.q_proto_validate(spark, SF_DIR)
+    assert sorted(made) == ["fx_penum", "fx_pf", "fx_pres_name", "fx_pres_tag", "fx_prpc"]
+    assert len(stored) == 5
