@@ -137,13 +137,23 @@ def q_proto_backward_transitive(spark, sf):
 
 
 def q_json_schema_compat(spark, sf):
-    """Every proposed raw text against the oldest live canonical text."""
+    """Every proposed raw text against the oldest live canonical text.
+
+    Requests carry numbers; texts are compared once per distinct pair.
+    """
     known = mixed_schemas(spark, sf)
-    held = registration.live(derived_versions(spark, sf)).join(known, "schema_id")
-    oldest = held.groupBy("subject").agg(F.min_by("content", "version").alias("_oldest"))
-    raw = known.select(F.col("schema_id").alias("proposed_id"), "raw")
-    asked = _proposals(spark, sf).join(raw, "proposed_id").join(oldest, "subject", "left")
-    return asked.select("seq", F.coalesce(F.col("_oldest") == F.col("raw"), F.lit(True)).alias("is_compatible"))
+    ids = known.select("schema_id")
+    held = registration.live(derived_versions(spark, sf)).join(ids, "schema_id", "left_semi")
+    oldest = held.groupBy("subject").agg(F.min_by("schema_id", "version").alias("_first"))
+    proposed = _proposals(spark, sf).join(ids.withColumnRenamed("schema_id", "proposed_id"), "proposed_id", "left_semi")
+    asked = cut_plain(proposed.join(oldest, "subject", "left").select("seq", "proposed_id", "_first"))
+    pairs = asked.select("proposed_id", "_first").distinct()
+    texts = pairs.join(known.select(F.col("schema_id").alias("proposed_id"), "raw"), "proposed_id").join(
+        known.select(F.col("schema_id").alias("_first"), "content"), "_first"
+    )
+    same = texts.select("proposed_id", "_first", (F.col("content") == F.col("raw")).alias("_same"))
+    judged = asked.join(same, ["proposed_id", "_first"], "left")
+    return judged.select("seq", F.coalesce("_same", F.lit(True)).alias("is_compatible"))
 
 
 def q_check_version(spark, sf):

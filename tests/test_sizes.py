@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.functions import avro_text
 from schemaloom.operators import checks, dialect_rules, elements
-from schemaloom.plans import compat_queries, fixtures
+from schemaloom.plans import compat_queries, dialect_queries, fixtures
 
 from conftest import SF_DIR
 
@@ -71,3 +71,12 @@ def test_validate_stores_facts_as_large_as_their_rows(spark, monkeypatch):
     compat_queries.q_proto_validate(spark, SF_DIR)
     assert sorted(made) == ["fx_penum", "fx_pf", "fx_pres_name", "fx_pres_tag", "fx_prpc"]
     assert len(stored) == 5
+
+
+def test_json_requests_carry_no_texts(spark, monkeypatch):
+    """Each version and each request carried a document's text through the shuffles."""
+    stored, plain = [], dialect_queries.cut_plain
+    monkeypatch.setattr(dialect_queries, "cut_plain", lambda df: stored.append(df.columns) or plain(df))
+    monkeypatch.setattr(dialect_queries, "derived_versions", lambda spark, sf: versions(spark))
+    assert dialect_queries.q_json_schema_compat(spark, SF_DIR).columns == ["seq", "is_compatible"]
+    assert ["seq", "proposed_id", "_first"] in stored
