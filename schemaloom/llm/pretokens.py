@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Callable
 from functools import cached_property
@@ -10,6 +11,12 @@ from functools import cached_property
 REMEMBERED, INSIDE = 160_000, 40_000
 
 
+#: Begins a chunk that has no space before it; a text that holds it is split by the pattern as a whole.
+BARE = "\x00"
+#: ASCII marks between a letter or digit and a space, a line end or the end: always a pre-token of their own.
+_MARKS = re.compile(r"[!-/:-@\[-`{-~](?<=[^\W_].)[!-/:-@\[-`{-~]*+(?=[ \n]|\Z)")
+
+
 def pack_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -38,7 +45,7 @@ class Remembered(dict):
 class Chunks(Remembered):
     """Remembers chunks that are one pre-token with the space before them; `split` puts the others together each time.
 
-    Strings like a word with a mark after it are many and seldom come again: they would push the words out.
+    Strings like two words with a mark between them are many and seldom come again: they would push the words out.
     """
 
     def __init__(self, work: Callable[[str], bytes], split: Callable[[str], bytes | None]):
@@ -63,8 +70,9 @@ class TextEncoder:
     """Encodes texts pre-token by pre-token; subclasses give the ids of one pre-token.
 
     A space between two characters that are no white space always begins a pre-token. So a text falls into chunks at
-    its spaces, and a chunk has the same ids wherever it stands. A text with other white space beside a space is
-    split by the pattern as a whole.
+    its spaces, and a chunk has the same ids wherever it stands. Marks at the end of a word, and a line end between two
+    characters that are no white space, become chunks without a space before them, so that words are remembered
+    as they are. A text with other white space beside a space or a line end is split by the pattern as a whole.
     """
 
     pattern: str
@@ -85,18 +93,20 @@ class TextEncoder:
 
     @cached_property
     def chunks(self) -> Chunks:
-        return Chunks(lambda chunk: self.resolve(" " + chunk), self._split)
+        return Chunks(lambda chunk: self.resolve(chunk[1:] if chunk[0] == BARE else " " + chunk), self._split)
 
     def _split(self, chunk: str) -> bytes | None:
-        """Ids of a chunk that is not one pre-token with the space before it; None for one that is."""
-        if chunk[-1:] in (".", ",") and (word := chunk[:-1]).isalpha():
-            return self.chunks[word] + self.tokens[chunk[-1]]
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+        """Ids of a chunk that is not one pre-token with the space before it, if it has one; None for one that is."""
+        bare = chunk[:1] == BARE
+        body = chunk[1:] if bare else chunk
+        if bare and body == "\n":
+            return None
+        if not body or body[0].isspace() or body[-1].isspace():
             raise Uneven
-        first, *rest = self.split(" " + chunk)
+        first, *rest = self.split(body if bare else " " + body)
         if not rest:
             return None
-        known = self.chunks[first[1:]] if first[1:].isalpha() else self.tokens[first]
+        known = self.chunks[first[1:]] if not bare and first[1:].isalpha() else self.tokens[first]
         return known + b"".join(map(self.tokens.__getitem__, rest))
 
     def _by_pattern(self, text: str) -> bytes:
@@ -106,10 +116,10 @@ class TextEncoder:
         """Ids of a whole text as little-endian 32-bit integers."""
         self.tokens.make_room()
         self.chunks.make_room()
-        first, _, rest = text.partition(" ")
-        if rest and first and not first[-1].isspace():
+        if text and BARE not in text:
+            marked = BARE + _MARKS.sub(rf" {BARE}\g<0>", text).replace("\n", f" {BARE}\n {BARE}")
             try:
-                return self._by_pattern(first) + b"".join(map(self.chunks.__getitem__, rest.split(" ")))
+                return b"".join(map(self.chunks.__getitem__, marked.removesuffix(f" {BARE}").split(" ")))
             except Uneven:
                 pass
         return self._by_pattern(text)

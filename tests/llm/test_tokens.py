@@ -180,3 +180,22 @@ def test_words_with_marks_leave_no_entries(ranks):
     assert {"qzword", "|", "12"} <= set(mine.chunks)
     assert not {"qzword,", "qzword.", "qzword.\nQzother", "qzword-x2"} & set(mine.chunks)
     assert mine.encode_text(text) == mine.encode_text(text)
+
+
+def test_words_with_marks_are_not_put_together_each_time(ranks, theirs):
+    mine, asked = byte_bpe.Encoder(ranks, P.PATTERN), []
+    split = mine.split
+    mine.__dict__["split"] = lambda chunk: asked.append(chunk) or split(chunk)
+    text = "Qzword, qzother! say qzword.\nQzline (2,5)... and qz_last\nend.\n"
+    for _ in range(2):
+        asked.clear()
+        assert np.frombuffer(mine.encode_text(text), "<u4").tolist() == theirs.encode_ordinary(text)
+    assert asked == [" (2,5", " qz_last"]
+
+
+def test_marks_and_line_ends_like_the_library(library):
+    mine, r = library_encoder(), random.Random(6)
+    parts = [*"ab1.,!'s_\n\t|-é中\xa0²\x00\x1c\ŕ", "'s", "ll", " ", " ", ". ", ".\n", "!, "]
+    texts = ["".join(r.choices(parts, k=r.randint(1, 14))) for _ in range(5000)]
+    for text in [*texts, "a\n", "a.\n\n", "a \nb", "it's. it's\nit's", "a' b'\nc'", "foo!\t bar"]:
+        assert np.frombuffer(mine.encode_text(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
